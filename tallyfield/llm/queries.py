@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import Registry
 from ..session import table
+from .nearest import nearest_in_time
 from .topn import top_n_per_group
 
 registry = Registry()
@@ -47,3 +48,39 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_top_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best of every slate and position with their estimates."""
     return top_players(spark, sf_dir, 20).select("slate_id", "pos", "place", "pool_row_id", "player_key", "estimated_fp")
+
+
+P6_SQL = """
+    WITH l AS (SELECT lineup_row_id, player_key, kickoff_utc FROM lineup_rows WHERE player_key IS NOT NULL AND kickoff_utc IS NOT NULL),
+    q AS (SELECT quote_id, player_key, kickoff_utc, market_mean FROM market_quotes
+          WHERE player_key IS NOT NULL AND kickoff_utc IS NOT NULL AND market_mean IS NOT NULL AND NOT isnan(market_mean)),
+    m AS (SELECT lineup_row_id, quote_id, market_mean, abs(epoch_us(l.kickoff_utc) - epoch_us(q.kickoff_utc)) AS gap_us
+          FROM l JOIN q ON l.player_key = q.player_key AND q.kickoff_utc BETWEEN l.kickoff_utc - INTERVAL 6 HOUR AND l.kickoff_utc + INTERVAL 6 HOUR),
+    b AS (SELECT *, row_number() OVER (PARTITION BY lineup_row_id ORDER BY gap_us, quote_id) AS k FROM m)
+"""
+SIX_HOURS_US = 6 * 3600 * 1_000_000
+
+
+def nearest_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quotes = table(spark, sf_dir, "market_quotes").where("market_mean is not null and not isnan(market_mean)")
+    return nearest_in_time(
+        table(spark, sf_dir, "lineup_rows"), quotes, "player_key", "kickoff_utc", "kickoff_utc", "lineup_row_id", "quote_id", SIX_HOURS_US
+    )
+
+
+@registry.query("p6_found", P6_SQL + "SELECT lineup_row_id, quote_id FROM b WHERE k = 1")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest usable quote of every lineup row within six hours."""
+    return nearest_quotes(spark, sf_dir).select("lineup_row_id", "quote_id")
+
+
+@registry.query(
+    "p6_market_mean",
+    P6_SQL + """
+    SELECT r.lineup_row_id, b.quote_id, b.market_mean, b.gap_us FROM lineup_rows r LEFT JOIN (SELECT * FROM b WHERE k = 1) b USING (lineup_row_id)
+    """,
+)
+def p6_market_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every lineup row with the market mean and the distance of its quote, null where none is near."""
+    found = nearest_quotes(spark, sf_dir).join(table(spark, sf_dir, "market_quotes").select("quote_id", "market_mean"), "quote_id")
+    return table(spark, sf_dir, "lineup_rows").select("lineup_row_id").join(found, "lineup_row_id", "left").select("lineup_row_id", "quote_id", "market_mean", "gap_us")
