@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import Registry
 from ..session import table
+from .bpe import decode_column, encode_column
 from .nearest import nearest_in_time
 from .topn import top_n_per_group
 
@@ -84,3 +85,15 @@ def p6_market_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every lineup row with the market mean and the distance of its quote, null where none is near."""
     found = nearest_quotes(spark, sf_dir).join(table(spark, sf_dir, "market_quotes").select("quote_id", "market_mean"), "quote_id")
     return table(spark, sf_dir, "lineup_rows").select("lineup_row_id").join(found, "lineup_row_id", "left").select("lineup_row_id", "quote_id", "market_mean", "gap_us")
+
+
+@registry.query("p7_ids")
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k, without special tokens."""
+    return encode_column(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+
+
+@registry.query("p7_decoded", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts again from their ids: an exact round trip."""
+    return decode_column(p7_ids(spark, sf_dir), "ids", ["doc_id"])
