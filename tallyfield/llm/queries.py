@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..registry import Registry
 from ..session import table
 from .bpe import decode_column, encode_column
+from .leakage import passages_in_documents
 from .nearest import nearest_in_time
 from .topn import top_n_per_group
 
@@ -97,3 +98,22 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts again from their ids: an exact round trip."""
     return decode_column(p7_ids(spark, sf_dir), "ids", ["doc_id"])
+
+
+def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages_in_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "passage", 12)
+
+
+@registry.query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least twelve consecutive words of an evaluation passage."""
+    return leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+@registry.query("p8_longest_runs")
+def p8_longest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaks with the number of consecutive words and its share of the passage's words."""
+    n = F.size(F.regexp_extract_all("passage", F.lit(r"(?U)([\p{L}\p{N}]+)"), 1))
+    items = table(spark, sf_dir, "eval_items").select("item_id", "benchmark", n.alias("n_words"))
+    found = leaks(spark, sf_dir).join(items, "item_id")
+    return found.select("doc_id", "item_id", "benchmark", F.col("longest").alias("n_run"), F.round(F.col("longest") / F.col("n_words"), 4).alias("share"))
