@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..registry import Registry
 from ..session import table
 from .bpe import decode_column, encode_column
+from .language import document_languages, fit_profiles
 from .leakage import passages_in_documents
 from .nearest import nearest_in_time
 from .topn import top_n_per_group
@@ -117,3 +118,24 @@ def p8_longest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "eval_items").select("item_id", "benchmark", n.alias("n_words"))
     found = leaks(spark, sf_dir).join(items, "item_id")
     return found.select("doc_id", "item_id", "benchmark", F.col("longest").alias("n_run"), F.round(F.col("longest") / F.col("n_words"), 4).alias("share"))
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sentences = table(spark, sf_dir, "lang_samples").select("lang", "text")
+    passages = table(spark, sf_dir, "eval_items").select("lang", F.col("passage").alias("text"))
+    model = fit_profiles(sentences.unionByName(passages), "lang", "text", docs)
+    return document_languages(docs, "doc_id", "text", "lang", model)
+
+
+@registry.query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose label is missing or wrong, and the paragraphs of mixed documents."""
+    found = languages(spark, sf_dir).where("(seg_no = -1 and not (labelled <=> lang_code)) or (seg_no >= 0 and mixed)")
+    return found.select("doc_id", "seg_no", "lang_code")
+
+
+@registry.query("p9_confidence")
+def p9_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every document and every paragraph."""
+    return languages(spark, sf_dir).select("doc_id", "seg_no", "lang_code", F.round("confidence", 4).alias("confidence"), "n_words", "mixed")
