@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.schema_drift import consistent_rows, schema_changes
 from ..operators.snapshots import snapshot_changes, two_decimals
 from ..registry import Registry
 from ..session import table
@@ -43,3 +44,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         "player_key",
         [F.col("pos_rank"), two_decimals(F.col("estimated_fp")), F.col("depth_rank")],
     )
+
+
+@registry.query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields added, removed, renamed and retyped between the files of a feed."""
+    files = table(spark, sf_dir, "published_files").select("file_id", "feed_id", "file_date", "body_format", "body")
+    return schema_changes(files).select("file_id", "change_kind", "field_name", "new_name")
+
+
+@registry.query("p4_consistent_rows")
+def p4_consistent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of all files in one table, every value under its field's lasting name."""
+    files = table(spark, sf_dir, "published_files").select("file_id", "feed_id", "file_date", "body_format", "body")
+    rows = consistent_rows(files)
+    return rows.select("file_id", "row_no", F.explode("fields").alias("field_name", "field_value"))
