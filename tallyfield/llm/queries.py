@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import Registry
-from ..session import table
+from ..session import cut, table
 from .bpe import decode_column, encode_column
 from .language import document_languages, fit_profiles
 from .leakage import passages_in_documents
 from .nearest import nearest_in_time
 from .topn import top_n_per_group
+from .variants import link_variants, linked_pairs
 
 registry = Registry()
 
@@ -139,3 +140,21 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and confidence of every document and every paragraph."""
     return languages(spark, sf_dir).select("doc_id", "seg_no", "lang_code", F.round("confidence", 4).alias("confidence"), "n_words", "mixed")
+
+
+def roster_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_variants(table(spark, sf_dir, "roster_entries"), table(spark, sf_dir, "teams"), "entry_id", "player", "pos", "team")
+
+
+@registry.query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two roster entries that mean the same player or team unit."""
+    return linked_pairs(roster_entities(spark, sf_dir), "entry_id", "entry_id_a", "entry_id_b")
+
+
+@registry.query("p2_entities")
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry with its entity and the number of entries of that entity."""
+    found = cut(roster_entities(spark, sf_dir))
+    sizes = found.groupBy("entity").agg(F.count("*").alias("n_entries"))
+    return found.join(sizes, "entity").select("entry_id", "entity", "n_entries")
