@@ -10,6 +10,7 @@ from ..session import cut, table
 from .bpe import decode_column, encode_column
 from .language import document_languages, fit_profiles
 from .leakage import passages_in_documents
+from .matching import match_records
 from .nearest import nearest_in_time
 from .topn import top_n_per_group
 from .variants import link_variants, linked_pairs
@@ -158,3 +159,29 @@ def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cut(roster_entities(spark, sf_dir))
     sizes = found.groupBy("entity").agg(F.count("*").alias("n_entries"))
     return found.join(sizes, "entity").select("entry_id", "entity", "n_entries")
+
+#: Positions by their numbers in the second feed. Fixed values.
+POSITION_IDS = {1: "QB", 2: "RB", 3: "WR", 4: "TE", 5: "K", 16: "DEF"}
+
+
+def feed_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    teams = table(spark, sf_dir, "teams")
+    left = table(spark, sf_dir, "salary_feed").select("salary_row_id", "player", "pos", "team")
+    names = F.create_map(*[x for k, v in POSITION_IDS.items() for x in (F.lit(k), F.lit(v))])
+    codes = teams.select(F.col("espn_pro_team_id").alias("pro_team_id"), "team_code")
+    feed = table(spark, sf_dir, "espn_feed").join(codes, "pro_team_id", "left")
+    return left, feed.select("espn_row_id", "full_name", F.element_at(names, F.col("default_position_id")).alias("pos"), F.col("team_code").alias("team")), teams
+
+
+@registry.query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the two feeds that describe the same player or team unit."""
+    found = match_records(*feed_records(spark, sf_dir), confidence=False)
+    return found.select(F.col("a").alias("salary_row_id"), F.col("b").alias("espn_row_id"))
+
+
+@registry.query("p3_confidence")
+def p3_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches with the rule that found each and that rule's smoothed precision."""
+    found = match_records(*feed_records(spark, sf_dir))
+    return found.select(F.col("a").alias("salary_row_id"), F.col("b").alias("espn_row_id"), "rule", F.round("confidence", 4).alias("confidence"))

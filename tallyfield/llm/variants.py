@@ -116,7 +116,7 @@ def _forms(c: Column) -> Column:
     return F.concat(F.array(c), F.coalesce(F.element_at(F.create_map(*pairs), c), F.array().cast("array<string>")))
 
 
-def order_words(parsed: DataFrame) -> DataFrame:
+def order_words(parsed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Names with given and family names told apart by where their words mostly stand."""
     decided = parsed.where("first is not null")
     places = decided.select(
@@ -129,6 +129,7 @@ def order_words(parsed: DataFrame) -> DataFrame:
     )
     swap = F.coalesce(~F.col("sure") & (F.col("ls") > F.col("fs")) & F.col("other_given").isNotNull(), F.lit(False))
     return joined.select(
+        *keep,
         "ident",
         F.when(swap, F.col("other_given")).otherwise(F.col("given")).alias("given"),
         F.when(swap, F.col("other_family")).otherwise(F.col("family")).alias("family"),
