@@ -2,54 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .variants import _forms, collect_units, order_words, parse_names
+from .names import short_forms
+from .variants import collect_units, order_words, parse_names
+
+
+@dataclass(frozen=True)
+class Record:
+    """Normalised attributes of a record; missing ones are empty."""
+
+    unit: str
+    given: str
+    family: str
+    half: str
+    pos: str
+    team: str
+
+    def forms(self) -> list[str]:
+        return short_forms(self.given) if self.given else []
+
+    def whole(self) -> bool:
+        return len(self.given) >= 2
 
 
 @dataclass(frozen=True)
 class Rule:
     """One exact join of the cascade.
 
-    keys: the strings under which a record is looked up, as an array column; check: what a pair
-    must fulfil besides, over columns of the left side and, with _b, of the right one. A strong
-    rule, in which position and team agree, may pair an open record with a resolved one of the
-    other source, since players are listed twice. A rule that isn't needs keys with one
-    candidate on each side, and pairs open records only.
+    keys: the strings under which a record is looked up. check: what a pair must fulfil
+    besides, over columns of the left side and, with _b, of the right one. Rules of tier 0, in
+    which position and team agree, may pair an open record with a resolved one of the other
+    source, since players are listed twice. Later rules pair open records only and need a
+    single candidate on each side.
     """
 
     name: str
-    keys: Callable[[], Column]
+    tier: int
+    keys: Callable[[Record], list[str]]
     check: Column | None = None
-    strong: bool = False
-
-
-def _key(*parts: str | Column) -> Column:
-    """An array of one key, empty if a part is null or empty."""
-    cols = [F.col(p) if isinstance(p, str) else p for p in parts]
-    whole = F.lit(True)
-    for c in cols:
-        whole = whole & c.isNotNull() & (c != "")
-    return F.when(whole, F.array(F.concat_ws("|", *cols))).otherwise(F.array().cast("array<string>"))
 
 
-def _keys_of(arr: Column, *parts: str) -> Column:
-    """Each of an array's words with the parts; none if a part, the given or the family name is missing."""
-    whole = F.lit(True)
-    for p in (*parts, "given", "family"):
-        whole = whole & F.col(p).isNotNull() & (F.col(p) != "")
-    return F.when(whole, F.transform(F.array_distinct(arr), lambda x: F.concat_ws("|", x, *[F.col(p) for p in parts]))).otherwise(F.array().cast("array<string>"))
-
-
-def _without_one(c: Column) -> Column:
-    """The word and the word less each of its letters."""
-    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
-    return F.concat(F.array(c), cuts)
+def _less_one(word: str) -> list[str]:
+    return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -59,77 +60,114 @@ def one_edit(a: Column, b: Column) -> Column:
     return lev.between(0, 1) | swap
 
 
-def _differ(a: str) -> Column:
-    return F.col(a) != F.col(f"{a}_b")
-
-
 def cascade() -> list[Rule]:
     """The rules from the strictest to the weakest."""
-    full = lambda *p, rest=False: F.when(F.length("given") >= 2, _key("given", *(() if rest else ("family",)), *p)).otherwise(F.array().cast("array<string>"))
-    formal = lambda *p: F.when(F.length("given") >= 3, _keys_of(F.transform("names", lambda n: F.concat_ws("|", n, "family")), *p)).otherwise(F.array().cast("array<string>"))
-    letter = lambda *p: _keys_of(F.transform("names", lambda n: F.concat_ws("|", F.substring(n, 1, 1), "family")), *p)
-    given_ok = (F.length("given") < 3) | (F.length("given_b") < 3) | F.arrays_overlap("names", "names_b") | one_edit(F.col("given"), F.col("given_b"))
-    initials_ok = ((F.length("given") == 1) | (F.length("given_b") == 1) | ((F.length("given") == 2) != (F.length("given_b") == 2)) | (F.col("given") == F.col("given_b")) | F.arrays_overlap("names", "names_b"))
-    close_family = one_edit(F.col("family"), F.col("family_b")) & given_ok
-    known_less = F.col("team").isNull() | F.col("team_b").isNull()
-    nearly = lambda *p: _keys_of(F.transform(_without_one(F.col("family")), lambda f: F.concat_ws("|", F.substring(F.element_at("names", -1), 1, 1), f)), *p)
-    nearly_given = lambda *p: F.when(F.length("given") >= 4, _keys_of(F.transform(_without_one(F.col("given")), lambda g: F.concat_ws("|", g, "family")), *p)).otherwise(F.array().cast("array<string>"))
-    halved = lambda *p: _keys_of(F.transform(F.array_compact(F.array("half", "family")), lambda h: F.concat_ws("|", F.substring(F.element_at("names", -1), 1, 1), h)), *p)
+
+    def name(r: Record) -> list[str]:
+        return [f"{r.given}|{r.family}"] if r.whole() and r.family else []
+
+    def formal(r: Record) -> list[str]:
+        return [f"{g}|{r.family}" for g in r.forms()] if len(r.given) >= 3 and r.family else []
+
+    def initial(r: Record) -> list[str]:
+        return sorted({f"{g[0]}|{r.family}" for g in r.forms()}) if r.family else []
+
+    def given_typo(r: Record) -> list[str]:
+        return [f"{g}|{r.family}" for g in _less_one(r.given)] if len(r.given) >= 4 and r.family else []
+
+    def family_typo(r: Record) -> list[str]:
+        return sorted({f"{r.forms()[-1][0]}|{f}" for f in _less_one(r.family)}) if r.given and r.family else []
+
+    def half(r: Record) -> list[str]:
+        return sorted({f"{r.forms()[-1][0]}|{h}" for h in (r.half, r.family) if h}) if r.given and r.half and r.half != r.family or r.given and r.family else []
+
+    def start(r: Record) -> list[str]:
+        return [f"{r.given}|{r.family[:3]}"] if r.whole() and r.family else []
+
+    def at(keys: Callable[[Record], list[str]], *need: str) -> Callable[[Record], list[str]]:
+        return lambda r: [f"{k}|{'|'.join(getattr(r, n) for n in need)}" for k in keys(r)] if all(getattr(r, n) for n in need) else []
+
+    ga, gb = F.col("given"), F.col("given_b")
+    fa, fb = F.col("family"), F.col("family_b")
+    alike = F.arrays_overlap("names", "names_b")
+    given_ok = (F.length(ga) < 3) | (F.length(gb) < 3) | alike | one_edit(ga, gb)
+    short = (F.length(ga) == 1) | (F.length(gb) == 1) | ((F.length(ga) == 2) != (F.length(gb) == 2)) | alike
+    close = one_edit(fa, fb) & given_ok
+    both_whole = (F.length(ga) >= 2) & (F.length(gb) >= 2)
+    cut_name = (fa != fb) & ((F.col("half") == fb) | (F.col("half_b") == fa)) & given_ok
+    unknown = (F.col("team") == "") | (F.col("team_b") == "")
     return [
-        Rule("unit", lambda: _key("unit"), None, True),
-        Rule("name_position_team", lambda: full("pos", "team"), None, True),
-        Rule("formal_name_position_team", lambda: formal("pos", "team"), None, True),
-        Rule("initial_position_team", lambda: letter("pos", "team"), initials_ok, True),
-        Rule("given_typo_position_team", lambda: nearly_given("pos", "team"), one_edit(F.col("given"), F.col("given_b")), True),
-        Rule("family_typo_position_team", lambda: nearly("pos", "team"), close_family, True),
-        Rule("half_family_position_team", lambda: halved("pos", "team"), given_ok, True),
-        Rule("family_two_typos_position_team", lambda: full(F.substring("family", 1, 3), "pos", "team", rest=True), F.levenshtein("family", "family_b") <= 3, True),
-        Rule("name_position", lambda: full("pos")),
-        Rule("formal_name_position", lambda: formal("pos")),
-        Rule("name_team", lambda: full("team")),
-        Rule("formal_name_team", lambda: formal("team")),
-        Rule("given_typo_position", lambda: nearly_given("pos"), one_edit(F.col("given"), F.col("given_b"))),
-        Rule("half_family_position", lambda: halved("pos"), given_ok),
-        Rule("initial_position", lambda: letter("pos"), initials_ok),
-        Rule("family_typo_position_no_team", lambda: nearly("pos"), close_family & known_less),
-        Rule("family_typo_position", lambda: nearly("pos"), close_family & (F.length("given") >= 3) & (F.length("given_b") >= 3)),
-        Rule("initial_team", lambda: letter("team"), initials_ok),
-        Rule("family_typo_team", lambda: nearly("team"), close_family & (F.length("given") >= 2) & (F.length("given_b") >= 2)),
-        Rule("name_only", lambda: full(), F.col("pos").isNull() | F.col("pos_b").isNull() | known_less),
+        Rule("unit", 0, lambda r: [r.unit] if r.unit else []),
+        Rule("name_position_team", 0, at(name, "pos", "team")),
+        Rule("formal_name_position_team", 0, at(formal, "pos", "team")),
+        Rule("initial_position_team", 0, at(initial, "pos", "team"), short),
+        Rule("given_typo_position_team", 0, at(given_typo, "pos", "team"), one_edit(ga, gb)),
+        Rule("family_typo_position_team", 0, at(family_typo, "pos", "team"), close),
+        Rule("half_family_position_team", 0, at(half, "pos", "team"), cut_name),
+        Rule("family_two_typos_position_team", 0, at(start, "pos", "team"), F.levenshtein(fa, fb) <= 3),
+        Rule("name_position", 1, at(name, "pos")),
+        Rule("formal_name_position", 1, at(formal, "pos")),
+        Rule("name_team", 1, at(name, "team")),
+        Rule("formal_name_team", 1, at(formal, "team")),
+        Rule("given_typo_position", 2, at(given_typo, "pos"), one_edit(ga, gb)),
+        Rule("half_family_position", 2, at(half, "pos"), cut_name),
+        Rule("family_typo_position_no_team", 2, at(family_typo, "pos"), close & unknown),
+        Rule("family_typo_position", 2, at(family_typo, "pos"), close & (F.length(ga) >= 3) & (F.length(gb) >= 3)),
+        Rule("initial_position", 3, at(initial, "pos"), short),
+        Rule("initial_team", 3, at(initial, "team"), short),
+        Rule("family_typo_team", 3, at(family_typo, "team"), close & both_whole),
+        Rule("name_only", 3, name, (F.col("pos") == "") | (F.col("pos_b") == "") | unknown),
     ]
 
 
 PART = ("ident", "unit", "given", "family", "half", "names", "pos", "team")
 
 
-def read_records(left: DataFrame, right: DataFrame, teams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sources, each (ident, name, pos, team), as parts of names; see variants.parse_names."""
+def read_records(left: DataFrame, right: DataFrame, teams: DataFrame) -> DataFrame:
+    """Both sources, each (ident, name, pos, team), as parts of names with their side, 0 or 1."""
     units = collect_units(teams)
-    both = parse_names(left, units).withColumn("side", F.lit(0)).unionByName(parse_names(right, units).withColumn("side", F.lit(1)))
-    both = cut(both)
+    both = cut(parse_names(left, units).withColumn("side", F.lit(0)).unionByName(parse_names(right, units).withColumn("side", F.lit(1))))
     people = order_words(both, ("side",)).withColumn("unit", F.lit(None).cast("string"))
     cols = ["side", *[c for c in PART if c != "names"]]
-    rows = people.select(cols).unionByName(both.where("unit is not null").select(cols)).withColumn("names", _forms(F.coalesce("given", F.lit(""))))
-    rows = cut(rows.where("unit is not null or family <> ''"))
-    return tuple(rows.where(F.col("side") == k).select(*PART) for k in (0, 1))
-
-
-def rule_pairs(a: DataFrame, b: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b) of the pairs of records that a rule joins; both sides have a flag open."""
-    x = a.withColumn("key", F.explode(rule.keys()))
-    y = b.select("*").withColumn("key", F.explode(rule.keys()))
-    y = y.select("key", *[F.col(c).alias(f"{c}_b") for c in b.columns])
-    pairs = x.join(y, "key")
-    pairs = pairs.where(F.col("open") | F.col("open_b")) if rule.strong else pairs.where(F.col("open") & F.col("open_b"))
-    if rule.check is not None:
-        pairs = pairs.where(rule.check)
-    who = lambda s: F.concat_ws("|", *[F.coalesce(F.col(f"{c}{s}"), F.lit("-")) for c in ("given", "family", "pos", "team")])
-    pairs = pairs.select(F.col("ident").alias("a"), F.col("ident_b").alias("b"), who("").alias("wa"), who("_b").alias("wb")).distinct()
-    if rule.strong:
-        return pairs.select("a", "b")
-    rivals_a = pairs.groupBy("a").agg(F.min("wb").alias("lo"), F.max("wb").alias("hi")).where("lo = hi").select("a")
-    rivals_b = pairs.groupBy("b").agg(F.min("wa").alias("lo"), F.max("wa").alias("hi")).where("lo = hi").select("b")
-    return pairs.join(rivals_a, "a").join(rivals_b, "b").select("a", "b")
+    rows = people.select(cols).unionByName(both.where("unit is not null").select(cols)).where("unit is not null or family <> ''")
+    return rows.select("side", "ident", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("unit", "given", "family", "half", "pos", "team")])
+
+
+def _keyed(rules: list[tuple[int, Rule]]):
+    makers = [(i, rule.keys) for i, rule in rules]
+    schema = pa.schema([("rule", pa.int32()), ("key", pa.string()), ("side", pa.int32()), ("ident", pa.int64()), ("given", pa.string()), ("family", pa.string()), ("half", pa.string()), ("pos", pa.string()), ("team", pa.string()), ("names", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[] for _ in schema]
+            for side, ident, unit, given, family, half, pos, team in zip(*(c.to_pylist() for c in batch.columns)):
+                r = Record(unit, given, family, half, pos, team)
+                for i, keys in makers:
+                    for key in keys(r):
+                        for c, v in zip(cols, (i, key, side, ident, given, family, half, pos, team, r.forms())):
+                            c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    return run, "rule int, key string, side int, ident bigint, given string, family string, half string, pos string, team string, names array<string>"
+
+
+def tier_pairs(records: DataFrame, rules: list[tuple[int, Rule]], unique: bool) -> DataFrame:
+    """(a, b, rule): the pairs that each of the rules joins on its own; one exact join on rule and key."""
+    run, kind = _keyed(rules)
+    keyed = records.select("side", "ident", "unit", "given", "family", "half", "pos", "team").mapInArrow(run, kind)
+    x = keyed.where("side = 0").drop("side")
+    y = keyed.where("side = 1").drop("side").select("rule", "key", *[F.col(c).alias(f"{c}_b") for c in ("ident", "given", "family", "half", "pos", "team", "names")])
+    check: Column = F.lit(True)
+    for i, rule in rules:
+        if rule.check is not None:
+            check = F.when(F.col("rule") == i, rule.check).otherwise(check)
+    who = lambda s: F.xxhash64(*[f"{c}{s}" for c in ("given", "family", "pos", "team")])
+    pairs = x.join(y, ["rule", "key"]).where(check).select("rule", F.col("ident").alias("a"), F.col("ident_b").alias("b"), who("").alias("wa"), who("_b").alias("wb"))
+    pairs = pairs.distinct()
+    if not unique:
+        return pairs.select("a", "b", "rule")
+    rivals = lambda c, w: pairs.groupBy("rule", c).agg(F.min(w).alias("lo"), F.max(w).alias("hi")).where("lo = hi").select("rule", c)
+    return pairs.join(rivals("a", "wb"), ["rule", "a"]).join(rivals("b", "wa"), ["rule", "b"]).select("a", "b", "rule")
 
 
 def match_records(
@@ -142,41 +180,46 @@ def match_records(
 ) -> DataFrame:
     """(a, b, rule, confidence): records of two sources that describe the same player or team unit.
 
-    left and right: (ident, name, pos, team). Each rule is an exact join on a combination of
-    normalised attributes; what it resolves is taken out before the next, weaker one. A player
-    listed twice gives a pair for each row. Rules without both position and team need a
-    single candidate on each side.
+    left and right: (ident, name, pos, team). The rules form a cascade from strict to weak; what
+    a rule resolves is taken out before the next one. Rules of a tier share one join on (rule,
+    key). A record is resolved at the first rule that joins it, so within tier 0 a pair counts
+    if its rule is the first of either record, and in later tiers, where both must still be
+    open, if it is the first of both; resolved records are anti-joined before each later
+    tier. A player listed twice gives a pair for each row.
 
     A rule's confidence is its precision on labelled pairs (a, b): of the pairs of labelled
     records that it joins on its own, the share that is labelled, with one success and one
-    failure added. Without labels the pairs of the strictest name rule stand in for them.
+    failure added. Without labels the pairs of the strictest rules stand in for them.
 
     Null identifiers and names without a family name take no part; null positions and teams
     match nothing, but weaker rules go without them. Repeated rows match like any other. If
     either table is empty there are no pairs.
     """
     rules = rules or cascade()
-    a, b = read_records(left.toDF("ident", "name", "pos", "team").where("ident is not null and name is not null"), right.toDF("ident", "name", "pos", "team").where("ident is not null and name is not null"), teams)
+    numbered = list(enumerate(rules))
+    clean = lambda d: d.toDF("ident", "name", "pos", "team").where("ident is not null and name is not null")
+    records = cut(read_records(clean(left), clean(right), teams))
     found: DataFrame | None = None
-    for rule in rules:
-        if found is None:
-            sides = [d.withColumn("open", F.lit(True)) for d in (a, b)]
-        else:
-            sides = [
-                d.join(found.select(F.col(c).alias("ident"), F.lit(False).alias("open")).distinct(), "ident", "left").withColumn("open", F.coalesce("open", F.lit(True)))
-                for d, c in ((a, "a"), (b, "b"))
-            ]
-        new = rule_pairs(*sides, rule).withColumn("rule", F.lit(rule.name))
+    for tier in sorted({r.tier for r in rules}):
+        mine = [(i, r) for i, r in numbered if r.tier == tier]
+        open_ = records
+        if found is not None:
+            done = found.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("ident")), F.struct(F.lit(1).alias("side"), F.col("b").alias("ident")))).alias("x")).select("x.*").distinct()
+            open_ = records.join(done, ["side", "ident"], "left_anti")
+        pairs = tier_pairs(open_, mine, tier > 0).groupBy("a", "b").agg(F.min("rule").alias("rule"))
+        first = lambda c: pairs.groupBy(c).agg(F.min("rule").alias(f"first_{c}"))
+        both = pairs.join(first("a"), "a").join(first("b"), "b")
+        own_a, own_b = F.col("rule") == F.col("first_a"), F.col("rule") == F.col("first_b")
+        new = both.where(own_a & own_b if tier else own_a | own_b).select("a", "b", "rule")
         found = cut(new if found is None else found.unionByName(new))
+    names = F.element_at(F.array(*[F.lit(r.name) for r in rules]), F.col("rule") + 1)
     if not confidence:
-        return found
-    truth = (found.where("rule in ('name_position_team', 'unit')") if labels is None else labels).select("a", "b").distinct()
-    known_a, known_b = truth.select(F.col("a").alias("ident")).distinct(), truth.select(F.col("b").alias("ident")).distinct()
-    la, lb = (cut(d.join(k, "ident", "left_semi").withColumn("open", F.lit(True))) for d, k in ((a, known_a), (b, known_b)))
-    tried: DataFrame | None = None
-    for rule in rules:
-        part = rule_pairs(la, lb, rule).withColumn("rule", F.lit(rule.name))
-        tried = part if tried is None else tried.unionByName(part)
+        return found.select("a", "b", names.alias("rule"))
+    strict = [i for i, r in numbered if r.name in ("unit", "name_position_team")]
+    truth = (found.where(F.col("rule").isin(strict)) if labels is None else labels).select("a", "b").distinct()
+    known = truth.select(F.lit(0).alias("side"), F.col("a").alias("ident")).unionByName(truth.select(F.lit(1).alias("side"), F.col("b").alias("ident"))).distinct()
+    labelled = records.join(known, ["side", "ident"], "left_semi")
+    tried = tier_pairs(labelled, [x for x in numbered if x[1].tier == 0], False).unionByName(tier_pairs(labelled, [x for x in numbered if x[1].tier > 0], True))
     hits = tried.join(truth.withColumn("hit", F.lit(1)), ["a", "b"], "left")
-    sure = cut(hits.groupBy("rule").agg(((F.count("hit") + 1) / (F.count("*") + 2)).alias("confidence")))
-    return found.join(F.broadcast(sure), "rule", "left").select("a", "b", "rule", F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
+    sure = hits.groupBy("rule").agg(((F.count("hit") + 1) / (F.count("*") + 2)).alias("confidence"))
+    return found.join(sure, "rule", "left").select("a", "b", names.alias("rule"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
