@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import training_data
+from .plans import relational, training_data
 from .registry import Registry
 
-PLANS = (training_data,)
+PLANS = (relational, training_data)
 
 
 def core_registry() -> Registry:
