@@ -169,8 +169,9 @@ def link_variants(rows: DataFrame, teams: DataFrame, ident: str, name: str, pos:
 
     1. Names are cleaned and read; team units are found in a trie of the known spellings.
     2. Names with a whole given name that are spelled alike, of one position, form a core.
-    3. Family names within one edit of each other come from the trie join; given names are then
-       compared in either order of words, as nicknames, initials and with one typing error.
+    3. Family names within one edit of each other come from the trie join, those with one
+       typing error each from cores of the same given name, position and team; given names are
+       then compared in either order of words, as nicknames, initials and with one typing error.
     4. A core joins a better supported one, or an entry without a whole given name joins a core, if
        position and team speak for it; a typing error in the family name needs more of that than
        an initial does. Entries left over that are written alike stay together.
@@ -194,10 +195,13 @@ def link_variants(rows: DataFrame, teams: DataFrame, ident: str, name: str, pos:
     forms = cut(by_form.withColumn("form", key).withColumn("names", _forms(F.col("given"))))
     cores = forms.where("full")
 
-    near = edit_neighbours(forms.select("family"), cores.select("family"), 2)
-    near = near.where(F.least(F.length("probe"), F.length("word")) >= F.element_at(F.array(F.lit(0), F.lit(5), F.lit(9)), F.col("edits") + 1)).select("probe", "word", F.col("edits").cast("double").alias("fd"))
+    near = edit_neighbours(forms.select("family"), cores.select("family"), 1)
+    near = near.where((F.col("edits") == 0) | (F.least(F.length("probe"), F.length("word")) >= 5)).select("probe", "word", F.col("edits").cast("double").alias("fd"))
     halves = cores.where("half is not null and half <> family").select(F.col("half").alias("probe"), F.col("family").alias("word"), F.lit(0.5).alias("fd")).distinct()
-    near = near.unionByName(halves).groupBy("probe", "word").agg(F.min("fd").alias("fd"))
+    blocked = cores.where("pos is not null and team is not null and length(family) >= 9").select("given", "pos", "team", F.substring("family", 1, 2).alias("start"), "family")
+    twice = blocked.withColumnRenamed("family", "probe").join(blocked.withColumnRenamed("family", "word"), ["given", "pos", "team", "start"])
+    twice = twice.where(F.levenshtein("probe", "word", 3).between(2, 3)).select("probe", "word", F.lit(2.0).alias("fd")).distinct()
+    near = near.unionByName(halves).unionByName(twice).groupBy("probe", "word").agg(F.min("fd").alias("fd"))
 
     letters = F.when(
         F.length("given") > 0,
