@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import relational, training_data
+from .plans import evaluation, relational, training_data
 from .registry import Registry
 
-PLANS = (relational, training_data)
+PLANS = (relational, evaluation, training_data)
 
 
 def core_registry() -> Registry:

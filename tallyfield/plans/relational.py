@@ -206,12 +206,12 @@ def j11(s, d):
 @q("j13_history_before", """
     WITH h AS (SELECT o.o_orderkey, e.o_totalprice AS v, row_number() OVER (PARTITION BY o.o_orderkey ORDER BY e.o_orderdate DESC, e.o_orderkey DESC) AS k
                FROM orders o JOIN orders e ON e.o_custkey = o.o_custkey AND e.o_orderdate < o.o_orderdate)
-    SELECT o.o_orderkey, round(avg(v), 2) AS mean_before, CAST(count(v) AS INTEGER) AS n_before FROM orders o LEFT JOIN (SELECT * FROM h WHERE k <= 8) h USING (o_orderkey) GROUP BY o.o_orderkey""")
+    SELECT o.o_orderkey, round(avg(v), 6) AS mean_before, CAST(count(v) AS INTEGER) AS n_before FROM orders o LEFT JOIN (SELECT * FROM h WHERE k <= 8) h USING (o_orderkey) GROUP BY o.o_orderkey""")
 def j13(s, d):
     o = table(s, d, "orders")
     asked, past = o.select("o_custkey", F.col("o_orderkey").alias("event_key"), "o_orderdate"), o.select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
     got = M.history_before(asked, past, "o_custkey", "event_key", "o_orderdate", "o_orderdate", "o_totalprice", 8, ["o_orderkey"])
-    return got.select(F.col("event_key").alias("o_orderkey"), F.round("mean_before", 2).alias("mean_before"), "n_before")
+    return got.select(F.col("event_key").alias("o_orderkey"), F.round("mean_before", 6).alias("mean_before"), "n_before")
 
 
 @q("j14_membership_as_of", """
