@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import evaluation, relational, training_data
+from .plans import evaluation, feeds, modelling, relational, training_data
 from .registry import Registry
 
-PLANS = (relational, evaluation, training_data)
+PLANS = (relational, evaluation, feeds, modelling, training_data)
 
 
 def core_registry() -> Registry:

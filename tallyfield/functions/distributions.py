@@ -77,7 +77,7 @@ def poisson_survival_sql(k: str, rate: str, engine: str = "spark") -> str:
     """P(X >= k) of a Poisson variable, for small k, by summing the terms below k."""
     if engine == "spark":
         return f"(1 - exp(-{rate}) * aggregate(sequence(1, greatest({k}, 1)), named_struct('s', CAST(0 AS DOUBLE), 't', CAST(1 AS DOUBLE)), (a, i) -> named_struct('s', a.s + IF(i <= {k}, a.t, CAST(0 AS DOUBLE)), 't', a.t * {rate} / i), a -> a.s))"
-    return f"(1 - exp(-{rate}) * list_sum(list_transform(range(0, {k}), i -> pow({rate}, i) / factorial(i::INTEGER)::DOUBLE)))"
+    return f"(1 - exp(-{rate}) * coalesce(list_sum(list_transform(range(0, {k}), lambda i: pow({rate}, i) / factorial(i::INTEGER)::DOUBLE)), 0))"
 
 
 def weibull_survival_sql(t: str, shape: str, scale: str) -> str:
