@@ -292,27 +292,35 @@ def edit_script(old: Parsed, new: Parsed) -> list[tuple[str, tuple[str, ...] | N
     """The least-cost script of add, delete, rename, retype and move between two files' schemas.
 
     A field of the same name and parent is the same field. Under the same parent a field may
-    go on under another name if its values agree for the same rows. What is deleted under one
-    parent and added under another, with the same name or agreeing values, is moved.
+    go on under another name if its values agree for the same rows. A leaf that is deleted under
+    one parent and added under another, with the same name or agreeing values, is moved; of
+    whole branches that come or go every leaf is reported.
     """
     align(old, new)
     _, script = _match(old.root, new.root, (), ())
-    deleted = [s for s in script if s[0] == "delete"]
-    added = [s for s in script if s[0] == "add"]
-    out = [s for s in script if s[0] not in ("delete", "add")]
-    for d in deleted:
-        x = _leaf(old.root, d[1])
-        for s in added:
-            y = _leaf(new.root, s[2])
-            if s[2][:-1] != d[1][:-1] and not x.children and not y.children and (x.name == y.name or likeness(x, y) >= SAME_VALUES):
-                out.append(("move", d[1], s[2]))
-                added.remove(s)
-                break
+    gone = [(*s[1], *path) for s in script if s[0] == "delete" for path in _inner(_leaf(old.root, s[1]))]
+    come = [(*s[2], *path) for s in script if s[0] == "add" for path in _inner(_leaf(new.root, s[2]))]
+    out: list[tuple] = [s for s in script if s[0] not in ("delete", "add")]
+    for a in gone:
+        x = _leaf(old.root, a)
+        elsewhere = [b for b in come if b[:-1] != a[:-1]]
+        b = next((b for b in elsewhere if b[-1] == a[-1]), None) or next((b for b in elsewhere if likeness(x, _leaf(new.root, b)) >= SAME_VALUES), None)
+        if b is None:
+            out.append(("delete", a, None))
         else:
-            out.append(d)
+            out.append(("move", a, b))
+            come.remove(b)
+    added = [("add", None, b) for b in come]
     return sorted(out + added, key=lambda s: (s[0], s[1] or (), s[2] or ()))
 
 
+def _inner(node: Node) -> list[tuple[str, ...]]:
+    """Paths of a node's leaves from the node; a leaf's own path is empty."""
+    if not node.children:
+        return [()]
+    return [(k, *rest) for k, c in node.children.items() for rest in _inner(c)]
+
+
 def _dotted(path: tuple[str, ...] | None) -> str:
     return ".".join(path) if path else ""
 
