@@ -44,7 +44,7 @@ class Units:
             return self.owner[bare]
         if meant and bare.upper() in self.codes:
             return self.codes[bare.upper()]
-        if len(bare) < 6 and not meant:
+        if not meant and (pos is not None or len(bare) < 6):
             return None
         if bare not in self.memo:
             k = 2 if len(bare) >= 12 else 1
