@@ -27,7 +27,7 @@ NICKNAMES = {
     "james": ("jim", "jimmy", "jamie"),
     "jeffrey": ("jeff",),
     "john": ("jack", "johnny"),
-    "jonathan": ("jon", "jonny", "nathan"),
+    "jonathan": ("jon", "jonny", "johnny", "nathan"),
     "joseph": ("joe", "joey"),
     "joshua": ("josh",),
     "kenneth": ("ken", "kenny"),
@@ -81,6 +81,12 @@ def canonical_position(p: str | None) -> str | None:
     return None if p not in POSITIONS else "DEF" if p in ("DEF", "DST", "D/ST") else p
 
 
+def kindred_names(given: str) -> list[str]:
+    """The given name, the formal names that it may be short for and their short forms."""
+    forms = short_forms(given)
+    return list(dict.fromkeys([*forms, *(n for f in forms for n in NICKNAMES.get(f, ()))]))
+
+
 def short_forms(given: str) -> list[str]:
     """The given name and every formal name that it may be short for."""
     return [given, *FORMAL.get(given, [])]
@@ -90,11 +96,11 @@ class Name:
     """Parts of a typed name.
 
     long: words of three letters or more without suffixes, in the order typed; comma: how many
-    of them stood before a comma (0: no comma); initials: letters of shorter words; halves of
-    a hyphened word are kept apart in `first_half`.
+    of them stood before a comma (0: no comma); initials: letters of shorter words, outer if they
+    stood before all long words; halves of a hyphened word are kept apart in `first_half`.
     """
 
-    __slots__ = ("long", "comma", "initials", "suffix", "tail", "first_half")
+    __slots__ = ("long", "comma", "initials", "outer", "suffix", "tail", "first_half")
 
     def __init__(self, text: str | None) -> None:
         raw = (text or "").replace("\xa0", " ")
@@ -104,6 +110,7 @@ class Name:
             self.tail, raw = m[1].upper(), raw[: m.start()]
         s = _ANNOTATION.sub("", fold(raw)).replace("'", "").replace("’", "")
         self.long, self.initials, self.suffix, self.comma, self.first_half = [], "", None, 0, {}
+        places: list[int] = []
         for part, chunk in enumerate(s.split(",")):
             if part == 1:
                 self.comma = len(self.long)
@@ -116,10 +123,12 @@ class Name:
                     self.suffix = bare
                 elif len(bare) <= 2 and bare not in FORMAL:
                     self.initials += bare
+                    places.append(len(self.long))
                 else:
                     self.long.append(bare)
                     if len(pieces) > 1:
                         self.first_half[bare] = pieces[0]
+        self.outer = bool(places) and set(places) == {0}
 
 
 def unit_spellings(code: str, alt: str | None, city: str | None, nickname: str | None) -> list[str]:
@@ -140,4 +149,6 @@ def unit_text(text: str | None) -> tuple[str, bool]:
     s = re.sub(r"\s+[-–—]\s+[a-z0-9]{2,3}$", "", s)
     ws = re.findall(r"[a-z0-9]+", s)
     bare = [w for w in ws if w not in DEFENCE_WORDS and w != "the"]
+    if len(bare) == 2 and bare[1] == "d" and len(bare[0]) <= 3:
+        return bare[0], True
     return "".join(bare), any(w in DEFENCE_WORDS for w in ws)

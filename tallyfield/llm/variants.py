@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..session import cut
 from .automaton import LevenshteinAutomaton, build_trie
-from .names import FORMAL, Name, canonical_position, unit_spellings, unit_text
+from .names import FORMAL, NICKNAMES, Name, canonical_position, kindred_names, unit_spellings, unit_text
 from .triejoin import edit_neighbours
 
 MAX_UNITS = 20_000
@@ -92,8 +92,8 @@ def parse_names(rows: DataFrame, units: list[tuple]) -> DataFrame:
         if n.comma and len(long) > n.comma:
             given, family = long[n.comma], long[: n.comma]
             first, last, sure = given, "".join(family), True
-        elif len(long) < 2 or n.comma:
-            given, family, sure = n.initials, long, False
+        elif len(long) < 2 or n.comma or n.outer:
+            given, family, sure = n.initials[:2], long, False
         else:
             given, family, sure = long[0], long[1:], False
             other_given, other_family = long[-1], "".join(long[:-1])
@@ -117,15 +117,15 @@ def _forms(c: Column) -> Column:
 
 
 def order_words(parsed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Names with given and family names told apart by where their words mostly stand."""
+    """Names with given and family names told apart by where their words stand in all other entries."""
     decided = parsed.where("first is not null")
     places = decided.select(
         F.explode(F.array(F.struct(F.col("first").alias("w"), F.lit(1.0).alias("f")), F.struct(F.col("last").alias("w"), F.lit(0.0).alias("f")))).alias("x")
     ).select("x.w", "x.f")
-    share = places.groupBy("w").agg(((F.sum("f") + 1) / (F.count("*") + 2)).alias("share"))
+    share = places.groupBy("w").agg(F.sum("f").alias("f"), F.count("*").alias("c"))
     names = parsed.where("unit is null")
-    joined = names.join(share.select(F.col("w").alias("first"), F.col("share").alias("fs")), "first", "left").join(
-        share.select(F.col("w").alias("last"), F.col("share").alias("ls")), "last", "left"
+    joined = names.join(share.select(F.col("w").alias("first"), (F.col("f") / (F.col("c") + 1)).alias("fs")), "first", "left").join(
+        share.select(F.col("w").alias("last"), ((F.col("f") + 1) / (F.col("c") + 1)).alias("ls")), "last", "left"
     )
     swap = F.coalesce(~F.col("sure") & (F.col("ls") > F.col("fs")) & F.col("other_given").isNotNull(), F.lit(False))
     return joined.select(
@@ -140,16 +140,25 @@ def order_words(parsed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def _kindred(c: Column) -> Column:
+    """The given name with all names that are used for one another with it."""
+    every = sorted({*FORMAL, *NICKNAMES})
+    pairs = [x for g in every for x in (F.lit(g), F.array(*[F.lit(k) for k in kindred_names(g)]))]
+    return F.coalesce(F.element_at(F.create_map(*pairs), c), F.array(c))
+
+
 def is_full(given: Column) -> Column:
     """A given name that tells one player of a family from another: a word or two initials."""
     return F.length(given) >= 2
 
 
-def likeness_of_given(a: Column, b: Column, fa: Column, fb: Column) -> Column:
+def likeness_of_given(a: Column, b: Column, fa: Column, fb: Column, ka: Column, kb: Column) -> Column:
     """How far two given names are from being the same: 0 equal to 1 a typing error; null if they differ."""
-    short_a, short_b = F.least(F.length(a), F.lit(3)), F.least(F.length(b), F.lit(3))
-    lev = F.levenshtein(a, b, 2)
-    swapped = (lev == 2) & (F.length(a) == F.length(b)) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, "")))
+    short_a, short_b = (F.when(F.size(f) > 1, 3).otherwise(F.least(F.length(x), F.lit(3))) for x, f in ((a, fa), (b, fb)))
+    def typed(x: Column, y: Column) -> Column:
+        lev = F.levenshtein(x, y, 2)
+        return F.coalesce(lev.between(0, 1), F.lit(False)) | ((lev == 2) & (F.length(x) == F.length(y)) & (F.array_sort(F.split(x, "")) == F.array_sort(F.split(y, ""))))
+
     starts = lambda x, forms: F.exists(forms, lambda f: f.startswith(F.substring(x, 1, 1)))
     return (
         F.when(a == b, 0.0)
@@ -160,7 +169,8 @@ def likeness_of_given(a: Column, b: Column, fa: Column, fb: Column) -> Column:
         .when((short_b == 1) & (short_a == 3) & starts(b, fa), 0.5)
         .when((short_a == 2) & (short_b == 3) & starts(a, fb), 0.7)
         .when((short_b == 2) & (short_a == 3) & starts(b, fa), 0.7)
-        .when((short_a == 3) & (short_b == 3) & (F.coalesce(lev.between(0, 1), F.lit(False)) | swapped), 1.0)
+        .when((short_a == 3) & (short_b == 3) & typed(a, b), 1.0)
+        .when((short_a == 3) & (short_b == 3) & (F.exists(kb, lambda k: (F.length(k) > 3) & typed(a, k)) | F.exists(ka, lambda k: (F.length(k) > 3) & typed(b, k))), 1.0)
     )
 
 
@@ -187,18 +197,20 @@ def link_variants(rows: DataFrame, teams: DataFrame, ident: str, name: str, pos:
 
     profiles = people.groupBy("given", "family", "half", "pos", "team").agg(F.count("*").alias("n"))
     by_form = profiles.groupBy("given", "family", "pos").agg(
-        F.sum("n").alias("n"), F.max("half").alias("half"), F.max(F.struct(F.when(F.col("team").isNotNull(), F.col("n")).alias("n"), "team")).alias("t")
+        F.sum("n").alias("n"), F.max("half").alias("half"), F.collect_set("team").alias("teams")
     )
-    by_form = by_form.select("given", "family", "pos", "n", "half", F.col("t.team").alias("team"), is_full(F.col("given")).alias("full"))
+    by_form = by_form.select("given", "family", "pos", "n", "half", "teams", is_full(F.col("given")).alias("full"))
     key = F.concat_ws("|", "given", "family", F.coalesce("pos", F.lit("-")))
     by_form = by_form.withColumn("n", F.sum("n").over(Window.partitionBy("given", "family")))
-    forms = cut(by_form.withColumn("form", key).withColumn("names", _forms(F.col("given"))))
+    forms = cut(by_form.withColumn("form", key).withColumn("names", _forms(F.col("given"))).withColumn("kin", _kindred(F.col("given"))))
     cores = forms.where("full")
 
-    near = edit_neighbours(forms.select("family"), cores.select("family"), 1)
+    near = edit_neighbours(forms.select("family"), forms.select("family"), 1)
     near = near.where((F.col("edits") == 0) | (F.least(F.length("probe"), F.length("word")) >= 5)).select("probe", "word", F.col("edits").cast("double").alias("fd"))
-    halves = cores.where("half is not null and half <> family").select(F.col("half").alias("probe"), F.col("family").alias("word"), F.lit(0.5).alias("fd")).distinct()
-    blocked = cores.where("pos is not null and team is not null and length(family) >= 9").select("given", "pos", "team", F.substring("family", 1, 2).alias("start"), "family")
+    two = "half is not null and half <> family"
+    halves = cores.where(two).select(F.col("half").alias("probe"), F.col("family").alias("word"), F.lit(0.5).alias("fd"))
+    halves = halves.unionByName(forms.where(f"not full and {two}").select(F.col("family").alias("probe"), F.col("half").alias("word"), F.lit(0.5).alias("fd"))).distinct()
+    blocked = cores.where("pos is not null and length(family) >= 9").select("given", "pos", F.explode("teams").alias("team"), F.substring("family", 1, 2).alias("start"), "family")
     twice = blocked.withColumnRenamed("family", "probe").join(blocked.withColumnRenamed("family", "word"), ["given", "pos", "team", "start"])
     twice = twice.where(F.levenshtein("probe", "word", 3).between(2, 3)).select("probe", "word", F.lit(2.0).alias("fd")).distinct()
     near = near.unionByName(halves).unionByName(twice).groupBy("probe", "word").agg(F.min("fd").alias("fd"))
@@ -207,15 +219,15 @@ def link_variants(rows: DataFrame, teams: DataFrame, ident: str, name: str, pos:
         F.length("given") > 0,
         F.array_distinct(F.concat(F.transform("names", lambda x: F.substring(x, 1, 1)), F.when(F.length("given") > 2, F.array(F.substring("given", 2, 1))).otherwise(F.array().cast("array<string>")))),
     ).otherwise(F.array(F.lit("*")))
-    left = forms.select(F.col("family").alias("probe"), "form", "given", "names", "pos", "team", "n", "full", F.explode(letters).alias("letter"))
+    left = forms.select(F.col("family").alias("probe"), "form", "given", "names", "kin", "pos", "teams", "n", "full", F.explode(letters).alias("letter"))
     own = F.array_distinct(F.concat(F.transform("names", lambda x: F.substring(x, 1, 1)), F.array(F.lit("*"))))
-    right = cores.select(
-        F.col("family").alias("word"), F.col("form").alias("form_b"), F.col("given").alias("given_b"), F.col("names").alias("names_b"), F.col("pos").alias("pos_b"), F.col("team").alias("team_b"), F.col("n").alias("n_b"), F.explode(own).alias("letter")
+    right = forms.select(
+        F.col("family").alias("word"), F.col("form").alias("form_b"), F.col("given").alias("given_b"), F.col("names").alias("names_b"), F.col("kin").alias("kin_b"), F.col("full").alias("full_b"), F.col("pos").alias("pos_b"), F.col("teams").alias("teams_b"), F.col("n").alias("n_b"), F.explode(own).alias("letter")
     )
     pairs = left.join(near, "probe").join(right, ["word", "letter"]).where("form <> form_b and (pos is null or pos_b is null or pos = pos_b)")
-    g = likeness_of_given(F.col("given"), F.col("given_b"), F.col("names"), F.col("names_b"))
+    g = likeness_of_given(F.col("given"), F.col("given_b"), F.col("names"), F.col("names_b"), F.col("kin"), F.col("kin_b"))
     same_pos = F.coalesce((F.col("pos") == F.col("pos_b")).cast("double"), F.lit(0.0))
-    team_score = F.when(F.col("team") == F.col("team_b"), 1.5).when(F.col("team") != F.col("team_b"), -1.5).otherwise(0.0)
+    team_score = F.when((F.size("teams") == 0) | (F.size("teams_b") == 0), 0.0).when(F.arrays_overlap("teams", "teams_b"), 1.5).otherwise(-1.5)
     scored = pairs.withColumn("gd", g).where("gd is not null").withColumn("tp", same_pos).withColumn("tt", team_score)
     scored = scored.withColumn("score", F.col("tp") + F.col("tt") - F.col("gd") - F.col("fd"))
 
@@ -224,7 +236,7 @@ def link_variants(rows: DataFrame, teams: DataFrame, ident: str, name: str, pos:
     agree = F.col("tp") + F.col("tt")
     one_edit = (F.col("fd") == 1) & (F.col("n") <= 2) & (F.col("tt") >= 0)
     ok_core = better & (
-        (exact_family & (F.col("gd") == 0) & ((F.col("tt") >= 0) | (F.col("tp") > 0)))
+        (exact_family & (F.col("gd") == 0))
         | (exact_family & (F.col("gd") > 0) & (F.col("gd") < 0.7) & ((F.col("tp") > 0) | (F.col("tt") > 0)))
         | (exact_family & (F.col("gd") == 0.7) & (F.col("tp") > 0) & (F.col("tt") > 0))
         | (exact_family & (F.col("gd") == 1.0) & (agree > -1) & ((F.col("n") <= 2) | (agree > 2)))
@@ -233,8 +245,9 @@ def link_variants(rows: DataFrame, teams: DataFrame, ident: str, name: str, pos:
     )
     half_ok = (F.col("fd") == 0.5) & (F.col("gd") <= 0.7) & (F.col("tp") + F.col("tt") >= 1)
     ok_rest = (exact_family & ((F.col("tt") >= 0) | (F.col("tp") > 0))) | ((F.col("fd") == 1) & (F.col("tt") > 0)) | ((F.col("fd") == 2) & (F.col("tt") > 0) & (F.col("tp") > 0))
-    admitted = scored.where((F.col("full") & (ok_core | half_ok)) | (~F.col("full") & ok_rest))
-    best = Window.partitionBy("form").orderBy(F.desc("score"), F.desc("n_b"), "form_b")
+    alike = ~F.col("full") & ~F.col("full_b") & better & (F.col("fd") == 0) & (F.col("gd") == 0) & ((F.col("tt") >= 0) | (F.col("tp") > 0))
+    admitted = scored.where((F.col("full") & F.col("full_b") & (ok_core | half_ok)) | (~F.col("full") & F.col("full_b") & ok_rest) | alike)
+    best = Window.partitionBy("form").orderBy(F.desc("full_b"), F.desc("score"), F.desc("n_b"), "form_b")
     chosen = admitted.withColumn("k", F.row_number().over(best)).where("k = 1").select("form", F.col("form_b").alias("parent"))
 
     parent = forms.select("form").join(chosen, "form", "left").select("form", F.coalesce("parent", "form").alias("parent"))
