@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 
 def ranked_top_n(df: DataFrame, groups: list[str], order: list[Column], n: int | None, rank: str = "rank") -> DataFrame:
     """Rows with their place in a group under a total order, the first n if n is given.
@@ -76,6 +78,20 @@ def z_score(value: str, groups: list[str]) -> Column:
     return F.when(s > 1e-12, (F.col(value) - F.avg(value).over(w)) / s).otherwise(0.0)
 
 
+def running_total(df: DataFrame, order: str, value: str, out: str, including: bool = True) -> DataFrame:
+    """Running sum of a value over all rows in order, without sending all rows to one task.
+
+    Rows are divided by ranges of the order, so equal ones share a part; sums within a part
+    are added to the total of the parts before it, of which there are as many as partitions.
+    """
+    parts = cut(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
+    sums = parts.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if including else -1)
+    total = F.coalesce(F.sum(value).over(w), F.lit(0)) + F.col("_before")
+    return parts.join(F.broadcast(before), "_part").withColumn(out, total).drop("_part", "_before")
+
+
 def trim_pool(df: DataFrame, ident: str, team: str, value: str, price: str, size: int, reserved: int, anchors: int) -> DataFrame:
     """At most `size` entities: the best of each team, then top values, then a blend of value and value per price.
 
