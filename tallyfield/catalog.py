@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import evaluation, extensions, feeds, modelling, relational, training_data
+from .plans import evaluation, extensions, feeds, inventory, modelling, relational, training_data
 from .registry import Registry
 
-PLANS = (relational, evaluation, extensions, feeds, modelling, training_data)
+PLANS = (relational, evaluation, extensions, feeds, inventory, modelling, training_data)
 
 
 def core_registry() -> Registry:

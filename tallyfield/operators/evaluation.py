@@ -106,11 +106,14 @@ def cluster_bootstrap(clusters: DataFrame, ident: str, total: str, count: str, r
     return each.agg(F.count("*").alias("reps"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.5).alias("middle"), F.percentile("m", 0.975).alias("high"))
 
 
-def overlap_pairs(sets: DataFrame, ident: str, members: str) -> DataFrame:
-    """Size of the intersection of every two of a small number of sets."""
-    a = sets.select(F.col(ident).alias("a"), F.col(members).alias("_x"))
-    b = sets.select(F.col(ident).alias("b"), F.col(members).alias("_y"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.size(F.array_intersect("_x", "_y")).alias("shared"))
+def shared_members(rows: DataFrame, groups: list[str], ident: str, member: str) -> DataFrame:
+    """(a, b, shared): how many members two sets of a group have in common, if any.
+
+    Sets meet through their members, so sets that share none are never paired.
+    """
+    x = rows.select(*groups, F.col(member).alias("_m"), F.col(ident).alias("a"))
+    y = rows.select(*groups, F.col(member).alias("_m"), F.col(ident).alias("b"))
+    return x.join(y, [*groups, "_m"]).where("a < b").groupBy("a", "b").agg(F.count("*").cast("int").alias("shared"))
 
 
 def apportion(weights: DataFrame, ident: str, weight: str, seats: int) -> DataFrame:

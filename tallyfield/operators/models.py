@@ -167,3 +167,14 @@ def known_before(cutoffs: DataFrame, ident: str, cutoff: str, rows: DataFrame, a
     times = c.unionByName(r).groupBy("_t").agg(F.sum("_r").alias("_c"))
     running = running_total(times, "_t", "_c", "known", including=False).select("_t", "known")
     return c.join(running, "_t").select(ident, "known")
+
+
+def signed_marginal(df: DataFrame, mean: str, cv: str, below: float, zero: float, low: float) -> DataFrame:
+    """inner_mean and inner_cv of the part above zero of a mixture with chance `below` of `low` and `zero` of 0.
+
+    They keep the mean and the variation of the whole.
+    """
+    m, rest = F.col(mean), 1 - below - zero
+    inner = (m - below * low) / rest
+    second = (F.col(cv) * F.col(cv) * m * m + m * m - below * low * low) / rest
+    return df.withColumn("inner_mean", inner).withColumn("inner_cv", F.sqrt(F.greatest(second / (inner * inner) - 1, F.lit(0.0))))

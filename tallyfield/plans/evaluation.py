@@ -147,13 +147,11 @@ def a21(s, d):
 
 
 @q("a22_overlaps", """
-    WITH l AS (SELECT DISTINCT lineup_id, player_key FROM lineup_rows WHERE player_key IS NOT NULL AND run_date = (SELECT min(run_date) FROM lineup_rows))
-    SELECT x.lineup_id AS a, y.lineup_id AS b, CAST(count(*) AS INTEGER) AS shared FROM l x JOIN l y ON x.player_key = y.player_key AND x.lineup_id < y.lineup_id GROUP BY ALL""")
+    WITH l AS (SELECT DISTINCT run_date, lineup_id, player_key FROM lineup_rows WHERE player_key IS NOT NULL)
+    SELECT x.lineup_id AS a, y.lineup_id AS b, CAST(count(*) AS INTEGER) AS shared FROM l x JOIN l y ON x.run_date = y.run_date AND x.player_key = y.player_key AND x.lineup_id < y.lineup_id GROUP BY ALL""")
 def a22(s, d):
-    r = table(s, d, "lineup_rows")
-    first = r.agg(F.min("run_date").alias("run_date"))
-    l = r.where("player_key is not null").join(F.broadcast(first), "run_date").groupBy("lineup_id").agg(F.collect_set("player_key").alias("members"))
-    return E.overlap_pairs(l, "lineup_id", "members").where("shared > 0")
+    l = table(s, d, "lineup_rows").where("player_key is not null").select("run_date", "lineup_id", "player_key").distinct()
+    return E.shared_members(l, ["run_date"], "lineup_id", "player_key")
 
 
 @q("a25_regret", "SELECT slate_id, round(max(estimated_fp) - avg(estimated_fp), 6) AS regret, count(*) AS n FROM slate_pool WHERE estimated_fp IS NOT NULL AND NOT isnan(estimated_fp) GROUP BY slate_id")
@@ -316,8 +314,8 @@ def m2(s, d):
 
 @q("m17_shift_to_sum")
 def m17(s, d):
-    p = table(s, d, "rankings").where("estimated_fp is not null and not isnan(estimated_fp) and snapshot_no = 1")
-    p = p.select("board_id", "rank_row_id", (F.col("estimated_fp") / 4 - 2).alias("logit"))
+    p = table(s, d, "rankings").where("estimated_fp is not null and not isnan(estimated_fp)")
+    p = p.select(F.concat_ws("#", "board_id", "snapshot_no").alias("board_id"), "rank_row_id", (F.col("estimated_fp") / 4 - 2).alias("logit"))
     return X.shift_to_sum(p, "board_id", "rank_row_id", "logit", 5.0).select("board_id", "rank_row_id", F.round("p", 9).alias("p"))
 
 

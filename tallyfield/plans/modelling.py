@@ -183,13 +183,13 @@ def m15(s, d):
 
 
 @q("m22_latent_correlation", """
-    WITH p AS (SELECT p_partkey, p_brand, 0.5 + p_size / 50.0 AS cv FROM part WHERE p_size % 5 = 0),
-    x AS (SELECT a.p_brand, a.p_partkey AS a, b.p_partkey AS b, a.cv AS ca, b.cv AS cb FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey)
-    SELECT p_brand, count(*) AS n, round(avg(greatest(-0.999, least(0.999, ln(greatest(1 + 0.25 * ca * cb, 1e-12)) / sqrt(ln(1 + ca * ca) * ln(1 + cb * cb))))), 8) AS latent FROM x GROUP BY p_brand""")
+    WITH p AS (SELECT p_partkey, p_brand || '|' || p_type AS g, 0.5 + p_size / 50.0 AS cv FROM part),
+    x AS (SELECT a.g, a.p_partkey AS a, b.p_partkey AS b, a.cv AS ca, b.cv AS cb FROM p a JOIN p b ON a.g = b.g AND a.p_partkey < b.p_partkey)
+    SELECT g, count(*) AS n, round(avg(greatest(-0.999, least(0.999, ln(greatest(1 + 0.25 * ca * cb, 1e-12)) / sqrt(ln(1 + ca * ca) * ln(1 + cb * cb))))), 8) AS latent FROM x GROUP BY g""")
 def m22(s, d):
-    p = table(s, d, "part").where("p_size % 5 = 0").select("p_brand", "p_partkey", (0.5 + F.col("p_size") / 50.0).alias("cv"))
-    x = M.pairs_within(p, "p_brand", "p_partkey", ["cv"])
-    return x.groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.avg(S.latent_lognormal(F.lit(0.25), F.col("cv_a"), F.col("cv_b"))), 8).alias("latent"))
+    p = table(s, d, "part").select(F.concat_ws("|", "p_brand", "p_type").alias("g"), "p_partkey", (0.5 + F.col("p_size") / 50.0).alias("cv"))
+    x = M.pairs_within(p, "g", "p_partkey", ["cv"])
+    return x.groupBy("g").agg(F.count("*").alias("n"), F.round(F.avg(S.latent_lognormal(F.lit(0.25), F.col("cv_a"), F.col("cv_b"))), 8).alias("latent"))
 
 
 @q("m32_lineup_variance", """
@@ -205,12 +205,12 @@ def m32(s, d):
 
 
 @q("m45_slot_fill", """
-    WITH p AS (SELECT board_id, rank_row_id, pos, estimated_fp AS v FROM rankings WHERE snapshot_no = 1 AND estimated_fp IS NOT NULL AND NOT isnan(estimated_fp)),
+    WITH p AS (SELECT board_id || '#' || snapshot_no AS board_id, rank_row_id, pos, estimated_fp AS v FROM rankings WHERE estimated_fp IS NOT NULL AND NOT isnan(estimated_fp)),
     r AS (SELECT *, row_number() OVER (PARTITION BY board_id, pos ORDER BY v DESC, rank_row_id) AS k, CASE pos WHEN 'QB' THEN 1 WHEN 'RB' THEN 2 WHEN 'WR' THEN 3 WHEN 'TE' THEN 1 WHEN 'DEF' THEN 1 ELSE 0 END AS cap FROM p),
     f AS (SELECT *, row_number() OVER (PARTITION BY board_id ORDER BY v DESC, rank_row_id) AS f FROM r WHERE k > cap AND pos IN ('RB', 'WR', 'TE'))
     SELECT board_id, rank_row_id, pos AS slot FROM r WHERE k <= cap UNION ALL SELECT board_id, rank_row_id, 'FLEX' FROM f WHERE f <= 1""")
 def m45(s, d):
-    p = table(s, d, "rankings").where("snapshot_no = 1 and estimated_fp is not null and not isnan(estimated_fp)")
+    p = table(s, d, "rankings").where("estimated_fp is not null and not isnan(estimated_fp)").withColumn("board_id", F.concat_ws("#", "board_id", "snapshot_no"))
     return S.fill_slots(p, "board_id", "rank_row_id", "pos", "estimated_fp", {"QB": 1, "RB": 2, "WR": 3, "TE": 1, "DEF": 1}, 1, ["RB", "WR", "TE"])
 
 

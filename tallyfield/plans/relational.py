@@ -244,10 +244,10 @@ def j20(s, d):
 
 
 @q("j21_combinations", """
-    WITH p AS (SELECT p_partkey AS i, CAST(p_size AS BIGINT) AS w FROM part WHERE p_brand = 'Brand#1' ORDER BY p_partkey LIMIT 14)
+    WITH p AS (SELECT p_partkey AS i, CAST(p_size AS BIGINT) AS w FROM part WHERE p_brand = 'Brand#1' ORDER BY p_retailprice DESC, p_partkey LIMIT 14)
     SELECT [a.i, b.i, c.i, e.i] AS members, a.w + b.w + c.w + e.w AS total FROM p a JOIN p b ON b.i > a.i JOIN p c ON c.i > b.i JOIN p e ON e.i > c.i WHERE a.w + b.w + c.w + e.w <= 90""")
 def j21(s, d):
-    p = table(s, d, "part").where("p_brand = 'Brand#1'").select("p_partkey", F.col("p_size").cast("long").alias("w")).orderBy("p_partkey").limit(14)
+    p = table(s, d, "part").where("p_brand = 'Brand#1'").select("p_partkey", "p_retailprice", F.col("p_size").cast("long").alias("w")).orderBy(F.desc("p_retailprice"), "p_partkey").limit(14)
     return M.combinations(p, "p_partkey", "w", 4, 90)
 
 
