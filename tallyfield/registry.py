@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import ship_library
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -20,7 +23,12 @@ class Registry:
         def add(f: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"query {name} is registered twice")
-            self.queries[name] = f
+            @wraps(f)
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                ship_library(spark)
+                return f(spark, sf_dir)
+
+            self.queries[name] = f if hasattr(f, "__wrapped__") else run
             if sql is not None:
                 self.sql[name] = sql
             return f

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,22 @@ def build_session(cores: int | str = "*", app: str = "tallyfield", **conf: str)
     return builder.getOrCreate()
 
 
+def ship_library(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context.
+
+    Their Python workers then find it wherever the driver was started. The archive is made in a
+    folder of the driver and served by Spark.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tallyfield_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="tallyfield-")
+    package = Path(__file__).resolve().parent
+    shutil.copytree(package, f"{folder}/src/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(f"{folder}/{package.name}_library", "zip", f"{folder}/src"))
+    sc._tallyfield_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of the data directory; columns and filters reach the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
