@@ -92,6 +92,46 @@ def running_total(df: DataFrame, order: str, value: str, out: str, including: bo
     return parts.join(F.broadcast(before), "_part").withColumn(out, total).drop("_part", "_before")
 
 
+def look_back(df: DataFrame, keys: list[str], order: list[str], previous: dict[str, str], carried: dict[str, str]) -> DataFrame:
+    """Columns from the rows before each row of its key, without sending a whole key to one task.
+
+    previous: new column -> column whose value in the row just before is wanted; carried: new
+    column -> column whose last value that isn't null is wanted. Rows are divided by ranges of
+    (keys, order), so a hot key spans many parts; what a part needs from earlier parts of the
+    same key is one row for each part that the key spans. Null keys are one key; the order must
+    be total.
+    """
+    parts = cut(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy("_part", *keys).orderBy(*order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    local = parts.withColumn("_first", F.row_number().over(w) == 1)
+    for out, c in previous.items():
+        local = local.withColumn(out, F.lag(c).over(w))
+    for out, c in carried.items():
+        local = local.withColumn(out, F.last(c, ignorenulls=True).over(before))
+    at = F.struct(*order)
+    ends = parts.groupBy("_part", *keys).agg(
+        *[F.max_by(c, at).alias(f"_p_{out}") for out, c in previous.items()],
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_c_{out}") for out, c in carried.items()],
+    )
+    we = Window.partitionBy(*keys).orderBy("_part")
+    ends = ends.select(
+        F.col("_part").alias("_end"),
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        *[F.lag(f"_p_{out}").over(we).alias(f"_p_{out}") for out in previous],
+        *[F.last(f"_c_{out}", ignorenulls=True).over(we.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_c_{out}") for out in carried],
+    )
+    same = F.col("_part") == F.col("_end")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = local.join(ends, same, "left")
+    for out in previous:
+        joined = joined.withColumn(out, F.when(F.col("_first"), F.col(f"_p_{out}")).otherwise(F.col(out)))
+    for out in carried:
+        joined = joined.withColumn(out, F.coalesce(out, f"_c_{out}"))
+    return joined.select(*df.columns, *previous, *carried)
+
+
 def trim_pool(df: DataFrame, ident: str, team: str, value: str, price: str, size: int, reserved: int, anchors: int) -> DataFrame:
     """At most `size` entities: the best of each team, then top values, then a blend of value and value per price.
 

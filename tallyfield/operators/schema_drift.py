@@ -12,7 +12,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranking import look_back
 
 SEPARATORS = ",;\t|"
 _INT = re.compile(r"[+-]?\d+")
@@ -363,8 +364,7 @@ def file_fields(files: DataFrame) -> DataFrame:
     task holds two files at a time.
     """
     meta = files.select("file_id", "feed_id", "file_date")
-    w = Window.partitionBy("feed_id").orderBy("file_date", "file_id")
-    steps = meta.withColumn("prev_id", F.lag("file_id").over(w))
+    steps = look_back(meta, ["feed_id"], ["file_date", "file_id"], {"prev_id": "file_id"}, {})
     bodies = files.select("file_id", "body_format", "body")
     old = files.select(F.col("file_id").alias("prev_id"), F.col("body_format").alias("old_format"), F.col("body").alias("old_body"))
     pairs = steps.join(bodies, "file_id").join(old, "prev_id", "left").select("file_id", "body_format", "body", "prev_id", "old_format", "old_body")
@@ -381,10 +381,8 @@ def schema_changes(files: DataFrame) -> DataFrame:
     a null or empty body has no fields. Files delivered again change nothing. An empty table
     gives no rows. Columns other than the five named ones aren't read.
     """
-    rows = file_fields(files)
-    w = Window.partitionBy("feed_id", "field_name", F.col("change_kind") == "field").orderBy("file_date", "file_id")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    seen = rows.withColumn("_type", F.last("type_name", ignorenulls=True).over(before)).withColumn("_at", F.lag("file_id").over(w))
+    rows = file_fields(files).withColumn("_field", F.col("change_kind") == "field").withColumn("_n", F.xxhash64("change_kind", "new_name"))
+    seen = look_back(rows, ["feed_id", "field_name", "_field"], ["file_date", "file_id", "_n"], {"_at": "file_id"}, {"_type": "type_name"})
     retyped = (F.col("change_kind") == "field") & (F.col("_at") == F.col("prev_id")) & (F.col("type_name") != F.col("_type"))
     kind = F.when(F.col("change_kind") != "field", F.col("change_kind")).when(retyped, "retyped")
     return seen.select("file_id", kind.alias("change_kind"), "field_name", "new_name").where("change_kind is not null")

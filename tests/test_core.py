@@ -161,3 +161,23 @@ def test_sources_and_sinks(spark, tmp_path):
     for now in (datetime(2026, 1, 1), datetime(2026, 1, 1, 12), datetime(2026, 1, 3)):
         FS.fresh_or_fetch(spark, landing, now, fetch).collect()
     assert len(calls) == 2
+
+
+def test_look_back_equals_windows_over_any_division(spark):
+    import random
+
+    from pyspark.sql.window import Window
+
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["hot", "hot", "hot", "a", None]), rnd.randrange(50), i, rnd.choice([None, None, "x", "y"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, t int, i int, v string")
+    w = Window.partitionBy("k").orderBy("t", "i")
+    want = df.withColumn("p", F.lag("i").over(w)).withColumn("c", F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = R.look_back(df, ["k"], ["t", "i"], {"p": "i"}, {"c": "v"})
+        assert values(got, "i", "p", "c") == values(want, "i", "p", "c")
+        total = R.running_total(df, "t", "i", "s")
+        assert max(r.s for r in total.collect()) == sum(r[2] for r in rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
