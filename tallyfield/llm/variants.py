@@ -147,6 +147,19 @@ def _kindred(c: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), c), F.array(c))
 
 
+def with_teams_of_initials(forms: DataFrame) -> DataFrame:
+    """Forms with a whole given name also get the teams of entries that give only its initial.
+
+    That holds where no other form of the family and position has the initial.
+    """
+    letter = F.substring(F.element_at("names", -1), 1, 1)
+    known = forms.where("pos is not null and given <> ''").withColumn("letter", letter)
+    others = known.where("not full").select("family", "pos", "letter", F.explode("teams").alias("t")).groupBy("family", "pos", "letter").agg(F.collect_set("t").alias("more"))
+    alone = known.where("full").groupBy("family", "pos", "letter").agg(F.min("form").alias("form"), F.max("form").alias("hi")).where("form = hi")
+    extra = alone.join(others, ["family", "pos", "letter"]).select("form", "more")
+    return forms.join(extra, "form", "left").withColumn("teams", F.array_distinct(F.concat("teams", F.coalesce("more", F.array().cast("array<string>"))))).drop("more")
+
+
 def is_full(given: Column) -> Column:
     """A given name that tells one player of a family from another: a word or two initials."""
     return F.length(given) >= 2
@@ -202,7 +215,8 @@ def link_variants(rows: DataFrame, teams: DataFrame, ident: str, name: str, pos:
     by_form = by_form.select("given", "family", "pos", "n", "half", "teams", is_full(F.col("given")).alias("full"))
     key = F.concat_ws("|", "given", "family", F.coalesce("pos", F.lit("-")))
     by_form = by_form.withColumn("n", F.sum("n").over(Window.partitionBy("given", "family")))
-    forms = cut(by_form.withColumn("form", key).withColumn("names", _forms(F.col("given"))).withColumn("kin", _kindred(F.col("given"))))
+    forms = (by_form.withColumn("form", key).withColumn("names", _forms(F.col("given"))).withColumn("kin", _kindred(F.col("given"))))
+    forms = cut(with_teams_of_initials(forms))
     cores = forms.where("full")
 
     near = edit_neighbours(forms.select("family"), forms.select("family"), 1)
@@ -241,11 +255,13 @@ def link_variants(rows: DataFrame, teams: DataFrame, ident: str, name: str, pos:
         | (exact_family & (F.col("gd") == 0.7) & (F.col("tp") > 0) & (F.col("tt") > 0))
         | (exact_family & (F.col("gd") == 1.0) & (agree > -1) & ((F.col("n") <= 2) | (agree > 2)))
         | (one_edit & (F.col("gd") < 0.5) & ((F.col("tt") > 0) | ((F.col("n") == 1) & ((F.col("tp") > 0) | (F.col("n_b") >= 2)))))
+        | (one_edit & (F.col("gd") == 1.0) & (F.col("tp") > 0) & (F.col("n") == 1))
         | ((F.col("fd") + F.col("gd") <= 2.5) & (F.col("fd") >= 1) & (F.col("gd") != 0.9) & (F.col("tt") > 0) & (F.col("tp") > 0) & (F.col("n") <= 2))
     )
     half_ok = (F.col("fd") == 0.5) & (F.col("gd") <= 0.7) & (F.col("tp") + F.col("tt") >= 1)
     ok_rest = (exact_family & ((F.col("tt") >= 0) | (F.col("tp") > 0))) | ((F.col("fd") == 1) & (F.col("tt") > 0)) | ((F.col("fd") == 2) & (F.col("tt") > 0) & (F.col("tp") > 0))
-    alike = ~F.col("full") & ~F.col("full_b") & better & (F.col("fd") == 0) & (F.col("gd") == 0) & ((F.col("tt") >= 0) | (F.col("tp") > 0))
+    same_letters = ~F.col("full") & ~F.col("full_b") & better & (F.col("gd") == 0)
+    alike = same_letters & (((F.col("fd") == 0) & ((F.col("tt") >= 0) | (F.col("tp") > 0))) | ((F.col("fd") == 1) & (F.col("tt") > 0) & (F.col("tp") > 0)))
     admitted = scored.where((F.col("full") & F.col("full_b") & (ok_core | half_ok)) | (~F.col("full") & F.col("full_b") & ok_rest) | alike)
     best = Window.partitionBy("form").orderBy(F.desc("full_b"), F.desc("score"), F.desc("n_b"), "form_b")
     chosen = admitted.withColumn("k", F.row_number().over(best)).where("k = 1").select("form", F.col("form_b").alias("parent"))
