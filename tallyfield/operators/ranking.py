@@ -25,14 +25,30 @@ def top_by_limits(df: DataFrame, group: str, order: list[Column], limits: dict[s
     return top.where(F.col("_rn") <= cap).drop("_rn")
 
 
-def average_percentile(value: str, groups: list[str]) -> Column:
-    """Average rank over the number of rows: ties share the mean of their ranks."""
-    w = Window.partitionBy(*groups)
-    return (F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*groups, value)) - 1) / 2) / F.count("*").over(w)
+def with_average_rank(df: DataFrame, value: str, groups: list[str], rank: str, percentile: str | None = None) -> DataFrame:
+    """Rows with the average rank of a value in its group and, if named, the rank over the number of values.
 
-
-def average_rank(value: str, groups: list[str]) -> Column:
-    return F.rank().over(Window.partitionBy(*groups).orderBy(value)) + (F.count("*").over(Window.partitionBy(*groups, value)) - 1) / 2
+    Ties share the mean of their ranks; null values have none. Values are counted first and the
+    counts summed up over ranges, so a few large groups spread over all tasks.
+    """
+    names = [f"_g{i}" for i in range(len(groups))]
+    keys = [F.col(g).alias(n) for g, n in zip(groups, names)]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("_count"))
+    upto = running_total(counts, "_value", "_count", "_upto", keys=names)
+    sizes = counts.groupBy(*names).agg(F.sum("_count").alias("_size")) if names else counts.agg(F.sum("_count").alias("_size"))
+    place = upto.withColumn("_rank", F.col("_upto") - (F.col("_count") - 1) / 2)
+    same = F.col(value) == F.col("_value")
+    for g, n in zip(groups, names):
+        same = same & F.col(g).eqNullSafe(F.col(n))
+    out = df.join(place.select(*names, "_value", "_rank"), same, "left").drop(*names, "_value").withColumnRenamed("_rank", rank)
+    if percentile is None:
+        return out
+    if not names:
+        return out.crossJoin(F.broadcast(sizes)).withColumn(percentile, F.col(rank) / F.col("_size")).drop("_size")
+    own = F.lit(True)
+    for g, n in zip(groups, names):
+        own = own & F.col(g).eqNullSafe(F.col(n))
+    return out.join(sizes, own, "left").withColumn(percentile, F.col(rank) / F.col("_size")).drop(*names, "_size")
 
 
 def lagged_mean(value: str, groups: list[str], order: list[str], rows: int, least: int) -> Column:
@@ -65,31 +81,45 @@ def keep_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     return there.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where("_n = 1").drop("_n")
 
 
-def standardised(value: str, groups: list[str]) -> Column:
+def with_group_stats(df: DataFrame, groups: list[str], **aggregates: Column) -> DataFrame:
+    """Rows with aggregates of their group; the aggregates are small and joined back, so a large group isn't gathered."""
+    names = {g: f"_g{i}" for i, g in enumerate(groups)}
+    stats = df.groupBy(*[F.col(g).alias(n) for g, n in names.items()]).agg(*[c.alias(out) for out, c in aggregates.items()])
+    same = F.lit(True)
+    for g, n in names.items():
+        same = same & F.col(g).eqNullSafe(F.col(n))
+    return df.join(stats, same).drop(*names.values())
+
+
+def standardised(df: DataFrame, value: str, groups: list[str], out: str) -> DataFrame:
     """Value over the group's sample deviation; null where that is 0 or missing."""
-    s = F.stddev_samp(value).over(Window.partitionBy(*groups))
-    return F.when(s > 0, F.col(value) / s)
+    d = with_group_stats(df, groups, _sd=F.stddev_samp(value))
+    return d.withColumn(out, F.when(F.col("_sd") > 0, F.col(value) / F.col("_sd"))).drop("_sd")
 
 
-def z_score(value: str, groups: list[str]) -> Column:
+def z_score(df: DataFrame, value: str, groups: list[str], out: str) -> DataFrame:
     """(value - mean) over the population deviation, 0 where there is none."""
-    w = Window.partitionBy(*groups)
-    s = F.stddev_pop(value).over(w)
-    return F.when(s > 1e-12, (F.col(value) - F.avg(value).over(w)) / s).otherwise(0.0)
+    d = with_group_stats(df, groups, _sd=F.stddev_pop(value), _mean=F.avg(value))
+    return d.withColumn(out, F.when(F.col("_sd") > 1e-12, (F.col(value) - F.col("_mean")) / F.col("_sd")).otherwise(0.0)).drop("_sd", "_mean")
 
 
-def running_total(df: DataFrame, order: str, value: str, out: str, including: bool = True) -> DataFrame:
-    """Running sum of a value over all rows in order, without sending all rows to one task.
+def running_total(df: DataFrame, order: str, value: str, out: str, including: bool = True, keys: list[str] | None = None) -> DataFrame:
+    """Running sum of a value in order, for each key if there are any, without sending all rows to one task.
 
-    Rows are divided by ranges of the order, so equal ones share a part; sums within a part
-    are added to the total of the parts before it, of which there are as many as partitions.
+    Rows are divided by ranges of (keys, order); the order must be unique within a key. Sums
+    within a part are added to the total of the same key's parts before it, of which there are
+    at most as many as partitions.
     """
-    parts = cut(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
-    sums = parts.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if including else -1)
-    total = F.coalesce(F.sum(value).over(w), F.lit(0)) + F.col("_before")
-    return parts.join(F.broadcast(before), "_part").withColumn(out, total).drop("_part", "_before")
+    keys = keys or []
+    parts = cut(df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()))
+    sums = parts.groupBy("_part", *keys).agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(F.col("_part").alias("_end"), *[F.col(k).alias(f"_k_{k}") for k in keys], F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    same = F.col("_part") == F.col("_end")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    w = Window.partitionBy("_part", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if including else -1)
+    return parts.withColumn("_own", F.coalesce(F.sum(value).over(w), F.lit(0))).join(before, same).withColumn(out, F.col("_own") + F.col("_before")).select(*df.columns, out)
 
 
 def look_back(df: DataFrame, keys: list[str], order: list[str], previous: dict[str, str], carried: dict[str, str]) -> DataFrame:
@@ -140,8 +170,10 @@ def trim_pool(df: DataFrame, ident: str, team: str, value: str, price: str, size
     per = F.try_divide(F.col(value), F.col(price))
     d = df.withColumn("_per", per)
     d = d.withColumn("_team", F.row_number().over(Window.partitionBy(team).orderBy(F.desc(value), ident)))
-    d = d.withColumn("_blend", 0.7 * average_percentile(value, []) + 0.3 * average_percentile("_per", []))
-    d = d.withColumn("_top", F.row_number().over(Window.orderBy(F.desc(value), ident)))
-    step = F.when(F.col("_team") <= reserved, 0).when(F.col("_top") <= anchors, 1).otherwise(2)
-    order = [step, F.when(step == 2, -F.col("_blend")).otherwise(F.col("_top").cast("double")), F.col(ident)]
-    return d.withColumn("priority", step).orderBy(*order).limit(size).drop("_per", "_team", "_blend", "_top")
+    d = with_average_rank(with_average_rank(d, value, [], "_ra", "_pa"), "_per", [], "_rb", "_pb")
+    d = d.withColumn("_blend", 0.7 * F.col("_pa") + 0.3 * F.col("_pb")).drop("_ra", "_pa", "_rb", "_pb")
+    best = d.orderBy(F.desc(value), ident).limit(anchors).select(F.col(ident).alias("_anchor"))
+    d = d.join(best, F.col(ident) == F.col("_anchor"), "left")
+    step = F.when(F.col("_team") <= reserved, 0).when(F.col("_anchor").isNotNull(), 1).otherwise(2)
+    order = [step, F.when(step == 2, -F.col("_blend")).otherwise(-F.col(value).cast("double")), F.col(ident)]
+    return d.withColumn("priority", step).orderBy(*order).limit(size).drop("_per", "_team", "_blend", "_anchor")

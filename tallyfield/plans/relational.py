@@ -59,7 +59,8 @@ def w4(s, d):
     SELECT p_partkey, round(CAST(0.7 * a + 0.3 * b AS DOUBLE), 9) AS blend FROM r""")
 def w7(s, d):
     x = table(s, d, "part").select("p_partkey", "p_brand", F.col("p_retailprice").alias("v"), (F.col("p_retailprice") / F.col("p_size")).alias("u"))
-    return x.select("p_partkey", F.round(0.7 * R.average_percentile("v", ["p_brand"]) + 0.3 * R.average_percentile("u", ["p_brand"]), 9).alias("blend"))
+    r = R.with_average_rank(R.with_average_rank(x, "v", ["p_brand"], "ra", "a"), "u", ["p_brand"], "rb", "b")
+    return r.select("p_partkey", F.round(0.7 * F.col("a") + 0.3 * F.col("b"), 9).alias("blend"))
 
 
 @q("w8_lagged_mean", """
@@ -91,7 +92,7 @@ def w12(s, d):
     SELECT run_date, CAST(count(*) AS BIGINT) AS n, round(corr(CAST(a AS DOUBLE), CAST(b AS DOUBLE)), 8) AS rho FROM r GROUP BY run_date HAVING count(*) >= 10""")
 def w14(s, d):
     x = table(s, d, "lineup_rows").where("mean_fp is not null and cbs_mean is not null and not isnan(cbs_mean) and not isnan(mean_fp)")
-    r = x.select("run_date", R.average_rank("mean_fp", ["run_date"]).alias("a"), R.average_rank("cbs_mean", ["run_date"]).alias("b"))
+    r = R.with_average_rank(R.with_average_rank(x, "mean_fp", ["run_date"], "a"), "cbs_mean", ["run_date"], "b")
     return r.groupBy("run_date").agg(F.count("*").alias("n"), F.round(F.corr("a", "b"), 8).alias("rho")).where("n >= 10")
 
 
@@ -100,7 +101,7 @@ def w14(s, d):
     FROM (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS v FROM embeddings)""")
 def w16(s, d):
     e = table(s, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("v"))
-    return e.select("vec_id", F.round(R.z_score("v", ["label"]), 6).alias("z"))
+    return R.z_score(e, "v", ["label"], "z").select("vec_id", F.round("z", 6).alias("z"))
 
 
 @q("w17_latest_before", """

@@ -137,7 +137,8 @@ def test_cascade_and_history(spark):
 
 def test_ranks(spark):
     df = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 5.0), ("a", 3, 1.0), ("b", 4, None)], "g string, i int, v double")
-    assert values(df.select("i", R.average_rank("v", ["g"]).alias("r")).where("i < 4"), "i", "r") == [(1, 2.5), (2, 2.5), (3, 1.0)]
+    ranked = R.with_average_rank(df, "v", ["g"], "r", "p")
+    assert values(ranked, "i", "r", "p") == [(1, 2.5, 2.5 / 3), (2, 2.5, 2.5 / 3), (3, 1.0, 1 / 3), (4, None, None)]
     assert values(R.keep_unique(df.where("v is not null"), ["v"]), "i") == [(3,)]
 
 
