@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import ensure_checkpoint_dir
 from .words import word_forms, words
@@ -99,30 +100,75 @@ def passages_in_documents(
     row. Repeated documents and items each count. A document that holds an item twice is one
     row with its longest run. Empty tables give no rows. Only the named columns are read.
     """
-    spark = docs.sparkSession
+    found = _in_blocks(items, item_id, passage, run, lambda block: _answer_block(docs, doc_id, text, block, run))
+    if found is None:
+        return docs.sparkSession.createDataFrame([], f"{doc_id} bigint, {item_id} bigint, longest int")
+    return found.groupBy("doc", "item").agg(F.max("longest").alias("longest")).select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "longest")
+
+
+def passages_nearby(
+    docs: DataFrame,
+    items: DataFrame,
+    doc_id: str,
+    text: str,
+    item_id: str,
+    passage: str,
+    terms: int = 8,
+    least: int = 6,
+    span: int = 60,
+) -> DataFrame:
+    """(doc_id, item_id, n_terms): documents in which enough of a passage's rarest words stand close together.
+
+    Of each passage the `terms` different words that are rarest in the corpus are looked up, words
+    that it lacks first (ties to the word that comes first); a document matches if `least` of
+    them lie within `span` words, in any order, so passages that were reordered or filled up
+    are found. Passages with fewer words, null and empty texts and null identifiers give no row.
+    """
+    found = _in_blocks(items, item_id, passage, least, lambda block: _nearby_block(docs, doc_id, text, block, terms, least, span))
+    if found is None:
+        return docs.sparkSession.createDataFrame([], f"{doc_id} bigint, {item_id} bigint, n_terms int")
+    return found.groupBy("doc", "item").agg(F.max("n_terms").alias("n_terms")).select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "n_terms")
+
+
+def _in_blocks(items: DataFrame, item_id: str, passage: str, least: int, answer: Callable[[list[tuple[int, list[str]]]], DataFrame]) -> DataFrame | None:
+    """The answers to blocks of items of bounded size, each over the whole corpus; null without items."""
     rows = items.select(F.col(item_id).cast("long").alias("item"), F.col(passage).cast("string").alias("passage")).where("item is not null and passage is not null")
-    found = None
+    parts: list[DataFrame] = []
     block: list[tuple[int, list[str]]] = []
     size = 0
-
-    def answer() -> None:
-        nonlocal found, block, size
-        if block:
-            part = _answer_block(docs, doc_id, text, block, run)
-            found = part if found is None else found.unionByName(part)
-        block, size = [], 0
-
     for r in rows.toLocalIterator():
         w = words(r["passage"])
-        if len(w) >= run:
+        if len(w) >= least:
             if size and size + len(w) > WORDS_PER_BLOCK:
-                answer()
+                parts.append(answer(block))
+                block, size = [], 0
             block.append((r["item"], w))
             size += len(w)
-    answer()
-    if found is None:
-        return spark.createDataFrame([], f"{doc_id} bigint, {item_id} bigint, longest int")
-    return found.groupBy("doc", "item").agg(F.max("longest").alias("longest")).select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "longest")
+    if block:
+        parts.append(answer(block))
+    found = None
+    for part in parts:
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _nearby_block(docs: DataFrame, doc_id: str, text: str, block: list[tuple[int, list[str]]], terms: int, least: int, span: int) -> DataFrame:
+    vocabulary = sorted({w for _, ws in block for w in ws})
+    number = {w: i for i, w in enumerate(vocabulary)}
+    index = positional_index(docs, doc_id, text, vocabulary)
+    frequency = {r["term"]: r["n"] for r in index.groupBy("term").agg(F.count("*").alias("n")).collect()}
+    rare = []
+    for item, ws in block:
+        own = dict.fromkeys(number[w] for w in ws)
+        rare += [(item, t) for t in sorted(own, key=lambda t: frequency.get(t, 0))[:terms]]
+    asked = docs.sparkSession.createDataFrame(rare, "item bigint, term int")
+    asked = F.broadcast(asked) if len(rare) <= VOCABULARY_LIMIT else asked
+    met = index.join(asked, "term")
+    enough = met.groupBy("doc", "form", "item").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+    hits = met.join(enough, ["doc", "form", "item"]).select("doc", "form", "item", "term", F.explode("positions").alias("pos"))
+    ahead = Window.partitionBy("doc", "form", "item").orderBy("pos").rangeBetween(0, span - 1)
+    close = hits.withColumn("n_terms", F.size(F.collect_set("term").over(ahead)))
+    return close.where(F.col("n_terms") >= least).groupBy("doc", "item").agg(F.max("n_terms").alias("n_terms"))
 
 
 def _answer_block(docs: DataFrame, doc_id: str, text: str, block: list[tuple[int, list[str]]], run: int) -> DataFrame:

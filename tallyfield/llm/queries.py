@@ -9,7 +9,7 @@ from ..registry import Registry
 from ..session import cut, table
 from .bpe import decode_column, encode_column
 from .language import document_languages, fit_profiles
-from .leakage import passages_in_documents
+from .leakage import passages_in_documents, passages_nearby
 from .matching import match_records
 from .nearest import nearest_in_time
 from .topn import top_n_per_group
@@ -113,6 +113,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+@registry.query("p8_nearby")
+def p8_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which six of a passage's eight rarest words lie within sixty words, in any order."""
+    return passages_nearby(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "passage")
+
+
 @registry.query("p8_longest_runs")
 def p8_longest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaks with the number of consecutive words and its share of the passage's words."""

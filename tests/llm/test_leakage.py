@@ -1,4 +1,5 @@
-from tallyfield.llm.leakage import passages_in_documents, rarest_offsets
+from tallyfield.llm import leakage
+from tallyfield.llm.leakage import passages_in_documents, passages_nearby, rarest_offsets
 from tallyfield.llm.words import word_forms, words
 
 P1 = " ".join(f"alpha{i}" for i in range(20))
@@ -54,3 +55,33 @@ def test_empty_tables(spark):
     i = spark.createDataFrame([(1, P1)], "item_id bigint, passage string")
     assert passages_in_documents(d.where("false"), i, "doc_id", "text", "item_id", "passage").count() == 0
     assert passages_in_documents(d, i.where("false"), "doc_id", "text", "item_id", "passage").count() == 0
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    d = spark.createDataFrame([(1, P1), (2, P2), (3, P1 + " " + P2)], "doc_id bigint, text string")
+    i = spark.createDataFrame([(10, P1), (11, P2), (12, P1)], "item_id bigint, passage string")
+    run = lambda: {(r.doc_id, r.item_id) for r in passages_in_documents(d, i, "doc_id", "text", "item_id", "passage").collect()}
+    whole = run()
+    monkeypatch.setattr(leakage, "WORDS_PER_BLOCK", 20)
+    assert run() == whole == {(1, 10), (1, 12), (2, 11), (3, 10), (3, 11), (3, 12)}
+
+
+def test_nearby_words_in_any_order(spark):
+    ws = P1.split()
+    docs = [(1, " ".join(reversed(ws))), (2, " filler ".join(ws)), (3, (" gap" * 30).join(ws)), (4, " ".join(ws[:5])), (5, None), (6, P2)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame([(10, P1), (11, "six words that are not there"), (12, None)], "item_id bigint, passage string")
+    got = {(r.doc_id, r.item_id) for r in passages_nearby(d, i, "doc_id", "text", "item_id", "passage", 8, 6, 60).collect()}
+
+    def brute():
+        df = {w: sum(w in words(t) for _, t in docs) for w in ws}
+        rare = sorted(dict.fromkeys(ws), key=lambda w: df[w])[:8]
+        out = set()
+        for k, t in docs:
+            at = [(p, w) for p, w in enumerate(words(t)) if w in rare]
+            if any(len({w for q, w in at if p <= q < p + 60}) >= 6 for p, _ in at):
+                out.add((k, 10))
+        return out
+
+    assert got == brute() and (1, 10) in got and (3, 10) not in got
+    assert passages_nearby(d.where("false"), i, "doc_id", "text", "item_id", "passage").count() == 0
