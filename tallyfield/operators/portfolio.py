@@ -111,3 +111,39 @@ def swapped(scores: np.ndarray, chosen: list[int], rounds: int = 3) -> list[int]
         if not better:
             break
     return chosen
+
+
+def exact_capped(candidates: list[tuple], n: int, cap: int) -> list:
+    """Identifiers of the n candidates of greatest total quality with each member in at most `cap`, by branch and bound.
+
+    For small pools: candidates are sorted by quality and a branch is cut when the next best
+    ones, caps aside, can't beat the best total so far. If no n fit, as many as fit are taken.
+    """
+    rows = sorted(candidates, key=lambda c: (-c[2], str(c[0])))
+    quality = [c[2] for c in rows]
+    ahead = [0.0]
+    for v in quality:
+        ahead.append(ahead[-1] + v)
+    best: tuple[int, float, list] = (0, 0.0, [])
+
+    def go(at: int, taken: list, total: float, used: dict) -> None:
+        nonlocal best
+        if (len(taken), total) > (best[0], best[1] + 1e-12):
+            best = (len(taken), total, list(taken))
+        left = n - len(taken)
+        if not left or at == len(rows):
+            return
+        reach = min(left, len(rows) - at)
+        if len(taken) + reach < best[0] or (len(taken) + reach == best[0] and total + ahead[at + reach] - ahead[at] <= best[1] + 1e-12):
+            return
+        ident, members, q = rows[at][:3]
+        if all(used.get(m, 0) < cap for m in members):
+            for m in members:
+                used[m] = used.get(m, 0) + 1
+            go(at + 1, [*taken, ident], total + q, used)
+            for m in members:
+                used[m] -= 1
+        go(at + 1, taken, total, used)
+
+    go(0, [], 0.0, {})
+    return best[2]

@@ -11,6 +11,7 @@ from ..functions import distributions as D
 from ..functions import text as T
 from ..operators import blend as B
 from ..operators import matching as M
+from ..operators import portfolio as P
 from ..operators import simulation as S
 from ..registry import Registry
 from ..session import table
@@ -259,6 +260,10 @@ def m36(s, d):
     for r, (_, ids, star) in enumerate(rows):
         weights[r, ids] = 1.0
         weights[r, star] += 0.5
-    greedy = [rows[i][0] for i in S.lazy_greedy(weights @ matrix.T.astype(float), 10)]
-    out = [("capped", k, i) for k, i in enumerate(capped, 1)] + [("expected_best", k, i) for k, i in enumerate(greedy, 1)]
+    totals = weights @ matrix.T.astype(float)
+    chosen = S.lazy_greedy(totals, 10)
+    even = P.balanced([(i, m, q) for (i, m, _), q in zip(rows, best["mean"])], 10, 7)
+    exact = P.exact_capped([(i, m, q) for (i, m, _), q in zip(rows[:60], best["mean"])], 4, 3)
+    picks = {"capped": capped, "expected_best": [rows[i][0] for i in chosen], "swapped": [rows[i][0] for i in P.swapped(totals, chosen)], "balanced": even, "exact": exact}
+    out = [(name, k, int(i)) for name, ids in picks.items() for k, i in enumerate(ids, 1)]
     return s.createDataFrame(out, "objective string, place int, id bigint")

@@ -12,6 +12,7 @@ from tallyfield.operators import blend as B
 from tallyfield.operators import evaluation as E
 from tallyfield.operators import fits as X
 from tallyfield.operators import matching as M
+from tallyfield.operators import portfolio as P
 from tallyfield.operators import ranking as R
 from tallyfield.operators import simulation as S
 from tallyfield.sources import files as FS
@@ -182,3 +183,33 @@ def test_look_back_equals_windows_over_any_division(spark):
         assert max(r.s for r in total.collect()) == sum(r[2] for r in rows)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_portfolios():
+    import itertools
+    import random
+
+    rnd = random.Random(6)
+    for _ in range(20):
+        rows = [(i, tuple(rnd.sample(range(5), 2)), rnd.randrange(1, 20)) for i in range(8)]
+        n, cap = rnd.randrange(1, 5), rnd.randrange(1, 3)
+        fits = [c for k in range(n + 1) for c in itertools.combinations(rows, k) if all(sum(m in x[1] for x in c) <= cap for m in range(5))]
+        most = max(len(c) for c in fits)
+        got = [r for r in rows if r[0] in P.exact_capped(rows, n, cap)]
+        assert len(got) == most and sum(r[2] for r in got) == max(sum(x[2] for x in c) for c in fits if len(c) == most)
+    rng = np.random.default_rng(2)
+    scores = rng.random((12, 40))
+    first = S.lazy_greedy(scores, 3)
+    better = P.swapped(scores, first)
+    assert scores[better].max(axis=0).mean() >= scores[first].max(axis=0).mean() and len(set(better)) == 3
+    where = {"q1": "QB", "q2": "QB", "w1": "WR", "w2": "WR", "w3": "WR"}
+    cands = [(1, ["q1", "w1"], 9.0), (2, ["q1", "w2"], 8.0), (3, ["q2", "w3"], 5.0), (4, ["w1", "w2"], 4.0)]
+    quotas = [P.Quota("qb", {"QB": (1, 1)}, 2), P.Quota("wr", {"WR": (2, 2)}, 1)]
+    P.validate(quotas, ["QB", "WR"], 2)
+    got = P.best_of_schedules(cands, where, quotas, 1)
+    assert len(got) == 2
+    assert all(sum(m in dict((c[0], c[1]) for c in cands)[i] for _, i in got) <= 1 for m in where)
+    assert P.balanced(cands, 2, 2) == [1, 3]
+    for bad in ([P.Quota("", {}, 1)], [P.Quota("a", {"X": (1, 1)}, 1)], [P.Quota("a", {"QB": (2, 1)}, 1)], [P.Quota("a", {"QB": (1, 1), "WR": (2, 2)}, 1)]):
+        with pytest.raises(ValueError):
+            P.validate(bad, ["QB", "WR"], 2)
