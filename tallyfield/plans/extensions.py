@@ -34,12 +34,12 @@ def f13(s, d):
 
 
 @q("f14_close_names", """
-    WITH s AS (SELECT DISTINCT player, substr(lower(strip_accents(player)), 1, 5) AS b FROM salary_feed), e AS (SELECT DISTINCT full_name, substr(lower(strip_accents(full_name)), 1, 5) AS b FROM espn_feed),
-    m AS (SELECT player, full_name, levenshtein(lower(strip_accents(player)), lower(strip_accents(full_name))) AS edits FROM s JOIN e USING (b) WHERE levenshtein(lower(strip_accents(player)), lower(strip_accents(full_name))) BETWEEN 1 AND 4),
+    WITH s AS (SELECT DISTINCT player, substr(lower(replace(strip_accents(player), chr(160), ' ')), 1, 5) AS b FROM salary_feed), e AS (SELECT DISTINCT full_name, substr(lower(replace(strip_accents(full_name), chr(160), ' ')), 1, 5) AS b FROM espn_feed),
+    m AS (SELECT player, full_name, levenshtein(lower(replace(strip_accents(player), chr(160), ' ')), lower(replace(strip_accents(full_name), chr(160), ' '))) AS edits FROM s JOIN e USING (b) WHERE levenshtein(lower(replace(strip_accents(player), chr(160), ' ')), lower(replace(strip_accents(full_name), chr(160), ' '))) BETWEEN 1 AND 4),
     r AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY edits, full_name) AS k FROM m)
     SELECT player, full_name, CAST(edits AS INTEGER) AS edits FROM r WHERE k <= 3""")
 def f14(s, d):
-    plain = lambda c: F.lower(T.strip_marks(F.col(c)))
+    plain = lambda c: F.lower(F.translate(T.strip_marks(F.col(c)), '\u00a0', ' '))
     start = lambda c: F.substring(plain(c), 1, 5)
     a = table(s, d, "salary_feed").select("player", start("player").alias("b")).distinct()
     b = table(s, d, "espn_feed").select("full_name", start("full_name").alias("b")).distinct()

@@ -237,10 +237,10 @@ def m26(s, d):
 
 @q("m31_analytic_covariance", """
     WITH p AS (SELECT p_partkey, p_brand || '|' || p_type || '|' || p_size AS g, p_retailprice * (0.5e0 + p_size / 50e0) AS sd FROM part)
-    SELECT a.g, count(*) AS pairs, round(sum(0.25e0 * a.sd * b.sd), 2) AS cov FROM p a JOIN p b ON a.g = b.g AND a.p_partkey < b.p_partkey GROUP BY a.g""")
+    SELECT a.g, count(*) AS pairs, round(sum(0.25e0 * a.sd * b.sd) + 1e-5, 2) AS cov FROM p a JOIN p b ON a.g = b.g AND a.p_partkey < b.p_partkey GROUP BY a.g""")
 def m31(s, d):
     p = table(s, d, "part").select(F.concat_ws("|", "p_brand", "p_type", "p_size").alias("g"), "p_partkey", (F.col("p_retailprice") * (0.5 + F.col("p_size") / 50.0)).alias("sd"))
-    return M.pairs_within(p, "g", "p_partkey", ["sd"]).groupBy("g").agg(F.count("*").alias("pairs"), F.round(F.sum(0.25 * F.col("sd_a") * F.col("sd_b")), 2).alias("cov"))
+    return M.pairs_within(p, "g", "p_partkey", ["sd"]).groupBy("g").agg(F.count("*").alias("pairs"), F.round(F.sum(0.25 * F.col("sd_a") * F.col("sd_b")) + 1e-5, 2).alias("cov"))
 
 
 @q("m33_candidate_screen", """

@@ -56,11 +56,11 @@ def w4(s, d):
     WITH x AS (SELECT p_partkey, p_brand, p_retailprice AS v, p_retailprice / p_size AS u FROM part),
     r AS (SELECT *, (rank() OVER (PARTITION BY p_brand ORDER BY v) + (count(*) OVER (PARTITION BY p_brand, v) - 1) / 2.0) / count(*) OVER (PARTITION BY p_brand) AS a,
                     (rank() OVER (PARTITION BY p_brand ORDER BY u) + (count(*) OVER (PARTITION BY p_brand, u) - 1) / 2.0) / count(*) OVER (PARTITION BY p_brand) AS b FROM x)
-    SELECT p_partkey, round(CAST(0.7 * a + 0.3 * b AS DOUBLE), 9) AS blend FROM r""")
+    SELECT p_partkey, round(CAST(0.7 * a + 0.3 * b AS DOUBLE) + 1e-11, 9) AS blend FROM r""")
 def w7(s, d):
     x = table(s, d, "part").select("p_partkey", "p_brand", F.col("p_retailprice").alias("v"), (F.col("p_retailprice") / F.col("p_size")).alias("u"))
     r = R.with_average_rank(R.with_average_rank(x, "v", ["p_brand"], "ra", "a"), "u", ["p_brand"], "rb", "b")
-    return r.select("p_partkey", F.round(0.7 * F.col("a") + 0.3 * F.col("b"), 9).alias("blend"))
+    return r.select("p_partkey", F.round(0.7 * F.col("a") + 0.3 * F.col("b") + 1e-11, 9).alias("blend"))
 
 
 @q("w8_lagged_mean", """
