@@ -50,9 +50,9 @@ def _keyed(k: int, probe: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shards, words = [], []
-            for w in batch.column(0).to_pylist():
+            for w, block in zip(*(c.to_pylist() for c in batch.columns)):
                 for key in probe_keys(w, k) if probe else word_keys(w, k):
-                    shards.append(key)
+                    shards.append(f"{block}:{key}")
                     words.append(w)
             yield pa.RecordBatch.from_arrays([pa.array(shards, pa.string()), pa.array(words, pa.string())], schema=schema)
 
@@ -89,13 +89,15 @@ def _search(k: int):
 def edit_neighbours(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """(probe, word, edits): words of right within k edits of words of left, equal ones included.
 
-    Both sides have one column of strings; nulls take no part, repeated words count once and
-    empty words are words. The right words are divided into shards by length and by each of
+    Both sides have one column of strings, or a second one with the block of the word; only words
+    of one block meet then. Nulls take no part, repeated words count once and empty words are
+    words. The right words are divided into shards by length and by each of
     their parts; every shard is a trie that is walked together with a Levenshtein automaton of
     each probe sent to it. Shards with very many words or probes are divided into grids.
     """
-    a = left.toDF("word").where("word is not null").distinct()
-    b = right.toDF("word").where("word is not null").distinct()
+    blocked = lambda d: (d if len(d.columns) > 1 else d.withColumn("block", F.lit(""))).toDF("word", "block")
+    a = blocked(left).where("word is not null and block is not null").distinct()
+    b = blocked(right).where("word is not null and block is not null").distinct()
     probes = a.mapInArrow(_keyed(k, True), "shard string, word string")
     words = b.mapInArrow(_keyed(k, False), "shard string, word string")
     probes, words, _ = grid(probes, words, ["shard"], F.col("word"), F.col("word"), HOT_PROBES, HOT_WORDS)

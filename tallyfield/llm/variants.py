@@ -192,9 +192,10 @@ def link_variants(rows: DataFrame, teams: DataFrame, ident: str, name: str, pos:
 
     1. Names are cleaned and read; team units are found in a trie of the known spellings.
     2. Names with a whole given name that are spelled alike, of one position, form a core.
-    3. Family names within one edit of each other come from the trie join, those with one
-       typing error each from cores of the same given name, position and team; given names are
-       then compared in either order of words, as nicknames, initials and with one typing error.
+    3. Family names within one edit of each other come from the trie join, those of nine letters
+       or more within two edits from a trie join in the blocks of a position and team, without
+       which two edits are never admitted; given names are then compared in either order of
+       words, as nicknames, initials and with one typing error.
     4. A core joins a better supported one, or an entry without a whole given name joins a core, if
        position and team speak for it; a typing error in the family name needs more of that than
        an initial does. Entries left over that are written alike stay together.
@@ -227,6 +228,9 @@ def link_variants(rows: DataFrame, teams: DataFrame, ident: str, name: str, pos:
     blocked = cores.where("pos is not null and length(family) >= 9").select("given", "pos", F.explode("teams").alias("team"), F.substring("family", 1, 2).alias("start"), "family")
     twice = blocked.withColumnRenamed("family", "probe").join(blocked.withColumnRenamed("family", "word"), ["given", "pos", "team", "start"])
     twice = twice.where(F.levenshtein("probe", "word", 3).between(2, 3)).select("probe", "word", F.lit(2.0).alias("fd")).distinct()
+    long = forms.where("pos is not null and length(family) >= 9").select("family", F.explode(F.transform("teams", lambda t: F.concat_ws("|", "pos", t))).alias("block"), "full", "n")
+    within_two = edit_neighbours(long.where("not full or n <= 2").select("family", "block"), long.where("full").select("family", "block"), 2)
+    twice = twice.unionByName(within_two.where("edits = 2").select("probe", "word", F.lit(2.0).alias("fd")))
     near = near.unionByName(halves).unionByName(twice).groupBy("probe", "word").agg(F.min("fd").alias("fd"))
 
     letters = F.when(

@@ -55,3 +55,15 @@ def test_links_variants_and_keeps_others_apart(spark):
 
 def test_empty_table(spark):
     assert link(spark, []).count() == 0
+
+
+def test_two_edits_with_an_initial_a_nickname_or_at_the_start(spark):
+    rows = [(i, "William Karlstromberg", "QB", "AAA") for i in range(3)]
+    rows += [(10, "W. Karlstrmbrg", "QB", "AAA"), (11, "Bill Karlstormbrg", "QB", "AAA"), (12, "William Akrlstrombrg", "QB", "AAA"), (13, "William Karlstrmbrg", "WR", "AAA"), (14, "W. Karlstrmbeg", "QB", "BBB")]
+    got = {(r.a, r.b) for r in link(spark, rows).collect()}
+    assert {(0, 10), (0, 11), (0, 12)} <= got and not {(0, 13), (0, 14)} & got
+
+
+def test_join_in_blocks(spark):
+    a, b = (spark.createDataFrame(x, "w string, b string") for x in ([("abcdef", "p"), ("abcdef", None)], [("abdcfe", "p"), ("abcdef", "q"), ("abcde", "p")]))
+    assert {tuple(r) for r in edit_neighbours(a, b, 2).collect()} == {("abcdef", "abdcfe", 2), ("abcdef", "abcde", 1)}
