@@ -116,8 +116,16 @@ def _forms(c: Column) -> Column:
     return F.concat(F.array(c), F.coalesce(F.element_at(F.create_map(*pairs), c), F.array().cast("array<string>")))
 
 
+#: Lead of one order of words over the other, as smoothed shares of places, from which it is settled.
+SETTLED = 1 / 3
+
+
 def order_words(parsed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Names with given and family names told apart by where their words stand in all other entries."""
+    """Names with given and family names told apart by where their words stand in all other entries.
+
+    second_given and second_family hold the other reading of a name whose order stays unsettled:
+    words that stand in no other entries, as misspelled ones do, or in few, or in either place.
+    """
     decided = parsed.where("first is not null")
     places = decided.select(
         F.explode(F.array(F.struct(F.col("first").alias("w"), F.lit(1.0).alias("f")), F.struct(F.col("last").alias("w"), F.lit(0.0).alias("f")))).alias("x")
@@ -128,12 +136,16 @@ def order_words(parsed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         share.select(F.col("w").alias("last"), ((F.col("f") + 1) / (F.col("c") + 1)).alias("ls")), "last", "left"
     )
     swap = F.coalesce(~F.col("sure") & (F.col("ls") > F.col("fs")) & F.col("other_given").isNotNull(), F.lit(False))
+    lead = F.abs(F.coalesce("ls", F.lit(0.5)) - F.coalesce("fs", F.lit(0.5)))
+    open_ = F.coalesce(~F.col("sure") & F.col("other_given").isNotNull() & (lead < SETTLED - 1e-9), F.lit(False))
     return joined.select(
         *keep,
         "ident",
         F.when(swap, F.col("other_given")).otherwise(F.col("given")).alias("given"),
         F.when(swap, F.col("other_family")).otherwise(F.col("family")).alias("family"),
         F.when(~swap, F.col("half")).alias("half"),
+        F.when(open_, F.when(swap, F.col("given")).otherwise(F.col("other_given"))).alias("second_given"),
+        F.when(open_, F.when(swap, F.col("family")).otherwise(F.col("other_family"))).alias("second_family"),
         "suffix",
         "pos",
         "team",
@@ -191,6 +203,7 @@ def link_variants(rows: DataFrame, teams: DataFrame, ident: str, name: str, pos:
     """(ident, entity): entries with the same entity mean the same person or team unit.
 
     1. Names are cleaned and read; team units are found in a trie of the known spellings.
+       A name whose order of words is unsettled takes part in both readings.
     2. Names with a whole given name that are spelled alike, of one position, form a core.
     3. Family names within one edit of each other come from the trie join, those of nine letters
        or more within two edits from a trie join in the blocks of a position and team, without
@@ -219,8 +232,13 @@ def link_variants(rows: DataFrame, teams: DataFrame, ident: str, name: str, pos:
     forms = (by_form.withColumn("form", key).withColumn("names", _forms(F.col("given"))).withColumn("kin", _kindred(F.col("given"))))
     forms = cut(with_teams_of_initials(forms))
     cores = forms.where("full")
+    reading = ["form", "given", "family", "names", "kin", "pos", "teams", "n", "full"]
+    second = people.where("second_given is not null").select(key.alias("form"), "second_given", "second_family").distinct()
+    turned = second.join(forms, "form").select(*reading, "second_given", "second_family")
+    turned = turned.withColumn("given", F.col("second_given")).withColumn("family", F.col("second_family")).withColumn("names", _forms(F.col("given"))).withColumn("kin", _kindred(F.col("given"))).withColumn("full", is_full(F.col("given")))
+    readings = cut(forms.select(*reading, F.lit(0).alias("turn")).unionByName(turned.select(*reading, F.lit(1).alias("turn"))))
 
-    near = edit_neighbours(forms.select("family"), forms.select("family"), 1)
+    near = edit_neighbours(readings.select("family"), readings.select("family"), 1)
     near = near.where((F.col("edits") == 0) | (F.least(F.length("probe"), F.length("word")) >= 5)).select("probe", "word", F.col("edits").cast("double").alias("fd"))
     two = "half is not null and half <> family"
     halves = cores.where(two).select(F.col("half").alias("probe"), F.col("family").alias("word"), F.lit(0.5).alias("fd"))
@@ -228,7 +246,7 @@ def link_variants(rows: DataFrame, teams: DataFrame, ident: str, name: str, pos:
     blocked = cores.where("pos is not null and length(family) >= 9").select("given", "pos", F.explode("teams").alias("team"), F.substring("family", 1, 2).alias("start"), "family")
     twice = blocked.withColumnRenamed("family", "probe").join(blocked.withColumnRenamed("family", "word"), ["given", "pos", "team", "start"])
     twice = twice.where(F.levenshtein("probe", "word", 3).between(2, 3)).select("probe", "word", F.lit(2.0).alias("fd")).distinct()
-    long = forms.where("pos is not null and length(family) >= 9").select("family", F.explode(F.transform("teams", lambda t: F.concat_ws("|", "pos", t))).alias("block"), "full", "n")
+    long = readings.where("pos is not null and length(family) >= 9").select("family", F.explode(F.transform("teams", lambda t: F.concat_ws("|", "pos", t))).alias("block"), "full", "n")
     within_two = edit_neighbours(long.where("not full or n <= 2").select("family", "block"), long.where("full").select("family", "block"), 2)
     twice = twice.unionByName(within_two.where("edits = 2").select("probe", "word", F.lit(2.0).alias("fd")))
     near = near.unionByName(halves).unionByName(twice).groupBy("probe", "word").agg(F.min("fd").alias("fd"))
@@ -237,12 +255,12 @@ def link_variants(rows: DataFrame, teams: DataFrame, ident: str, name: str, pos:
         F.length("given") > 0,
         F.array_distinct(F.concat(F.transform("names", lambda x: F.substring(x, 1, 1)), F.when(F.length("given") > 2, F.array(F.substring("given", 2, 1))).otherwise(F.array().cast("array<string>")))),
     ).otherwise(F.array(F.lit("*")))
-    left = forms.select(F.col("family").alias("probe"), "form", "given", "names", "kin", "pos", "teams", "n", "full", F.explode(letters).alias("letter"))
+    left = readings.select(F.col("family").alias("probe"), "form", "given", "names", "kin", "pos", "teams", "n", "full", "turn", F.explode(letters).alias("letter"))
     own = F.array_distinct(F.concat(F.transform("names", lambda x: F.substring(x, 1, 1)), F.array(F.lit("*"))))
-    right = forms.select(
-        F.col("family").alias("word"), F.col("form").alias("form_b"), F.col("given").alias("given_b"), F.col("names").alias("names_b"), F.col("kin").alias("kin_b"), F.col("full").alias("full_b"), F.col("pos").alias("pos_b"), F.col("teams").alias("teams_b"), F.col("n").alias("n_b"), F.explode(own).alias("letter")
+    right = readings.select(
+        F.col("family").alias("word"), F.col("form").alias("form_b"), F.col("given").alias("given_b"), F.col("names").alias("names_b"), F.col("kin").alias("kin_b"), F.col("full").alias("full_b"), F.col("pos").alias("pos_b"), F.col("teams").alias("teams_b"), F.col("n").alias("n_b"), F.col("turn").alias("turn_b"), F.explode(own).alias("letter")
     )
-    pairs = left.join(near, "probe").join(right, ["word", "letter"]).where("form <> form_b and (pos is null or pos_b is null or pos = pos_b)")
+    pairs = left.join(near, "probe").join(right, ["word", "letter"]).where("form <> form_b and turn + turn_b < 2 and (pos is null or pos_b is null or pos = pos_b)")
     g = likeness_of_given(F.col("given"), F.col("given_b"), F.col("names"), F.col("names_b"), F.col("kin"), F.col("kin_b"))
     same_pos = F.coalesce((F.col("pos") == F.col("pos_b")).cast("double"), F.lit(0.0))
     team_score = F.when((F.size("teams") == 0) | (F.size("teams_b") == 0), 0.0).when(F.arrays_overlap("teams", "teams_b"), 1.5).otherwise(-1.5)
@@ -267,7 +285,7 @@ def link_variants(rows: DataFrame, teams: DataFrame, ident: str, name: str, pos:
     same_letters = ~F.col("full") & ~F.col("full_b") & better & (F.col("gd") == 0)
     alike = same_letters & (((F.col("fd") == 0) & ((F.col("tt") >= 0) | (F.col("tp") > 0))) | ((F.col("fd") == 1) & (F.col("tt") > 0) & (F.col("tp") > 0)))
     admitted = scored.where((F.col("full") & F.col("full_b") & (ok_core | half_ok)) | (~F.col("full") & F.col("full_b") & ok_rest) | alike)
-    best = Window.partitionBy("form").orderBy(F.desc("full_b"), F.desc("score"), F.desc("n_b"), "form_b")
+    best = Window.partitionBy("form").orderBy(F.desc("full_b"), F.desc("score"), F.expr("turn + turn_b"), F.desc("n_b"), "form_b")
     chosen = admitted.withColumn("k", F.row_number().over(best)).where("k = 1").select("form", F.col("form_b").alias("parent"))
 
     parent = forms.select("form").join(chosen, "form", "left").select("form", F.coalesce("parent", "form").alias("parent"))

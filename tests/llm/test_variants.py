@@ -67,3 +67,8 @@ def test_two_edits_with_an_initial_a_nickname_or_at_the_start(spark):
 def test_join_in_blocks(spark):
     a, b = (spark.createDataFrame(x, "w string, b string") for x in ([("abcdef", "p"), ("abcdef", None)], [("abdcfe", "p"), ("abcdef", "q"), ("abcde", "p")]))
     assert {tuple(r) for r in edit_neighbours(a, b, 2).collect()} == {("abcdef", "abdcfe", 2), ("abcdef", "abcde", 1)}
+
+
+def test_order_that_no_other_entry_settles(spark):
+    rows = [(1, "Prendaaumiler Mattteo", "WR", "AAA"), (2, "Matteo Prendaumiler", "WR", "AAA"), (3, "Silas Orveolluvard-Ulmurigren", "RB", "BBB"), (4, "Oeveolluvard-Ulmurigren Silss", "RB", "BBB"), (5, "Prendaaumiler Mattteo", "TE", "BBB")]
+    assert {(r.a, r.b) for r in link(spark, rows).collect()} == {(1, 2), (3, 4)}
