@@ -170,6 +170,34 @@ def tier_pairs(records: DataFrame, rules: list[tuple[int, Rule]], unique: bool)
     return pairs.join(rivals("a", "wb"), ["rule", "a"]).join(rivals("b", "wa"), ["rule", "b"]).select("a", "b", "rule")
 
 
+def _both_ways(found: DataFrame) -> DataFrame:
+    """(side, ident, other, rule): each record of the pairs with its partner."""
+    way = lambda side, c, o: found.select(F.lit(side).alias("side"), F.col(c).alias("ident"), F.col(o).alias("other"), "rule")
+    return way(0, "a", "b").unionByName(way(1, "b", "a"))
+
+
+def with_twins(records: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs, and those of open records with the partners of their twins.
+
+    A twin has the same whole name in the same source and no other position or team. It counts
+    only if all records of that name in the source that could be twins agree in what they have.
+    """
+    whole = records.where("length(given) >= 2 and family <> ''")
+    for side in (0, 1):
+        links = cut(_both_ways(found).where(F.col("side") == side).drop("side"))
+        mine = whole.where(F.col("side") == side)
+        open_ = mine.join(links.select("ident").distinct(), "ident", "left_anti").select("ident", "given", "family", "pos", "team")
+        known = mine.select(F.col("ident").alias("twin"), "given", "family", F.col("pos").alias("pos_t"), F.col("team").alias("team_t"))
+        alike = open_.join(known, ["given", "family"]).where("ident <> twin and (pos = '' or pos_t = '' or pos = pos_t) and (team = '' or team_t = '' or team = team_t)")
+        some = lambda f, c: f(F.when(F.col(c) != "", F.col(c)))
+        single = alike.groupBy("ident").agg(*[some(f, c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("pos_t", "team_t")])
+        single = single.where("coalesce(lo_pos_t = hi_pos_t, true) and coalesce(lo_team_t = hi_team_t, true)").select("ident")
+        pairs = alike.join(single, "ident").select("ident", "twin").join(links.withColumnRenamed("ident", "twin"), "twin").groupBy("ident", "other").agg(F.min("rule").alias("rule"))
+        a, b = ("ident", "other") if side == 0 else ("other", "ident")
+        found = found.unionByName(pairs.select(F.col(a).alias("a"), F.col(b).alias("b"), "rule"))
+    return found
+
+
 def match_records(
     left: DataFrame,
     right: DataFrame,
@@ -185,7 +213,8 @@ def match_records(
     key). A record is resolved at the first rule that joins it, so within tier 0 a pair counts
     if its rule is the first of either record, and in later tiers, where both must still be
     open, if it is the first of both; resolved records are anti-joined before each later
-    tier. A player listed twice gives a pair for each row.
+    tier. A player listed twice gives a pair for each row: after each tier a record still open
+    pairs, by the same rule, with the partners of its resolved twin (see with_twins).
 
     A rule's confidence is its precision on labelled pairs (a, b): of the pairs of labelled
     records that it joins on its own, the share that is labelled, with one success and one
@@ -211,7 +240,7 @@ def match_records(
         both = pairs.join(first("a"), "a").join(first("b"), "b")
         own_a, own_b = F.col("rule") == F.col("first_a"), F.col("rule") == F.col("first_b")
         new = both.where(own_a & own_b if tier else own_a | own_b).select("a", "b", "rule")
-        found = cut(new if found is None else found.unionByName(new))
+        found = cut(with_twins(records, cut(new if found is None else found.unionByName(new))))
     names = F.element_at(F.array(*[F.lit(r.name) for r in rules]), F.col("rule") + 1)
     if not confidence:
         return found.select("a", "b", names.alias("rule"))

@@ -21,3 +21,9 @@ def test_rules_from_strict_to_weak(spark):
 
 def test_empty_tables(spark):
     assert match(spark, [], [(1, "A Bcd", "QB", "AAA")]) == {} and match(spark, [(1, "A Bcd", "QB", "AAA")], []) == {}
+
+
+def test_twins_without_team_or_position(spark):
+    left = [(1, "Leif Vaskepivick", "RB", "AAA"), (2, "Leif Vaskepivick", "RB", None), (3, "Nils Overgaard", "RB", "AAA"), (4, "Nils Overgaard", "WR", "BBB"), (5, "Nils Overgaard", None, None)]
+    right = [(101, "Leif Vaskepivick", "RB", "AAA"), (102, "Leif Vaskepivick", None, "AAA"), (103, "Nils Overgaard", "RB", "AAA"), (104, "Nils Overgaard", "WR", "BBB")]
+    assert set(match(spark, left, right)) == {(1, 101), (1, 102), (2, 101), (2, 102), (3, 103), (4, 104)}
