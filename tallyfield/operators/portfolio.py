@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,15 +34,40 @@ def validate(quotas: Sequence[Quota], known: Sequence[str], size: int) -> None:
             raise ValueError(f"rule {q.name} doesn't make a lineup")
 
 
+class Walk:
+    """Candidates of an iterator that can be walked again; only those that a walk has reached are fetched."""
+
+    def __init__(self, source: Iterator[tuple]) -> None:
+        self.source, self.seen = source, []
+
+    def __iter__(self) -> Iterator[tuple]:
+        at = 0
+        while True:
+            if at == len(self.seen):
+                row = next(self.source, None)
+                if row is None:
+                    return
+                self.seen.append(row)
+            yield self.seen[at]
+            at += 1
+
+
 def with_quotas(candidates: list[tuple], positions: dict, quotas: Sequence[Quota], cap: int, order: Sequence[str]) -> list[tuple]:
     """(rule, identifier) by taking each rule's turn in the given order; a member is in at most `cap`.
 
     candidates: (identifier, members, quality), best first. A candidate is passed over if it
     would use a member that the open turns of other rules can't do without.
     """
-    kinds = {q.name: q for q in quotas}
+    return [(n, c[0]) for n, c in in_turns(*_fitting(candidates, positions, quotas), cap, order)]
+
+
+def _fitting(candidates: list[tuple], positions: dict, quotas: Sequence[Quota]) -> tuple[dict, dict]:
     fitting = {q.name: [c for c in candidates if q.fits([positions[m] for m in c[1]])] for q in quotas}
-    needed = {n: set.intersection(*(set(c[1]) for c in cs)) if cs else set() for n, cs in fitting.items()}
+    return fitting, {n: set.intersection(*(set(c[1]) for c in cs)) if cs else set() for n, cs in fitting.items()}
+
+
+def in_turns(fitting: dict[str, Iterable[tuple]], needed: dict[str, set], cap: int, order: Sequence[str]) -> list[tuple]:
+    """(rule, candidate) as with_quotas, from each rule's candidates and the members that all of them have."""
     used: dict = {}
     out: list[tuple] = []
     taken: set = set()
@@ -50,12 +75,13 @@ def with_quotas(candidates: list[tuple], positions: dict, quotas: Sequence[Quota
     for at, name in enumerate(turns):
         later = turns[at + 1 :]
         demand = {m: sum(m in needed[n] for n in later if n != name) for n in later for m in needed[n]}
-        for ident, members, *_ in fitting[kinds[name].name]:
+        for candidate in fitting[name]:
+            ident, members = candidate[:2]
             if ident in taken or any(used.get(m, 0) >= cap for m in members):
                 continue
             if any(cap - used.get(m, 0) - 1 < demand.get(m, 0) for m in members):
                 continue
-            out.append((name, ident))
+            out.append((name, candidate))
             taken.add(ident)
             for m in members:
                 used[m] = used.get(m, 0) + 1
@@ -65,7 +91,11 @@ def with_quotas(candidates: list[tuple], positions: dict, quotas: Sequence[Quota
 
 def best_of_schedules(candidates: list[tuple], positions: dict, quotas: Sequence[Quota], cap: int) -> list[tuple]:
     """The fullest, then best, of three orders of turns: as given, reversed and round robin."""
-    quality = {c[0]: c[2] for c in candidates}
+    return best_in_turns(*_fitting(candidates, positions, quotas), quotas, cap)
+
+
+def best_in_turns(fitting: dict[str, Iterable[tuple]], needed: dict[str, set], quotas: Sequence[Quota], cap: int) -> list[tuple]:
+    """best_of_schedules from each rule's candidates, best first, and the members that all of them have."""
     flat = [q.name for q in quotas for _ in range(q.lineups)]
     left = {q.name: q.lineups for q in quotas}
     robin: list[str] = []
@@ -74,8 +104,8 @@ def best_of_schedules(candidates: list[tuple], positions: dict, quotas: Sequence
             if left[n]:
                 robin.append(n)
                 left[n] -= 1
-    tries = [with_quotas(candidates, positions, quotas, cap, o) for o in (flat, flat[::-1], robin)]
-    return max(tries, key=lambda t: (len(t), sum(quality[i] for _, i in t)))
+    tries = [in_turns(fitting, needed, cap, o) for o in (flat, flat[::-1], robin)]
+    return [(n, c[0]) for n, c in max(tries, key=lambda t: (len(t), sum(c[2] for _, c in t)))]
 
 
 def balanced(candidates: list[tuple], n: int, cap: int) -> list:

@@ -19,7 +19,7 @@ from ..operators import portfolio as P
 from ..operators import ranking as R
 from ..operators import simulation as S
 from ..registry import Registry
-from ..session import ensure_checkpoint_dir, table
+from ..session import cut, ensure_checkpoint_dir, table
 from ..sources import files as FS
 from ..sources import sinks as K
 from ..streaming import rules as ST
@@ -256,12 +256,21 @@ def m33(s, d):
 @q("m37_m39_quota_selection")
 def m37(s, d):
     r = lines(s, d).where("player_key is not null and pos is not null")
-    c = r.groupBy("lineup_id").agg(F.sort_array(F.collect_set("player_key")).alias("members"), F.sum("mean_fp").alias("quality")).orderBy(F.desc("quality"), "lineup_id").limit(300).collect()
-    keys = {k for x in c for k in x["members"]}
-    where = {x["player_key"]: x["pos"] for x in r.groupBy("player_key").agg(F.min("pos").alias("pos")).join(F.broadcast(s.createDataFrame([(k,) for k in sorted(keys)], "player_key string")), "player_key").collect()}
     quotas = [P.Quota("one_qb", {"QB": (1, 1)}, 6), P.Quota("wr_heavy", {"WR": (3, 9)}, 5), P.Quota("defence", {"DEF": (1, 2)}, 3)]
     P.validate(quotas, ["QB", "RB", "WR", "TE", "K", "DEF"], 9)
-    got = P.best_of_schedules([(x["lineup_id"], x["members"], x["quality"]) for x in c], where, quotas, 4)
+    where = r.groupBy("player_key").agg(F.min("pos").alias("pos"))
+    held = r.select("lineup_id", "player_key").distinct().join(where, "player_key").groupBy("lineup_id").agg(F.sort_array(F.collect_set("player_key")).alias("members"), F.collect_list("pos").alias("held"))
+    c = cut(held.join(r.groupBy("lineup_id").agg(F.sum("mean_fp").alias("quality")), "lineup_id"))
+    fitting, needed = {}, {}
+    for x in quotas:
+        mine = c
+        for pos, (lo, hi) in x.counts.items():
+            mine = mine.where(F.size(F.array_remove("held", pos)).between(F.size("held") - hi, F.size("held") - lo))
+        n = mine.count()
+        needed[x.name] = {m["m"] for m in mine.select(F.explode("members").alias("m")).groupBy("m").count().where(F.col("count") == n).collect()}
+        best = mine.orderBy(F.desc("quality"), "lineup_id").select("lineup_id", "members", "quality")
+        fitting[x.name] = P.Walk(map(tuple, best.toLocalIterator()))
+    got = P.best_in_turns(fitting, needed, quotas, 4)
     return s.createDataFrame([(k, *g) for k, g in enumerate(got, 1)], "place int, rule string, lineup_id string")
 
 

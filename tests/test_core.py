@@ -213,3 +213,21 @@ def test_portfolios():
     for bad in ([P.Quota("", {}, 1)], [P.Quota("a", {"X": (1, 1)}, 1)], [P.Quota("a", {"QB": (2, 1)}, 1)], [P.Quota("a", {"QB": (1, 1), "WR": (2, 2)}, 1)]):
         with pytest.raises(ValueError):
             P.validate(bad, ["QB", "WR"], 2)
+
+
+def test_quotas_are_filled_from_all_lineups(spark, tmp_path):
+    from tallyfield.plans.inventory import registry
+
+    rows = [(f"L{i:03}", f"p{i}_{k}", "QB" if k == 0 else "RB", 50.0 - i / 10) for i in range(320) for k in range(3)]
+    rows += [(f"D{i}", f"d{i}_{k}", "DEF" if k == 0 else "WR", 1.0 - i / 10) for i in range(4) for k in range(4)]
+    spark.createDataFrame(rows, "lineup_id string, player_key string, pos string, mean_fp double").write.parquet(f"{tmp_path}/lineup_rows.parquet")
+    got = [(r.rule, r.lineup_id) for r in registry.queries["m37_m39_quota_selection"](spark, str(tmp_path)).collect()]
+    quotas = [P.Quota("one_qb", {"QB": (1, 1)}, 6), P.Quota("wr_heavy", {"WR": (3, 9)}, 5), P.Quota("defence", {"DEF": (1, 2)}, 3)]
+    members, where, quality = {}, {}, {}
+    for i, p, pos, v in rows:
+        members.setdefault(i, []).append(p)
+        where[p] = pos
+        quality[i] = quality.get(i, 0.0) + v
+    every = sorted(((i, m, quality[i]) for i, m in members.items()), key=lambda c: (-c[2], c[0]))
+    assert got == P.best_of_schedules(every, where, quotas, 4) and len(got) == 10
+    assert len(P.best_of_schedules(every[:300], where, quotas, 4)) == 6
