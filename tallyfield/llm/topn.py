@@ -9,20 +9,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 FLUSH_ROWS = 400_000
 
 
+_NAN = float("nan")
+
+
 class _Entry:
     """An item whose order is worst first, as heapq keeps the least at the root."""
 
     __slots__ = ("score", "key", "ident", "live")
 
-    def __init__(self, score: float, key: str | None, ident: int) -> None:
+    def __init__(self, score: object, key: object, ident: object) -> None:
         self.score, self.key, self.ident, self.live = score, key, ident, True
 
     def order(self) -> tuple:
-        return (-self.score, self.key is None, self.key or "", self.ident)
+        """After the score: key from low to high in its own type, NaN after numbers, null last; then identifier."""
+        return (self.key is None, self.key != self.key, self.key if self.key is not None else 0, self.ident)
 
     def __lt__(self, other: "_Entry") -> bool:
         if self.score != other.score:
@@ -44,10 +50,13 @@ class BoundedHeap:
     def __init__(self, n: int) -> None:
         self.n, self.heap, self.by_key = n, [], {}
 
-    def worst_score(self) -> float:
-        return self.heap[0].score if len(self.by_key) >= self.n else -np.inf
+    def worst_score(self) -> object:
+        """The score that an item must reach; null while there is room."""
+        return self.heap[0].score if len(self.by_key) >= self.n else None
 
-    def push(self, score: float, key: str | None, ident: int) -> None:
+    def push(self, score: object, key: object, ident: object) -> None:
+        if key != key:
+            key = _NAN
         full = len(self.by_key) >= self.n
         if full and score < self.heap[0].score:
             return
@@ -70,7 +79,7 @@ class BoundedHeap:
             heapq.heapify(self.heap)
 
     def items(self) -> list[_Entry]:
-        return sorted(self.by_key.values(), key=_Entry.order)
+        return sorted(self.by_key.values(), reverse=True)
 
 
 def _emit(groups: Iterable[tuple], heaps: Iterable[BoundedHeap], schema: pa.Schema, places: bool) -> Iterator[pa.RecordBatch]:
@@ -86,7 +95,21 @@ def _emit(groups: Iterable[tuple], heaps: Iterable[BoundedHeap], schema: pa.Sche
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-def _folder(n: int, n_groups: int, fields: list[tuple[str, pa.DataType]], final: bool):
+def group_rows(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, local): a row of each different group, and for every row the place of its group there.
+
+    Columns are added one by one and the numbers made dense after each, so they never exceed
+    rows times the values of one column, however many columns there are.
+    """
+    codes = np.zeros(len(columns[0]) if columns else 0, np.int64)
+    for column in columns:
+        own = column.dictionary_encode(null_encoding="encode")
+        codes = np.unique(codes * max(1, len(own.dictionary)) + own.indices.to_numpy().astype(np.int64), return_inverse=True)[1]
+    _, rows, local = np.unique(codes, return_index=True, return_inverse=True)
+    return rows, local
+
+
+def _folder(n: int, n_groups: int, schema: pa.Schema, final: bool):
     """A mapInArrow function over (group columns, score, key, id).
 
     Not final: heaps of whatever groups the task meets, sent on when their items reach
@@ -95,36 +118,25 @@ def _folder(n: int, n_groups: int, fields: list[tuple[str, pa.DataType]], final:
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([*fields, ("_place", pa.int32())] if final else fields)
         heaps: dict[tuple, BoundedHeap] = {}
         held = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            codes, uniques = np.zeros(batch.num_rows, np.int64), []
-            for i in range(n_groups):
-                d = batch.column(i).dictionary_encode(null_encoding="encode")
-                uniques.append(d.dictionary.to_pylist())
-                codes = codes * max(1, len(uniques[-1])) + d.indices.to_numpy()
-            present, local = np.unique(codes, return_inverse=True)
+            first, local = group_rows([batch.column(i) for i in range(n_groups)])
             mine = []
-            for code in present.tolist():
-                parts = []
-                for u in reversed(uniques):
-                    code, k = divmod(code, max(1, len(u)))
-                    parts.append(u[k])
-                group = tuple(reversed(parts))
+            for group in zip(*(batch.column(i).take(pa.array(first)).to_pylist() for i in range(n_groups))):
                 heap = heaps.get(group)
                 if heap is None:
                     heap = heaps[group] = BoundedHeap(n)
                 mine.append(heap)
             score = batch.column(n_groups).to_numpy(zero_copy_only=False)
-            floor = np.array([h.worst_score() for h in mine])
-            rows = np.flatnonzero(score >= floor[local])
-            rows = rows[np.argsort(-score[rows], kind="stable")]
-            keys = batch.column(n_groups + 1).take(pa.array(rows)).to_pylist()
-            idents = batch.column(n_groups + 2).take(pa.array(rows)).to_pylist()
-            for g, s, k, i in zip(local[rows].tolist(), score[rows].tolist(), keys, idents):
+            worst = [h.worst_score() for h in mine]
+            floor = np.array([score[i] if w is None else w for i, w in zip(first, worst)], score.dtype)
+            rows = np.flatnonzero((score >= floor[local]) | np.array([w is None for w in worst])[local])
+            rows = rows[np.argsort(score[rows], kind="stable")[::-1]]
+            scores, keys, idents = (batch.column(n_groups + i).take(pa.array(rows)).to_pylist() for i in range(3))
+            for g, s, k, i in zip(local[rows].tolist(), scores, keys, idents):
                 mine[g].push(s, k, i)
             if final:
                 last = tuple(batch.column(i)[batch.num_rows - 1].as_py() for i in range(n_groups))
@@ -150,30 +162,35 @@ def top_n_per_group(df: DataFrame, groups: list[str], score: str, key: str, iden
     heaps of a group are then merged the same way from rows sorted by group. No group is
     ever held whole, and the hottest group costs its task n rows for each earlier task.
 
-    Order: score from high to low, then key, then identifier, nulls of the key last. Only
-    the best row of each key counts; rows with a null key are one key. Rows whose score is
-    null or NaN, or whose identifier is null, don't take part. A null in a group column is a
-    group of its own. Repeated rows give one place. An empty table gives no rows. Other
-    columns aren't read, so their names can't clash.
+    Order: score from high to low, then key, then identifier, each in its own type, so
+    integers and decimals of any size keep every digit and numeric keys stand by value; nulls of
+    the key come last. Only the best row of each key counts; rows with a null key are one key.
+    Rows whose score is null or NaN, or whose identifier is null, don't take part. A null in a
+    group column is a group of its own; group columns are of atomic types, and there may be any
+    number of them. Repeated rows give one place. An empty table gives no rows. Other columns
+    aren't read, so their names can't clash.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    if not groups:
+        raise ValueError("at least one group column is needed")
+    kinds = {f.name: f.dataType for f in df.schema.fields}
     inner = [f"_g{i}" for i in range(len(groups))]
-    rows = df.select(
-        *[F.col(g).cast("string").alias(x) for g, x in zip(groups, inner)],
-        F.col(score).cast("double").alias("_score"),
-        F.col(key).cast("string").alias("_key"),
-        F.col(ident).cast("long").alias("_id"),
-    ).where("_score is not null and not isnan(_score) and _id is not null")
-    fields = [*((x, pa.string()) for x in inner), ("_score", pa.float64()), ("_key", pa.string()), ("_id", pa.int64())]
-    ddl = ", ".join([*(f"{x} string" for x in inner), "_score double", "_key string", "_id bigint"])
-    partial = rows.mapInArrow(_folder(n, len(groups), fields, False), ddl)
-    merged = partial.repartition(*inner).sortWithinPartitions(*inner).mapInArrow(_folder(n, len(groups), fields, True), ddl + ", _place int")
+    # Doubles travel as text, since -0.0 and the many NaN are one group each.
+    real = (T.FloatType, T.DoubleType)
+    as_group = lambda g: F.when(F.col(g) == 0, F.lit("0.0")).otherwise(F.col(g).cast("string")) if isinstance(kinds[g], real) else F.col(g)
+    rows = df.select(*[as_group(g).alias(x) for g, x in zip(groups, inner)], F.col(score).alias("_score"), F.col(key).alias("_key"), F.col(ident).alias("_id"))
+    rows = rows.where("_score is not null and _id is not null")
+    if isinstance(kinds[score], real):
+        rows = rows.where("not isnan(_score)")
+    held = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields])
+    placed = T.StructType([*held.fields, T.StructField("_place", T.IntegerType(), True)])
+    partial = rows.mapInArrow(_folder(n, len(groups), to_arrow_schema(held), False), held)
+    merged = partial.repartition(*inner).sortWithinPartitions(*inner).mapInArrow(_folder(n, len(groups), to_arrow_schema(placed), True), placed)
     return merged.select(
         *[F.col(x).cast(kinds[g]).alias(g) for g, x in zip(groups, inner)],
         F.col("_place").alias(place),
-        F.col("_id").cast(kinds[ident]).alias(ident),
-        F.col("_key").cast(kinds[key]).alias(key),
-        F.col("_score").cast(kinds[score]).alias(score),
+        F.col("_id").alias(ident),
+        F.col("_key").alias(key),
+        F.col("_score").alias(score),
     )
