@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..session import cut
+
+#: Rows and characters of the list of steps up to which it is sent to every executor; longer lists are joined.
+BROADCAST_STEPS, BROADCAST_CHARS = 200_000, 16_000_000
 
 
 def row_hash(columns: list[Column]) -> Column:
@@ -21,6 +25,18 @@ def two_decimals(c: Column) -> Column:
     return F.when(nan, F.lit(-(2**62))).otherwise(F.round(F.nanvl(c.cast("double"), F.lit(0.0)) * 100).cast("long")).cast("long")
 
 
+def delivered_steps(rows: DataFrame) -> DataFrame:
+    """(_e, _s, _next, _first): each entity's snapshots in order of _o, then _s.
+
+    One aggregation, whose state is the entity's distinct (snapshot, order) pairs. If rows of one
+    snapshot differ in their order, the least counts.
+    """
+    pairs = F.array_sort(F.collect_set(F.struct("_s", "_o")))
+    each = F.filter(F.col("p"), lambda x, i: (i == 0) | (x["_s"] != F.get(F.col("p"), i - 1)["_s"]))
+    line = rows.groupBy("_e").agg(pairs.alias("p")).select("_e", F.array_sort(F.transform(each, lambda x: F.struct(x["_o"].alias("_o"), x["_s"].alias("_s")))).alias("p"))
+    return line.select("_e", F.posexplode("p").alias("_i", "_x"), "p").select("_e", F.col("_x._s").alias("_s"), F.get(F.col("p"), F.col("_i") + 1)["_s"].alias("_next"), (F.col("_i") == 0).alias("_first"))
+
+
 def snapshot_changes(
     df: DataFrame,
     entity: str,
@@ -33,9 +49,9 @@ def snapshot_changes(
 
     Every row is tagged twice: as the later side of its own snapshot and as the earlier side
     of the next delivered one. One aggregation over (entity, snapshot, key) then holds both
-    sides' row hashes. The order of an entity's snapshots comes from its distinct
-    (snapshot, order) pairs, a few rows for each entity; whether that list is broadcast or
-    shuffled is left to the adaptive planner, which measures it first.
+    sides' row hashes, and is the only shuffle of the rows. The order of an entity's snapshots
+    comes from its distinct (snapshot, order) pairs; that list of steps is measured, and
+    broadcast only up to BROADCAST_STEPS rows and BROADCAST_CHARS characters.
 
     Repeated rows of a key count once; if they differ, the least hash stands for the key, so
     the result doesn't depend on the order of rows. Rows with a null entity, snapshot,
@@ -45,9 +61,10 @@ def snapshot_changes(
     rows = df.select(
         F.col(entity).alias("_e"), F.col(snapshot).alias("_s"), F.col(order).alias("_o"), F.col(key).alias("_k"), row_hash(compared).alias("_h")
     ).where("_e is not null and _s is not null and _o is not null and _k is not null")
-    delivered = rows.groupBy("_e", "_s").agg(F.min("_o").alias("_o"))
-    w = Window.partitionBy("_e").orderBy("_o", "_s")
-    steps = delivered.select("_e", "_s", F.lead("_s").over(w).alias("_next"), F.lag("_s").over(w).isNull().alias("_first"))
+    steps = cut(delivered_steps(rows))
+    size = steps.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.concat_ws("|", *[F.col(c).cast("string") for c in ("_e", "_s", "_next")]))), F.lit(0)).alias("chars")).first()
+    if size["n"] <= BROADCAST_STEPS and size["chars"] <= BROADCAST_CHARS:
+        steps = F.broadcast(steps)
     sides = rows.join(steps, ["_e", "_s"]).select(
         "_e",
         "_k",
