@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .names import short_forms
-from .variants import collect_units, order_words, parse_names
+from .names import USUAL
+from .variants import collect_units, one_edit, order_words, parse_names
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,7 @@ class Record:
     team: str
 
     def forms(self) -> list[str]:
-        return short_forms(self.given) if self.given else []
+        return USUAL.forms(self.given) if self.given else []
 
     def whole(self) -> bool:
         return len(self.given) >= 2
@@ -53,13 +53,6 @@ def _less_one(word: str) -> list[str]:
     return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
 
 
-def one_edit(a: Column, b: Column) -> Column:
-    """At most one letter more, less, other or two neighbours swapped."""
-    lev = F.levenshtein(a, b, 2)
-    swap = (lev == 2) & (F.length(a) == F.length(b)) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, "")))
-    return lev.between(0, 1) | swap
-
-
 def cascade() -> list[Rule]:
     """The rules from the strictest to the weakest."""
 

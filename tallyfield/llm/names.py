@@ -60,10 +60,29 @@ SUFFIXES = ("jr", "sr", "ii", "iii", "iv")
 POSITIONS = ("QB", "RB", "WR", "TE", "K", "DEF", "DST", "D/ST")
 DEFENCE_WORDS = ("def", "dst", "defense", "defence")
 
-FORMAL: dict[str, list[str]] = {}
-for _formal, _shorts in NICKNAMES.items():
-    for _short in _shorts:
-        FORMAL.setdefault(_short, []).append(_formal)
+
+
+class Nicknames:
+    """Which given names are used for one another, from a table of formal names and their short forms."""
+
+    def __init__(self, table: dict[str, tuple[str, ...]] = NICKNAMES) -> None:
+        self.table = {f: tuple(s) for f, s in table.items()}
+        self.formal: dict[str, list[str]] = {}
+        for formal, shorts in self.table.items():
+            for short in shorts:
+                self.formal.setdefault(short, []).append(formal)
+
+    def forms(self, given: str) -> list[str]:
+        """The given name and every formal name that it may be short for."""
+        return [given, *self.formal.get(given, [])]
+
+    def kindred(self, given: str) -> list[str]:
+        """The given name, the formal names that it may be short for and their short forms."""
+        forms = self.forms(given)
+        return list(dict.fromkeys([*forms, *(n for f in forms for n in self.table.get(f, ()))]))
+
+
+USUAL = Nicknames()
 
 _ANNOTATION = re.compile(r"\s*[\(\[]\s*[A-Za-z/]{1,4}\s*[\)\]]\s*$")
 _TEAM_TAIL = re.compile(r"\s+[-–—]\s+([A-Za-z0-9]{2,3})\s*$")
@@ -81,17 +100,6 @@ def canonical_position(p: str | None) -> str | None:
     return None if p not in POSITIONS else "DEF" if p in ("DEF", "DST", "D/ST") else p
 
 
-def kindred_names(given: str) -> list[str]:
-    """The given name, the formal names that it may be short for and their short forms."""
-    forms = short_forms(given)
-    return list(dict.fromkeys([*forms, *(n for f in forms for n in NICKNAMES.get(f, ()))]))
-
-
-def short_forms(given: str) -> list[str]:
-    """The given name and every formal name that it may be short for."""
-    return [given, *FORMAL.get(given, [])]
-
-
 class Name:
     """Parts of a typed name.
 
@@ -102,7 +110,7 @@ class Name:
 
     __slots__ = ("long", "comma", "initials", "outer", "suffix", "tail", "first_half")
 
-    def __init__(self, text: str | None) -> None:
+    def __init__(self, text: str | None, nicknames: Nicknames = USUAL) -> None:
         raw = (text or "").replace("\xa0", " ")
         self.tail = None
         raw = _ANNOTATION.sub("", raw)
@@ -121,7 +129,7 @@ class Name:
                     continue
                 if bare in SUFFIXES and (self.long or self.initials):
                     self.suffix = bare
-                elif len(bare) <= 2 and bare not in FORMAL:
+                elif len(bare) <= 2 and bare not in nicknames.formal:
                     self.initials += bare
                     places.append(len(self.long))
                 else:

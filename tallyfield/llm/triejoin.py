@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .automaton import LevenshteinAutomaton, build_trie
-from .skew import grid
+from .skew import BROADCAST_ROWS, grid
 
 HOT_PROBES = 20_000
 HOT_WORDS = 50_000
@@ -105,3 +106,67 @@ def edit_neighbours(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     rows = words.withColumn("side", F.lit(0)).select(cols).unionByName(probes.withColumn("side", F.lit(1)).select(cols))
     found = rows.repartition("shard", "sa", "sb").sortWithinPartitions(*cols).mapInArrow(_search(k), "probe string, word string, edits int")
     return found.distinct()
+
+
+ROWS = "block string, k int, side int, word string, ident bigint, mark int"
+MATCHES = "a bigint, b bigint, edits int, mark_a int, mark_b int"
+
+
+def _divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of hot blocks under the keys of their words' parts."""
+    for batch in batches:
+        cols: list[list] = [[] for _ in batch.schema]
+        for block, k, side, word, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            for key in sorted(probe_keys(word, k)) if side else word_keys(word, k):
+                for c, v in zip(cols, (f"{block}:{key}", k, side, word, *rest)):
+                    c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, batch.schema)], schema=batch.schema)
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches of every shard, whose words (side 0) come before its probes (side 1)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("edits", pa.int32()), ("mark_a", pa.int32()), ("mark_b", pa.int32())])
+    current, own, trie = None, {}, None
+    for batch in batches:
+        cols: list[list] = [[] for _ in schema]
+        for block, sa, sb, k, side, word, ident, mark in zip(*(c.to_pylist() for c in batch.columns)):
+            if (block, sa, sb) != current:
+                current, own, trie = (block, sa, sb), {}, None
+            if side == 0:
+                own.setdefault(word, []).append((ident, mark))
+                continue
+            if len(own) == 1 and word in own:
+                found = [(word, 0)]
+            else:
+                if trie is None:
+                    trie = build_trie(own)
+                found = LevenshteinAutomaton(word, k).search(trie) if own else ()
+            for w, e in found:
+                for other, m in own[w]:
+                    if other != ident:
+                        for c, v in zip(cols, (ident, other, e, mark, m)):
+                            c.append(v)
+        if cols[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+
+def trie_join(rows: DataFrame) -> DataFrame:
+    """MATCHES of probes (side 1) and words (side 0) of one block within k edits of each other.
+
+    rows are ROWS. A block is one trie, walked together with a Levenshtein automaton of each of
+    its probes. Blocks with very many words or probes are divided by their words' parts, of which
+    one stays whole within k edits, and what is still hot then into grids; nothing is left
+    out. A match may come more than once.
+    """
+    hot = rows.groupBy("block").agg(F.sum(F.lit(1) - F.col("side")).alias("m"), F.sum("side").alias("q")).where(f"(m > {HOT_WORDS} or q > {HOT_PROBES}) and m > 0 and q > 0").select("block")
+    hot = cut(hot)
+    n = hot.count()
+    placed = rows.select("block", F.lit(0).alias("sa"), F.lit(0).alias("sb"), "k", "side", "word", "ident", "mark")
+    if n:
+        small = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
+        parts = cut(rows.join(small, "block", "left_semi").mapInArrow(_divide, ROWS))
+        probes, words, _ = grid(parts.where("side = 1"), parts.where("side = 0"), ["block"], F.col("ident"), F.col("ident"), HOT_PROBES, HOT_WORDS)
+        placed = placed.join(small, "block", "left_anti")
+        for d in (probes, words):
+            placed = placed.unionByName(d.select(placed.columns))
+    return placed.repartition("block", "sa", "sb").sortWithinPartitions("block", "sa", "sb", "side").mapInArrow(_walk, MATCHES)

@@ -7,12 +7,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import cut
 from .automaton import LevenshteinAutomaton, build_trie
-from .names import FORMAL, NICKNAMES, Name, canonical_position, kindred_names, unit_spellings, unit_text
-from .triejoin import edit_neighbours
+from .names import USUAL, Name, Nicknames, canonical_position, unit_spellings, unit_text
+from .triejoin import ROWS, probe_keys, trie_join, word_keys
 
 MAX_UNITS = 20_000
 
@@ -31,6 +30,7 @@ class Units:
                 owner.setdefault(s, set()).add(code)
         self.owner = {s: next(iter(c)) for s, c in owner.items() if len(c) == 1}
         self.trie = build_trie(self.owner)
+        self.parts = {k: {key for w in self.owner for key in word_keys(w, k)} for k in (1, 2)}
         self.memo: dict[str, str | None] = {}
 
     def team(self, code: str | None) -> str | None:
@@ -44,11 +44,13 @@ class Units:
             return self.owner[bare]
         if meant and bare.upper() in self.codes:
             return self.codes[bare.upper()]
-        if not meant and (pos is not None or len(bare) < 6):
+        if not meant and len(bare) < 6:
             return None
         if bare not in self.memo:
             k = 2 if len(bare) >= 12 else 1
-            near = sorted((e, s) for s, e in LevenshteinAutomaton(bare, k).search(self.trie))
+            # A spelling within k edits has one of its parts in the text, so most texts need no walk.
+            may = not self.parts[k].isdisjoint(probe_keys(bare, k))
+            near = sorted((e, s) for s, e in LevenshteinAutomaton(bare, k).search(self.trie)) if may else []
             best = {self.owner[s] for e, s in near if e == near[0][0]}
             if len(self.memo) > 100_000:
                 self.memo.clear()
@@ -67,7 +69,7 @@ def collect_units(teams: DataFrame) -> list[tuple]:
 PARSED = "ident bigint, unit string, given string, family string, half string, other_given string, other_family string, first string, last string, sure boolean, suffix string, pos string, team string"
 
 
-def parse_names(rows: DataFrame, units: list[tuple]) -> DataFrame:
+def parse_names(rows: DataFrame, units: list[tuple], nicknames: Nicknames = USUAL) -> DataFrame:
     """Parts of the names of (ident, name, pos, team) rows; see PARSED.
 
     A name of a team unit has only unit, pos and team. Otherwise given is a word of three
@@ -84,7 +86,7 @@ def parse_names(rows: DataFrame, units: list[tuple]) -> DataFrame:
         unit = known.find(text, p, t)
         if unit is not None:
             return (ident, unit, *[None] * 7, None, None, "DEF", unit)
-        n = Name(text)
+        n = Name(text, nicknames)
         if t is None:
             t = known.team(n.tail)
         other_given = other_family = first = last = None
@@ -110,12 +112,6 @@ def parse_names(rows: DataFrame, units: list[tuple]) -> DataFrame:
     return rows.mapInArrow(run, PARSED)
 
 
-def _forms(c: Column) -> Column:
-    """The given name and the formal names that it may be short for."""
-    pairs = [x for short, formal in sorted(FORMAL.items()) for x in (F.lit(short), F.array(*[F.lit(f) for f in formal]))]
-    return F.concat(F.array(c), F.coalesce(F.element_at(F.create_map(*pairs), c), F.array().cast("array<string>")))
-
-
 #: Lead of one order of words over the other, as smoothed shares of places, from which it is settled.
 SETTLED = 1 / 3
 
@@ -123,8 +119,9 @@ SETTLED = 1 / 3
 def order_words(parsed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Names with given and family names told apart by where their words stand in all other entries.
 
-    second_given and second_family hold the other reading of a name whose order stays unsettled:
-    words that stand in no other entries, as misspelled ones do, or in few, or in either place.
+    second_given and second_family hold the other order of the words, if there is one. unsettled
+    tells that the order is open: words that stand in no other entries, as misspelled ones do, or
+    in few, or in either place.
     """
     decided = parsed.where("first is not null")
     places = decided.select(
@@ -144,157 +141,214 @@ def order_words(parsed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         F.when(swap, F.col("other_given")).otherwise(F.col("given")).alias("given"),
         F.when(swap, F.col("other_family")).otherwise(F.col("family")).alias("family"),
         F.when(~swap, F.col("half")).alias("half"),
-        F.when(open_, F.when(swap, F.col("given")).otherwise(F.col("other_given"))).alias("second_given"),
-        F.when(open_, F.when(swap, F.col("family")).otherwise(F.col("other_family"))).alias("second_family"),
+        F.when(~F.col("sure"), F.when(swap, F.col("given")).otherwise(F.col("other_given"))).alias("second_given"),
+        F.when(~F.col("sure"), F.when(swap, F.col("family")).otherwise(F.col("other_family"))).alias("second_family"),
+        open_.alias("unsettled"),
         "suffix",
         "pos",
         "team",
     )
 
 
-def _kindred(c: Column) -> Column:
-    """The given name with all names that are used for one another with it."""
-    every = sorted({*FORMAL, *NICKNAMES})
-    pairs = [x for g in every for x in (F.lit(g), F.array(*[F.lit(k) for k in kindred_names(g)]))]
-    return F.coalesce(F.element_at(F.create_map(*pairs), c), F.array(c))
+#: Marks of rows in the trie join: read with an initial, as a formal or short form, as the first
+#: half of a hyphenated family name, in the other order of words; the word is the given name, is
+#: missing; the block is a part of the given name.
+INITIAL, NICK, HALF, TURNED, GIVEN, NONE, PART = 1, 2, 4, 8, 16, 32, 64
+#: Letters of a family name from which two edits are searched without the team's help.
+LONG = 14
+#: Positions of players. Fixed values.
+PLAYED = ("QB", "RB", "WR", "TE", "K")
+FORM = "form bigint, given string, family string, half string, pos string, teams array<string>, second_given string, second_family string, unsettled boolean, probe boolean"
 
 
-def with_teams_of_initials(forms: DataFrame) -> DataFrame:
-    """Forms with a whole given name also get the teams of entries that give only its initial.
+def _spread(nicknames: Nicknames, wide: bool):
+    """Rows of the trie join for FORM rows.
 
-    That holds where no other form of the family and position has the initial.
+    Not wide, within one edit: the family names (long ones within two) of one given name, of one
+    initial, and, within two, the given names of one family name; each for one position,
+    and for entries without a position over all. Wide: whole names of one team and position within
+    two edits, and names with an edit in either part; probes in either order of words.
+    """
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32()]
+    schema = pa.schema(list(zip([x.split()[0] for x in ROWS.split(", ")], kinds)))
+
+    def narrow(readings: list[tuple], places: list[str], side: int) -> Iterator[tuple]:
+        for g, f, h, turn in readings:
+            forms = nicknames.forms(g) if g else []
+            families = [(f, turn), *([(h, turn | HALF)] if h and h != f and not side else [])]
+            if len(g) >= 2:
+                for x in forms:
+                    for y, m in families:
+                        own = m | (NICK if x != g else 0)
+                        if len(y) >= LONG + 2 if side else len(y) >= LONG:
+                            yield from ((f"L|{x}|{p}", 2, side, y, own) for p in places)
+                        if len(y) < LONG + 2 if side else len(y) <= LONG + 2:
+                            yield from ((f"F|{x}|{p}", 1, side, y, own) for p in places)
+            if g and (not side or len(g) == 1):
+                for x in sorted({x[0] for x in forms}):
+                    for y, m in families:
+                        yield from ((f"I|{x}|{p}", 1, side, y, m | INITIAL) for p in places)
+            if len(g) >= 3:
+                for x in nicknames.kindred(g) if not side else [g]:
+                    yield from ((f"G|{f}|{p}", 2, side, x, turn | GIVEN | (NICK if x != g else 0)) for p in places)
+            if not side:
+                yield from ((f"N|{f}|{p}", 0, 0, "", turn | NONE) for p in places)
+            elif not g:
+                yield from ((f"N|{f}|{p}", 0, 1, "", turn | NONE) for p in places)
+
+    def whole(readings: list[tuple], places: list[str], teams: list[str], side: int) -> Iterator[tuple]:
+        for g, f, h, turn in readings:
+            families = [(f, turn), *([(h, turn | HALF)] if h and h != f and not side else [])]
+            names = [(x, NICK if x != g else 0) for x in (nicknames.forms(g) if side else nicknames.kindred(g))] if len(g) >= 2 else []
+            letters = sorted({x[0] for x in nicknames.forms(g)}) if g and (not side or len(g) == 1) else []
+            if len(g) >= 3 and "*" not in places[:1]:
+                for key in sorted(probe_keys(g, 1)) if side else word_keys(g, 1):
+                    yield f"P|{key}|{places[0]}", 1, side, f, turn | PART
+            for y, m in families:
+                for t in teams:
+                    for p in places:
+                        yield from ((f"W|{p}|{t}", 2, side, f"{x} {y}", m | own) for x, own in names)
+                        yield from ((f"J|{x}|{p}|{t}", 2, side, y, m | INITIAL) for x in letters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[] for _ in schema]
+            for form, g, f, h, pos, teams, sg, sf, unsettled, probe in zip(*(c.to_pylist() for c in batch.columns)):
+                first, other = (g, f, h, 0), [(sg, sf, None, TURNED)] if sg is not None and (sg, sf) != (g, f) else []
+                both = [first, *other]
+                found: dict[tuple, int] = {}
+                for side in (0, 1) if probe else (0,):
+                    places = [pos or "*"] if side else [pos, "*"] if pos else ["*", *PLAYED]
+                    rows = whole(both if side else [first], places, teams or [], side) if wide else narrow(both if unsettled else [first], places, side)
+                    for block, k, own, word, mark in rows:
+                        key = (block, k, own, word)
+                        if key not in found or mark < found[key]:
+                            found[key] = mark
+                for (block, k, own, word), mark in found.items():
+                    for c, v in zip(cols, (block, k, own, word, form, mark)):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    return run
+
+
+def _candidates(forms: DataFrame, nicknames: Nicknames, wide: bool) -> DataFrame:
+    """Pairs of forms that the trie join finds, each with the attributes of both.
+
+    forms: FORM with root and, of the form or the whole entity, n, its number of entries, full, whether
+    any has a whole given name, and known, whether any has a position; these rank it. Of a pair x
+    is the lower one, so parents never lead back.
     """
-    letter = F.substring(F.element_at("names", -1), 1, 1)
-    known = forms.where("pos is not null and given <> ''").withColumn("letter", letter)
-    others = known.where("not full").select("family", "pos", "letter", F.explode("teams").alias("t")).groupBy("family", "pos", "letter").agg(F.collect_set("t").alias("more"))
-    alone = known.where("full").groupBy("family", "pos", "letter").agg(F.min("form").alias("form"), F.max("form").alias("hi")).where("form = hi")
-    extra = alone.join(others, ["family", "pos", "letter"]).select("form", "more")
-    return forms.join(extra, "form", "left").withColumn("teams", F.array_distinct(F.concat("teams", F.coalesce("more", F.array().cast("array<string>"))))).drop("more")
-
-
-def is_full(given: Column) -> Column:
-    """A given name that tells one player of a family from another: a word or two initials."""
-    return F.length(given) >= 2
-
-
-def likeness_of_given(a: Column, b: Column, fa: Column, fb: Column, ka: Column, kb: Column) -> Column:
-    """How far two given names are from being the same: 0 equal to 1 a typing error; null if they differ."""
-    short_a, short_b = (F.when(F.size(f) > 1, 3).otherwise(F.least(F.length(x), F.lit(3))) for x, f in ((a, fa), (b, fb)))
-    def typed(x: Column, y: Column) -> Column:
-        lev = F.levenshtein(x, y, 2)
-        return F.coalesce(lev.between(0, 1), F.lit(False)) | ((lev == 2) & (F.length(x) == F.length(y)) & (F.array_sort(F.split(x, "")) == F.array_sort(F.split(y, ""))))
-
-    starts = lambda x, forms: F.exists(forms, lambda f: f.startswith(F.substring(x, 1, 1)))
-    return (
-        F.when(a == b, 0.0)
-        .when((short_a == 0) | (short_b == 0), 0.9)
-        .when((short_a == 3) & (short_b == 3) & F.arrays_overlap(fa, fb), 0.3)
-        .when((short_a < 3) & (short_b < 3) & (a.startswith(b) | b.startswith(a)), 0.4)
-        .when((short_a == 1) & (short_b == 3) & starts(a, fb), 0.5)
-        .when((short_b == 1) & (short_a == 3) & starts(b, fa), 0.5)
-        .when((short_a == 2) & (short_b == 3) & starts(a, fb), 0.7)
-        .when((short_b == 2) & (short_a == 3) & starts(b, fa), 0.7)
-        .when((short_a == 3) & (short_b == 3) & typed(a, b), 1.0)
-        .when((short_a == 3) & (short_b == 3) & (F.exists(kb, lambda k: (F.length(k) > 3) & typed(a, k)) | F.exists(ka, lambda k: (F.length(k) > 3) & typed(b, k))), 1.0)
+    rows = forms.select(*[x.split()[0] for x in FORM.split(", ")]).mapInArrow(_spread(nicknames, wide), ROWS)
+    met = trie_join(rows).where(F.expr(f"mark_a & mark_b & {TURNED} = 0"))
+    met = met.select("a", "b", "edits", F.col("mark_a").bitwiseOR(F.col("mark_b")).alias("mark")).distinct()
+    cols = ["root", "given", "family", "pos", "teams", "n", "full", "known"]
+    own, other = (forms.select(F.col("form").alias(x), F.struct(*cols).alias(f"s{x}")) for x in ("a", "b"))
+    pairs = met.join(own, "a").join(other, "b").where("sa.root <> sb.root")
+    rank = lambda s: F.struct(*[F.col(f"{s}.{c}") for c in ("full", "known", "n", "root")])
+    up = _has(HALF) | (rank("sa") < rank("sb"))
+    return pairs.select("edits", "mark", F.when(up, F.col("sa")).otherwise(F.col("sb")).alias("x"), F.when(up, F.col("sb")).otherwise(F.col("sa")).alias("y"))
+
+
+def _has(bit: int) -> Column:
+    return F.col("mark").bitwiseAND(F.lit(bit)) > 0
+
+
+def _admitted(pairs: DataFrame) -> DataFrame:
+    """The pairs in which form x may stand for y, the better supported one, with a score.
+
+    The rules weigh edits against position and team. Positions never differ here. An entry that
+    is misspelled stands alone, so a form with several entries is no misspelling of another; and
+    a name that differs by two edits, or by one without its given name, needs the same team.
+    """
+    n, given, family = F.col("x.n"), F.col("x.given"), F.col("x.family")
+    e = F.col("edits") + _has(PART).cast("int")
+    tp = F.coalesce(F.col("x.pos") == F.col("y.pos"), F.lit(False))
+    tt = F.when((F.size("x.teams") == 0) | (F.size("y.teams") == 0), 0).when(F.arrays_overlap("x.teams", "y.teams"), 1).otherwise(-1)
+    la, lb = F.length(given), F.length("y.given")
+    long = F.least(F.length(family), F.length("y.family"))
+    given_long = F.when(_has(NICK), F.greatest(la, lb)).otherwise(F.least(la, lb))
+    same, unknown, alone = tt == 1, tt == 0, n == 1
+    initials = (
+        F.when(e == 0, tp | (tt >= 0))
+        .when(e == 1, same | (tp & unknown & alone & (long >= 6)))
+        .otherwise(same & tp & (n <= 2) & (long >= 7))
+    )
+    halves = F.when(e == 0, same | (tp & unknown)).otherwise((e == 1) & tp & same & (alone | _has(INITIAL)))
+    letters = F.when(_has(GIVEN), given_long).otherwise(long)
+    supported = unknown & alone & (F.col("y.n") >= 2) & (letters >= 6)
+    typed = (
+        F.when(e == 0, F.when(_has(NICK), tp | same).otherwise(True))
+        .when(e == 1, (same & (n <= 2)) | (tp & unknown & alone & (letters >= 4)) | (tp & alone & ((_has(GIVEN) & (given_long >= 5)) | ((F.col("y.n") >= 2) & (long >= 8)))) | supported)
+        .otherwise((same & (n <= 2) & (letters >= 5)) | (tp & alone & ((_has(GIVEN) & unknown & (given_long >= 6)) | (unknown & (long >= LONG)))))
     )
+    parts = tp & alone & (long >= 7) & (given != F.col("y.given")) & one_edit(given, F.col("y.given"))
+    ok = F.when(_has(NONE), tp | (tt >= 0)).when(_has(PART), parts).when(_has(HALF), halves).when(_has(INITIAL), initials).otherwise(typed)
+    exact = (e == 0) & F.col("y.full") & ~_has(NICK | INITIAL | HALF | NONE)
+    score = 3.0 * exact.cast("double") + 2.0 * tt + tp.cast("double") - e - 0.3 * _has(NICK).cast("double") - 0.5 * _has(HALF).cast("double") - 0.2 * _has(TURNED).cast("double")
+    return pairs.where(ok).select("x.root", F.struct(F.col("y.full").alias("full"), score.alias("score"), F.col("y.n").alias("n"), F.col("y.root").alias("root")).alias("to"))
+
+
+def one_edit(a: Column, b: Column) -> Column:
+    """At most one letter more, less, other or two neighbours swapped."""
+    lev = F.levenshtein(a, b, 2)
+    swap = (lev == 2) & (F.length(a) == F.length(b)) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, "")))
+    return lev.between(0, 1) | swap
 
 
-def link_variants(rows: DataFrame, teams: DataFrame, ident: str, name: str, pos: str, team: str) -> DataFrame:
+def _roots(links: DataFrame) -> DataFrame:
+    """(form, root) from (form, parent), where a form without a parent is its own: parents are followed
+    until none changes, in steps that double."""
+    links = cut(links)
+    while True:
+        up = links.select(F.col("form").alias("parent"), F.col("parent").alias("up"))
+        links = cut(links.join(up, "parent").select("form", F.col("up").alias("parent"), (F.col("up") != F.col("parent")).alias("moved")))
+        if not links.where("moved").limit(1).count():
+            return links.select("form", F.col("parent").alias("root"))
+        links = links.drop("moved")
+
+
+def link_variants(rows: DataFrame, teams: DataFrame, ident: str, name: str, pos: str, team: str, nicknames: Nicknames = USUAL) -> DataFrame:
     """(ident, entity): entries with the same entity mean the same person or team unit.
 
     1. Names are cleaned and read; team units are found in a trie of the known spellings.
-       A name whose order of words is unsettled takes part in both readings.
-    2. Names with a whole given name that are spelled alike, of one position, form a core.
-    3. Family names within one edit of each other come from the trie join, those of nine letters
-       or more within two edits from a trie join in the blocks of a position and team, without
-       which two edits are never admitted; given names are then compared in either order of
-       words, as nicknames, initials and with one typing error.
-    4. A core joins a better supported one, or an entry without a whole given name joins a core, if
-       position and team speak for it; a typing error in the family name needs more of that than
-       an initial does. Entries left over that are written alike stay together.
-
-    Null and empty names have no entity and are left out, as are null identifiers. Repeated
-    entries are linked like any others. Unknown teams and positions count as missing. An
-    empty table gives no rows. Only the four named columns are read.
+       Entries read alike, of one position, are one form.
+    2. The trie join finds, within an edit, the family names of the forms that share a given name
+       (or a formal name that both may be short for), or an initial, and, within two, the given
+       names of those that share a family name. A form whose order of words is unsettled
+       takes part in both orders.
+    3. Every form joins the best of the better supported forms that the rules admit; parents are
+       followed until nothing changes.
+    4. Entities of one or two entries are taken once more through a trie join of whole names
+       within two edits, in both orders of words, among the entries of one team and position.
+
+    nicknames is the table of names used for one another. Null and empty names have no entity
+    and are left out, as are null identifiers. Repeated entries are linked like any others. Unknown
+    teams and positions count as missing. An empty table gives no rows. Only the four named
+    columns are read.
     """
     units = collect_units(teams)
     source = rows.select(F.col(ident).cast("long"), F.col(name).cast("string"), F.col(pos).cast("string"), F.col(team).cast("string"))
-    parsed = cut(parse_names(source.where(F.col(ident).isNotNull() & F.col(name).isNotNull()), units))
-    people = cut(order_words(parsed).where("family <> '' or given <> ''"))
+    parsed = cut(parse_names(source.where(F.col(ident).isNotNull() & F.col(name).isNotNull()), units, nicknames))
+    people = cut(order_words(parsed).where("family <> '' or given <> ''").withColumn("form", F.xxhash64("given", "family", F.coalesce("pos", F.lit("-")))))
 
-    profiles = people.groupBy("given", "family", "half", "pos", "team").agg(F.count("*").alias("n"))
-    by_form = profiles.groupBy("given", "family", "pos").agg(
-        F.sum("n").alias("n"), F.max("half").alias("half"), F.collect_set("team").alias("teams")
-    )
-    by_form = by_form.select("given", "family", "pos", "n", "half", "teams", is_full(F.col("given")).alias("full"))
-    key = F.concat_ws("|", "given", "family", F.coalesce("pos", F.lit("-")))
-    by_form = by_form.withColumn("n", F.sum("n").over(Window.partitionBy("given", "family")))
-    forms = (by_form.withColumn("form", key).withColumn("names", _forms(F.col("given"))).withColumn("kin", _kindred(F.col("given"))))
-    forms = cut(with_teams_of_initials(forms))
-    cores = forms.where("full")
-    reading = ["form", "given", "family", "names", "kin", "pos", "teams", "n", "full"]
-    second = people.where("second_given is not null").select(key.alias("form"), "second_given", "second_family").distinct()
-    turned = second.join(forms, "form").select(*reading, "second_given", "second_family")
-    turned = turned.withColumn("given", F.col("second_given")).withColumn("family", F.col("second_family")).withColumn("names", _forms(F.col("given"))).withColumn("kin", _kindred(F.col("given"))).withColumn("full", is_full(F.col("given")))
-    readings = cut(forms.select(*reading, F.lit(0).alias("turn")).unionByName(turned.select(*reading, F.lit(1).alias("turn"))))
-
-    near = edit_neighbours(readings.select("family"), readings.select("family"), 1)
-    near = near.where((F.col("edits") == 0) | (F.least(F.length("probe"), F.length("word")) >= 5)).select("probe", "word", F.col("edits").cast("double").alias("fd"))
-    two = "half is not null and half <> family"
-    halves = cores.where(two).select(F.col("half").alias("probe"), F.col("family").alias("word"), F.lit(0.5).alias("fd"))
-    halves = halves.unionByName(forms.where(f"not full and {two}").select(F.col("family").alias("probe"), F.col("half").alias("word"), F.lit(0.5).alias("fd"))).distinct()
-    blocked = cores.where("pos is not null and length(family) >= 9").select("given", "pos", F.explode("teams").alias("team"), F.substring("family", 1, 2).alias("start"), "family")
-    twice = blocked.withColumnRenamed("family", "probe").join(blocked.withColumnRenamed("family", "word"), ["given", "pos", "team", "start"])
-    twice = twice.where(F.levenshtein("probe", "word", 3).between(2, 3)).select("probe", "word", F.lit(2.0).alias("fd")).distinct()
-    long = readings.where("pos is not null and length(family) >= 9").select("family", F.explode(F.transform("teams", lambda t: F.concat_ws("|", "pos", t))).alias("block"), "full", "n")
-    within_two = edit_neighbours(long.where("not full or n <= 2").select("family", "block"), long.where("full").select("family", "block"), 2)
-    twice = twice.unionByName(within_two.where("edits = 2").select("probe", "word", F.lit(2.0).alias("fd")))
-    near = near.unionByName(halves).unionByName(twice).groupBy("probe", "word").agg(F.min("fd").alias("fd"))
-
-    letters = F.when(
-        F.length("given") > 0,
-        F.array_distinct(F.concat(F.transform("names", lambda x: F.substring(x, 1, 1)), F.when(F.length("given") > 2, F.array(F.substring("given", 2, 1))).otherwise(F.array().cast("array<string>")))),
-    ).otherwise(F.array(F.lit("*")))
-    left = readings.select(F.col("family").alias("probe"), "form", "given", "names", "kin", "pos", "teams", "n", "full", "turn", F.explode(letters).alias("letter"))
-    own = F.array_distinct(F.concat(F.transform("names", lambda x: F.substring(x, 1, 1)), F.array(F.lit("*"))))
-    right = readings.select(
-        F.col("family").alias("word"), F.col("form").alias("form_b"), F.col("given").alias("given_b"), F.col("names").alias("names_b"), F.col("kin").alias("kin_b"), F.col("full").alias("full_b"), F.col("pos").alias("pos_b"), F.col("teams").alias("teams_b"), F.col("n").alias("n_b"), F.col("turn").alias("turn_b"), F.explode(own).alias("letter")
-    )
-    pairs = left.join(near, "probe").join(right, ["word", "letter"]).where("form <> form_b and turn + turn_b < 2 and (pos is null or pos_b is null or pos = pos_b)")
-    g = likeness_of_given(F.col("given"), F.col("given_b"), F.col("names"), F.col("names_b"), F.col("kin"), F.col("kin_b"))
-    same_pos = F.coalesce((F.col("pos") == F.col("pos_b")).cast("double"), F.lit(0.0))
-    team_score = F.when((F.size("teams") == 0) | (F.size("teams_b") == 0), 0.0).when(F.arrays_overlap("teams", "teams_b"), 1.5).otherwise(-1.5)
-    scored = pairs.withColumn("gd", g).where("gd is not null").withColumn("tp", same_pos).withColumn("tt", team_score)
-    scored = scored.withColumn("score", F.col("tp") + F.col("tt") - F.col("gd") - F.col("fd"))
-
-    better = F.struct(F.col("n_b"), F.col("form_b")) > F.struct(F.col("n"), F.col("form"))
-    exact_family = F.col("fd") < 1
-    agree = F.col("tp") + F.col("tt")
-    one_edit = (F.col("fd") == 1) & (F.col("n") <= 2) & (F.col("tt") >= 0)
-    ok_core = better & (
-        (exact_family & (F.col("gd") == 0))
-        | (exact_family & (F.col("gd") > 0) & (F.col("gd") < 0.7) & ((F.col("tp") > 0) | (F.col("tt") > 0)))
-        | (exact_family & (F.col("gd") == 0.7) & (F.col("tp") > 0) & (F.col("tt") > 0))
-        | (exact_family & (F.col("gd") == 1.0) & (agree > -1) & ((F.col("n") <= 2) | (agree > 2)))
-        | (one_edit & (F.col("gd") < 0.5) & ((F.col("tt") > 0) | ((F.col("n") == 1) & ((F.col("tp") > 0) | (F.col("n_b") >= 2)))))
-        | (one_edit & (F.col("gd") == 1.0) & (F.col("tp") > 0) & (F.col("n") == 1))
-        | ((F.col("fd") + F.col("gd") <= 2.5) & (F.col("fd") >= 1) & (F.col("gd") != 0.9) & (F.col("tt") > 0) & (F.col("tp") > 0) & (F.col("n") <= 2))
+    second = F.max(F.when(F.col("second_given").isNotNull(), F.struct("unsettled", "second_given", "second_family")))
+    forms = people.groupBy("form").agg(
+        *[F.min(c).alias(c) for c in ("given", "family", "pos")], F.max("half").alias("half"), F.collect_set("team").alias("teams"), F.count("*").alias("n"), second.alias("s")
     )
-    half_ok = (F.col("fd") == 0.5) & (F.col("gd") <= 0.7) & (F.col("tp") + F.col("tt") >= 1)
-    ok_rest = (exact_family & ((F.col("tt") >= 0) | (F.col("tp") > 0))) | ((F.col("fd") == 1) & (F.col("tt") > 0)) | ((F.col("fd") == 2) & (F.col("tt") > 0) & (F.col("tp") > 0))
-    same_letters = ~F.col("full") & ~F.col("full_b") & better & (F.col("gd") == 0)
-    alike = same_letters & (((F.col("fd") == 0) & ((F.col("tt") >= 0) | (F.col("tp") > 0))) | ((F.col("fd") == 1) & (F.col("tt") > 0) & (F.col("tp") > 0)))
-    admitted = scored.where((F.col("full") & F.col("full_b") & (ok_core | half_ok)) | (~F.col("full") & F.col("full_b") & ok_rest) | alike)
-    best = Window.partitionBy("form").orderBy(F.desc("full_b"), F.desc("score"), F.expr("turn + turn_b"), F.desc("n_b"), "form_b")
-    chosen = admitted.withColumn("k", F.row_number().over(best)).where("k = 1").select("form", F.col("form_b").alias("parent"))
-
-    parent = forms.select("form").join(chosen, "form", "left").select("form", F.coalesce("parent", "form").alias("parent"))
-    parent = cut(parent)
-    for _ in range(4):
-        up = parent.select(F.col("form").alias("parent"), F.col("parent").alias("up"))
-        parent = parent.join(up, "parent", "left").select("form", F.coalesce("up", "parent").alias("parent"))
-    parent = cut(parent)
-    entity = people.withColumn("form", key).join(parent, "form").select(F.col("ident").alias(ident), F.concat(F.lit("p:"), F.col("parent")).alias("entity"))
+    forms = cut(forms.select("form", "given", "family", "half", "pos", "teams", F.col("s.second_given").alias("second_given"), F.col("s.second_family").alias("second_family"), F.coalesce("s.unsettled", F.lit(False)).alias("unsettled"), F.lit(True).alias("probe"), "n", F.col("form").alias("root"), (F.length("given") >= 2).alias("full"), F.col("pos").isNotNull().alias("known")))
+
+    def linked(forms: DataFrame, wide: bool) -> DataFrame:
+        best = _admitted(_candidates(forms, nicknames, wide)).groupBy("root").agg(F.max("to").alias("to")).select("root", F.col("to.root").alias("parent"))
+        return forms.select("root").distinct().join(best, "root", "left").select(F.col("root").alias("form"), F.coalesce("parent", "root").alias("parent"))
+
+    roots = _roots(linked(forms, False))
+    grouped = forms.drop("root").join(roots, "form")
+    support = grouped.groupBy("root").agg(F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("teams"))).alias("teams"), F.max("full").alias("full"), F.max("known").alias("known"))
+    grouped = cut(grouped.drop("n", "teams", "probe", "full", "known").join(support, "root").withColumn("probe", F.col("n") <= 2))
+    again = _roots(linked(grouped, True)).withColumnRenamed("root", "entity").withColumnRenamed("form", "root")
+    final = grouped.select("form", "root").join(again, "root").select("form", F.concat(F.lit("p:"), F.col("entity").cast("string")).alias("entity"))
+    entity = people.select(F.col("ident").alias(ident), "form").join(final, "form").select(ident, "entity")
     return parsed.where("unit is not null").select(F.col("ident").alias(ident), F.concat(F.lit("u:"), F.col("unit")).alias("entity")).unionByName(entity)
 
 

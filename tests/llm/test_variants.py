@@ -72,3 +72,49 @@ def test_join_in_blocks(spark):
 def test_order_that_no_other_entry_settles(spark):
     rows = [(1, "Prendaaumiler Mattteo", "WR", "AAA"), (2, "Matteo Prendaumiler", "WR", "AAA"), (3, "Silas Orveolluvard-Ulmurigren", "RB", "BBB"), (4, "Oeveolluvard-Ulmurigren Silss", "RB", "BBB"), (5, "Prendaaumiler Mattteo", "TE", "BBB")]
     assert {(r.a, r.b) for r in link(spark, rows).collect()} == {(1, 2), (3, 4)}
+
+
+def test_edits_anywhere_in_short_and_long_names(spark):
+    rows = [(1, "Tyler Kane", "QB", "AAA"), (2, "Tyler Kane", "QB", "AAA"), (3, "Tyler Knae", "QB", "AAA")]
+    rows += [(11, "Simon Richardson", "WR", "AAA"), (12, "Simon Richardson", "WR", "AAA"), (13, "Simon Rcihardsom", "WR", "AAA"), (14, "Simon Ricahrdsom", "WR", "AAA"), (15, "Iismon Richardson", "WR", "AAA")]
+    rows += [(21, "Simon Bauer", "TE", "BBB"), (22, "Simon Bauer", "TE", "BBB"), (23, "Simon Buaes", "TE", "BBB"), (24, "Bauers, Smion", "TE", "BBB")]
+    got = {(r.a, r.b) for r in link(spark, rows).collect()}
+    want = {(a, b) for group in ((1, 2, 3), (11, 12, 13, 14, 15), (21, 22, 23, 24)) for a in group for b in group if a < b}
+    assert got == want
+
+
+def test_positions_part_namesakes_and_missing_ones_follow_the_team(spark):
+    rows = [(1, "Simon Richardson", "QB", "AAA"), (2, "Simon Richardson Jr.", "WR", "BBB"), (3, "Richardson, Simon", None, "BBB"), (4, "S. Richardson", "QB", None), (5, "S Richardson", None, "BBB"), (6, "Simon Richardson", "QB", "BBB")]
+    assert {(r.a, r.b) for r in link(spark, rows).collect()} == {(1, 4), (1, 6), (4, 6), (2, 3), (2, 5), (3, 5)}
+
+
+def test_units_under_any_position_and_other_nicknames(spark):
+    from tallyfield.llm.names import Nicknames
+    from tallyfield.llm.variants import Units
+
+    units = Units([(*TEAMS[0],), (*TEAMS[1],)])
+    assert [units.find(x, p, None) for x, p in (("Amberbay Owlz", "WR"), ("Owls", "WR"), ("Amber Bya", None), ("AAX", "WR"), ("AAX", "DEF"), ("Simon Richardson", "WR"))] == ["AAA", "AAA", "AAA", None, "AAA", None]
+    rows = [(1, "Giuseppe Richardson", "QB", "AAA"), (2, "Beppe Richardson", "QB", "AAA")]
+    df = spark.createDataFrame(rows, "entry_id bigint, player string, pos string, team string")
+    teams = spark.createDataFrame(TEAMS, "team_code string, alt_code string, city string, nickname string")
+    pairs = lambda **kw: linked_pairs(link_variants(df, teams, "entry_id", "player", "pos", "team", **kw), "entry_id", "a", "b").count()
+    assert pairs() == 0 and pairs(nicknames=Nicknames({"giuseppe": ("beppe",)})) == 1
+
+
+def test_parents_are_followed_to_the_end(spark):
+    from tallyfield.llm.variants import _roots
+
+    chain = spark.createDataFrame([(i, max(0, i - 1)) for i in range(70)] + [(100, 100)], "form bigint, parent bigint")
+    assert {r.form: r.root for r in _roots(chain).collect()} == {**{i: 0 for i in range(70)}, 100: 100}
+
+
+def test_hot_blocks_are_divided_without_losing_a_match(spark, monkeypatch):
+    rnd = random.Random(9)
+    words = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 9))) for _ in range(120)})
+    rows = [("hot", 2, side, w, i, side) for i, w in enumerate(words) for side in (0, 1)] + [("cold", 1, 0, "abc", 900, 4), ("cold", 1, 1, "acb", 901, 2), ("lone", 1, 1, "abc", 902, 0)]
+    df = spark.createDataFrame(rows, triejoin.ROWS)
+    want = {(i, j, osa(a, b), 1, 0) for i, a in enumerate(words) for j, b in enumerate(words) if i != j and osa(a, b) <= 2} | {(901, 900, 1, 2, 4)}
+    for caps in ((20_000, 50_000), (9, 5)):
+        monkeypatch.setattr(triejoin, "HOT_PROBES", caps[0])
+        monkeypatch.setattr(triejoin, "HOT_WORDS", caps[1])
+        assert {tuple(r) for r in triejoin.trie_join(df).collect()} == want
