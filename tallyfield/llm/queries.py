@@ -10,7 +10,7 @@ from ..session import cut, table
 from .bpe import decode_column, encode_column
 from .language import document_languages, fit_profiles
 from .leakage import passages_in_documents, passages_nearby
-from .matching import match_records
+from .matching import PLANTED, match_records
 from .nearest import nearest_in_time
 from .topn import top_n_per_group
 from .variants import link_variants, linked_pairs
@@ -179,15 +179,18 @@ def feed_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return left, feed.select("espn_row_id", "full_name", F.element_at(names, F.col("default_position_id")).alias("pos"), F.col("team_code").alias("team")), teams
 
 
+def feed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with rule and confidence; the labels are copies of salary rows, as the feeds bring none."""
+    return match_records(*feed_records(spark, sf_dir), planted=PLANTED)
+
+
 @registry.query("p3_found")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the two feeds that describe the same player or team unit."""
-    found = match_records(*feed_records(spark, sf_dir), confidence=False)
-    return found.select(F.col("a").alias("salary_row_id"), F.col("b").alias("espn_row_id"))
+    return feed_matches(spark, sf_dir).select(F.col("a").alias("salary_row_id"), F.col("b").alias("espn_row_id"))
 
 
 @registry.query("p3_confidence")
 def p3_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matches with the rule that found each and that rule's smoothed precision."""
-    found = match_records(*feed_records(spark, sf_dir))
-    return found.select(F.col("a").alias("salary_row_id"), F.col("b").alias("espn_row_id"), "rule", F.round("confidence", 4).alias("confidence"))
+    return feed_matches(spark, sf_dir).select(F.col("a").alias("salary_row_id"), F.col("b").alias("espn_row_id"), "rule", F.round("confidence", 4).alias("confidence"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,13 @@ from .triejoin import ROWS, probe_keys, trie_join, word_keys
 MAX_UNITS = 20_000
 
 
+def letter_counts(text: str) -> np.ndarray:
+    """How often each of the 36 letters and digits is in a folded text."""
+    codes = np.frombuffer(text.encode("ascii", "ignore"), np.uint8)
+    n = np.bincount(codes, minlength=123)
+    return np.concatenate([n[48:58], n[97:123]])
+
+
 class Units:
     """Team units by their spellings, found within one edit."""
 
@@ -30,7 +38,7 @@ class Units:
                 owner.setdefault(s, set()).add(code)
         self.owner = {s: next(iter(c)) for s, c in owner.items() if len(c) == 1}
         self.trie = build_trie(self.owner)
-        self.parts = {k: {key for w in self.owner for key in word_keys(w, k)} for k in (1, 2)}
+        self.letters = np.array([letter_counts(w) for w in self.owner]).reshape(-1, 36)
         self.memo: dict[str, str | None] = {}
 
     def team(self, code: str | None) -> str | None:
@@ -48,8 +56,8 @@ class Units:
             return None
         if bare not in self.memo:
             k = 2 if len(bare) >= 12 else 1
-            # A spelling within k edits has one of its parts in the text, so most texts need no walk.
-            may = not self.parts[k].isdisjoint(probe_keys(bare, k))
+            # An edit changes the counts of two letters at most, so most texts need no walk.
+            may = bool((np.abs(self.letters - letter_counts(bare)).sum(axis=1) <= 2 * k).any())
             near = sorted((e, s) for s, e in LevenshteinAutomaton(bare, k).search(self.trie)) if may else []
             best = {self.owner[s] for e, s in near if e == near[0][0]}
             if len(self.memo) > 100_000:
