@@ -160,9 +160,9 @@ def read_records(left: DataFrame, right: DataFrame, teams: DataFrame) -> DataFra
 LEFT, RIGHT, COPY = 0, 1, 2
 
 
-def _keyed(rule: Rule, probe: bool):
+def _keyed(number: int, rule: Rule, probe: bool):
     """Keys of the rows, each with the attributes of the reading that gives it, where a check needs them."""
-    schema = pa.schema([("key", pa.int64()), ("to", pa.int32()), ("ident", pa.int64()), ("turned", pa.int32()), *((c, pa.string()) for c in ATTRIBUTES)])
+    schema = pa.schema([("rule", pa.int32()), ("key", pa.int64()), ("to", pa.int32()), ("ident", pa.int64()), ("turned", pa.int32()), *((c, pa.string()) for c in ATTRIBUTES)])
     keys = (rule.probes or rule.words) if probe else rule.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,45 +176,44 @@ def _keyed(rule: Rule, probe: bool):
                 for turned, r in readings:
                     told = (unit, r.given, r.family, r.half, pos, team) if rule.check else ("",) * 6
                     for key in dict.fromkeys(keys(r)):
-                        for c, v in zip(cols, (xxhash.xxh3_64_intdigest(key) - 2**63, to, ident, turned, *told)):
+                        for c, v in zip(cols, (number, xxhash.xxh3_64_intdigest(key) - 2**63, to, ident, turned, *told)):
                             c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
-    return run, "key bigint, to int, ident bigint, turned int, " + ", ".join(f"{c} string" for c in ATTRIBUTES)
+    return run, "rule int, key bigint, to int, ident bigint, turned int, " + ", ".join(f"{c} string" for c in ATTRIBUTES)
 
 
 def _checked(rule: Rule):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("rule", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], []]
-            for to, x, y, *told in zip(*(c.to_pylist() for c in batch.columns)):
+            cols: list[list] = [[], [], []]
+            for number, to, x, y, *told in zip(*(c.to_pylist() for c in batch.columns)):
                 p, w = Record(*told[:6]), Record(*told[6:])
                 if to == LEFT:
                     x, y, p, w = y, x, w, p
-                if rule.check(p, w):
-                    cols[0].append(x)
-                    cols[1].append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
+                if rule.check is None or rule.check(p, w):
+                    for c, v in zip(cols, (x, y, number)):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return run
 
 
-def rule_pairs(rule: Rule, probing: DataFrame, found_in: DataFrame) -> DataFrame:
-    """(a, b): pairs of profiles of the two sources that one exact join gives: the probing ones' keys in the others'.
+def rule_pairs(number: int, rule: Rule, probing: DataFrame, found_in: DataFrame) -> DataFrame:
+    """(a, b, rule): pairs of profiles of the two sources that one exact join gives: the probing ones' keys in the
+    others'.
 
-    Of two readings of a name at most one may be in the other order of words.
+    Of two readings of a name at most one may be in the other order of words. The plan is the same for all
+    rules, down to its literals, so its code is generated once.
     """
-    run, kind = _keyed(rule, True)
+    run, kind = _keyed(number, rule, True)
     probes = probing.select(*PROFILE).mapInArrow(run, kind)
-    run, kind = _keyed(rule, False)
-    words = found_in.select(*PROFILE).mapInArrow(run, kind)
+    run, kind = _keyed(number, rule, False)
+    words = found_in.select(*PROFILE).mapInArrow(run, kind).drop("rule")
     met = probes.join(words.select("key", "to", *(F.col(c).alias(f"{c}_b") for c in ("ident", "turned", *ATTRIBUTES))), ["key", "to"]).where("turned + turned_b < 2")
-    if rule.check is None:
-        right = F.col("to") == RIGHT
-        return met.select(F.when(right, F.col("ident")).otherwise(F.col("ident_b")).alias("a"), F.when(right, F.col("ident_b")).otherwise(F.col("ident")).alias("b")).distinct()
-    return met.select("to", "ident", "ident_b", *ATTRIBUTES, *(f"{c}_b" for c in ATTRIBUTES)).mapInArrow(_checked(rule), "a bigint, b bigint").distinct()
+    return met.select("rule", "to", "ident", "ident_b", *ATTRIBUTES, *(f"{c}_b" for c in ATTRIBUTES)).mapInArrow(_checked(rule), "a bigint, b bigint, rule int").distinct()
 
 
 def with_twins(profiles: DataFrame, found: DataFrame) -> DataFrame:
@@ -250,22 +249,23 @@ def run_cascade(profiles: DataFrame, rules: list[Rule]) -> DataFrame:
     open_, found = profiles, None
     for i, rule in enumerate(rules):
         if rule.strict:
-            pairs = rule_pairs(rule, open_, profiles.where(F.col("side") != COPY))
+            pairs = rule_pairs(i, rule, open_, profiles.where(F.col("side") != COPY))
         else:
-            pairs = rule_pairs(rule, open_.where(F.col("side") != RIGHT), open_.where(F.col("side") == RIGHT).unionByName(profiles.where(F.col("side") == LEFT)))
+            pairs = rule_pairs(i, rule, open_.where(F.col("side") != RIGHT), open_.where(F.col("side") == RIGHT).unionByName(profiles.where(F.col("side") == LEFT)))
             copy = F.col("b") < 0
             single = lambda c: F.count("*").over(Window.partitionBy(copy, c)) == 1
             pairs = pairs.withColumn("sa", single("a") | copy).withColumn("sb", single("b")).where("sa and sb")
-        new = cut(pairs.select("a", "b", F.lit(i).alias("rule")))
+        new = cut(pairs.select("a", "b", "rule"))
         found = new if found is None else found.unionByName(new)
         last = i + 1 == len(rules)
         if last or (rule.strict and not rules[i + 1].strict):
+            found = cut(found)
             twins = cut(with_twins(profiles.where(F.col("side") != COPY), found.where("b >= 0")))
             found, new = found.unionByName(twins), new.unionByName(twins)
         if not last:
             done = new.select(F.explode(F.when(F.col("b") < 0, F.array("b")).otherwise(F.array("a", "b"))).alias("ident")).distinct()
             open_ = cut(open_.join(done, "ident", "left_anti"))
-    return found
+    return cut(found)
 
 
 def planted_labels(records: DataFrame, rows: int = PLANTED, nicknames: Nicknames = USUAL) -> DataFrame:
