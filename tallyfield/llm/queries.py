@@ -129,17 +129,14 @@ def p8_longest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    sentences = table(spark, sf_dir, "lang_samples").select("lang", "text")
-    passages = table(spark, sf_dir, "eval_items").select("lang", F.col("passage").alias("text"))
-    model = fit_profiles(sentences.unionByName(passages), "lang", "text", docs)
-    return document_languages(docs, "doc_id", "text", "lang", model)
+    model = fit_profiles(table(spark, sf_dir, "lang_samples"), "lang", "text")
+    return document_languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", model)
 
 
 @registry.query("p9_found")
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose label is missing or wrong, and the paragraphs of mixed documents."""
-    found = languages(spark, sf_dir).where("(seg_no = -1 and not (labelled <=> lang_code)) or (seg_no >= 0 and mixed)")
+    found = languages(spark, sf_dir).where("lang_code is not null and ((seg_no = -1 and not (labelled <=> lang_code)) or (seg_no >= 0 and mixed))")
     return found.select("doc_id", "seg_no", "lang_code")
 
 

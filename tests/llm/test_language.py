@@ -1,6 +1,6 @@
 import pytest
 
-from tallyfield.llm.language import HyperProfiles, document_languages, judge, paragraphs, spelled
+from tallyfield.llm.language import HyperProfiles, document_languages, fit_profiles, judge, paragraphs, spelled
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +24,8 @@ def test_held_out_accuracy(pairs):
     wrong = 0
     for k in range(3):
         model = HyperProfiles(2048).fit([p for i, p in enumerate(pairs) if i % 3 != k])
-        wrong += sum(judge(model, t)[0][1] != lang for i, (lang, t) in enumerate(pairs) if i % 3 == k)
+        held_out = [p for i, p in enumerate(pairs) if i % 3 == k]
+        wrong += sum(found[0][1] != lang for found, (lang, _) in zip(judge(model, [t for _, t in held_out]), held_out))
     assert wrong <= 0.05 * len(pairs)
 
 
@@ -41,3 +42,35 @@ def test_documents(spark, pairs):
     assert got[(5, -1)].mixed and got[(5, -1)].labelled == "de" and got[(1, -1)].labelled is None
     assert all(0 < r.confidence <= 1 for r in got.values())
     assert document_languages(df.where("false"), "doc_id", "text", "lang", model).count() == 0
+
+
+def test_confidence_is_calibrated_on_held_out_pieces(pairs):
+    import numpy as np
+
+    model = HyperProfiles(2048).fit([p for i, p in enumerate(pairs) if i % 2]).calibrate([p for i, p in enumerate(pairs) if i % 4 == 0])
+    pieces = [(lang, " ".join(t.split()[i : i + 3])) for k, (lang, t) in enumerate(pairs) if k % 4 == 2 for i in range(0, len(t.split()) - 2, 3)]
+    found = [(x[0][1] == lang, x[0][3]) for x, (lang, _) in zip(judge(model, [t for _, t in pieces]), pieces) if x and x[0][1]]
+    right, sure = np.array([f[0] for f in found]), np.array([f[1] for f in found])
+    assert len(found) > 100 and abs(right.mean() - sure.mean()) < 0.08
+    high = sure > 0.9
+    assert right[high].mean() > 0.85 > right[~high].mean()
+
+
+def test_other_languages_are_unknown(pairs):
+    model = HyperProfiles().fit(pairs)
+    foreign = ["Spelaren kom tillbaka efter en lång skada och gjorde två mål i den sista matchen innan laget åkte hem.", "Игрок вернулся после долгой травмы и забил два гола в последнем матче.", "Zawodnik wrócił po długiej kontuzji i zdobył dwa gole w ostatnim meczu zanim drużyna pojechała do domu."]
+    assert [(x[0][1], x[0][3]) for x in judge(model, foreign)] == [(None, 0.0)] * 3
+
+
+def test_prototypes_and_bundles(spark, pairs):
+    import numpy as np
+
+    model = HyperProfiles(512).fit(pairs)
+    assert np.allclose(np.linalg.norm(model.prototypes, axis=1), 1, atol=1e-4)
+    texts = [["wort", "a" * 90, "wort"], ["b"] * 700, []]
+    by_hand = np.array([sum((model.bind(r).astype(float) for w in ws for r in model.runs(w)), np.zeros(512)) for ws in texts])
+    assert np.array_equal(model.bundle(texts), by_hand)
+    df = spark.createDataFrame([*pairs, (None, "x"), ("en", None), ("xx", "y"), *pairs[:9]], "lang string, text string")
+    fitted = fit_profiles(df.repartition(3), "lang", "text", 512)
+    assert fitted.codes == model.codes and np.allclose(fitted.prototypes, model.prototypes, atol=1e-4) and 1 < fitted.sharpness < 100
+    assert fit_profiles(df.where("false"), "lang", "text").codes == []
