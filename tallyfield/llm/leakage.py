@@ -4,51 +4,53 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import ensure_checkpoint_dir
+from ..session import cut, ensure_checkpoint_dir
 from .words import word_forms, words
 
+#: Words up to which the items' vocabulary is sent to every executor; beyond it every word is indexed.
 VOCABULARY_LIMIT = 500_000
-WORDS_PER_BLOCK = 2_000_000
+#: Rows up to which a list of looked-up words or of candidates is sent to every executor; longer ones are joined.
+BROADCAST_ROWS = 500_000
 
 
-def positional_index(docs: DataFrame, doc_id: str, text: str, vocabulary: list[str]) -> DataFrame:
-    """Postings (term, doc, form, positions) of the corpus for the terms that are asked for.
+def positional_index(docs: DataFrame, doc_id: str, text: str, vocabulary: list[str] | None = None, name: str | None = None) -> str:
+    """The folder of a new index of the corpus: postings (term, doc, form, positions).
 
-    term is the place of the word in the sorted vocabulary, form the reading of the text
-    (see words.word_forms), positions the places of the word in that reading. The index is
+    vocabulary: the words to index, all if null. form is the reading of the text (see
+    words.word_forms), positions the places of the word in that reading. The index is
     divided by documents, each part sorted by term so that scans for few terms skip most of
-    it, and written once to the shared checkpoint folder. Nothing is shuffled, so a word that
-    is in every document does no harm. Null, empty and wordless texts have no postings.
+    it, and written once to the shared checkpoint folder under its name. Nothing is shuffled, so
+    a word that is in every document does no harm. Null, empty and wordless texts have no
+    postings. It stays until drop_index.
     """
     spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
-    schema = pa.schema([("term", pa.int32()), ("doc", pa.int64()), ("form", pa.int32()), ("positions", pa.list_(pa.int32()))])
+    shipped = spark.sparkContext.broadcast(None if vocabulary is None else frozenset(vocabulary))
+    schema = pa.schema([("term", pa.string()), ("doc", pa.int64()), ("form", pa.int32()), ("positions", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shipped.value.get
+        known = shipped.value
         for batch in batches:
             term, doc, form, offsets, flat = [], [], [], [0], []
 
             def flush() -> pa.RecordBatch:
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-                return pa.RecordBatch.from_arrays([pa.array(term, pa.int32()), pa.array(doc, pa.int64()), pa.array(form, pa.int32()), lists], schema=schema)
+                return pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(doc, pa.int64()), pa.array(form, pa.int32()), lists], schema=schema)
 
             for ident, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for k, reading in enumerate(word_forms(t)):
-                    places: dict[int, list[int]] = {}
+                    places: dict[str, list[int]] = {}
                     for pos, w in enumerate(reading):
-                        i = get(w)
-                        if i is not None:
-                            places.setdefault(i, []).append(pos)
-                    for i, at in places.items():
-                        term.append(i)
+                        if known is None or w in known:
+                            places.setdefault(w, []).append(pos)
+                    for w, at in places.items():
+                        term.append(w)
                         doc.append(ident)
                         form.append(k)
                         flat.extend(at)
@@ -60,146 +62,157 @@ def positional_index(docs: DataFrame, doc_id: str, text: str, vocabulary: list[s
                 yield flush()
 
     rows = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).where(F.col(text).isNotNull() & F.col(doc_id).isNotNull())
-    postings = rows.mapInArrow(run, "term int, doc bigint, form int, positions array<int>")
-    path = os.path.join(ensure_checkpoint_dir(spark), f"postings-{uuid.uuid4().hex}")
+    postings = rows.mapInArrow(run, "term string, doc bigint, form int, positions array<int>")
+    path = os.path.join(ensure_checkpoint_dir(spark), name or f"postings-{uuid.uuid4().hex}")
     postings.sortWithinPartitions("term", "doc").write.parquet(path)
-    return spark.read.parquet(path)
+    shipped.unpersist()
+    return path
 
 
-def rarest_offsets(terms: list[int], frequency: dict[int, int], run: int, each: int) -> set[int]:
+def drop_index(spark: SparkSession, path: str) -> None:
+    """Remove an index from the shared folder."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def passage_words(items: DataFrame, item_id: str, passage: str, least: int) -> DataFrame:
+    """(item, owner, offset, term): the words of the passages that have at least `least`.
+
+    owner is the item's identifier; item stands for it and its passage, so that an identifier
+    may have several.
+    """
+    schema = pa.schema([("item", pa.int64()), ("owner", pa.int64()), ("offset", pa.int32()), ("term", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[], [], [], []]
+            for item, owner, text in zip(*(c.to_pylist() for c in batch.columns)):
+                ws = words(text)
+                if len(ws) >= least:
+                    cols[0] += [item] * len(ws)
+                    cols[1] += [owner] * len(ws)
+                    cols[2] += range(len(ws))
+                    cols[3] += ws
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    rows = items.select(F.col(item_id).cast("long").alias("owner"), F.col(passage).cast("string").alias("passage")).where("owner is not null and passage is not null").distinct()
+    return rows.select(F.xxhash64("owner", "passage").alias("item"), "owner", "passage").mapInArrow(run, "item bigint, owner bigint, offset int, term string")
+
+
+def _of_owners(found: DataFrame, asked: DataFrame, best: str, doc_id: str, item_id: str) -> DataFrame:
+    """The answers by the items' own identifiers."""
+    owners = asked.select("item", "owner").distinct()
+    named = found.join(owners, "item").groupBy("doc", "owner").agg(F.max(best).alias(best))
+    return cut(named.select(F.col("doc").alias(doc_id), F.col("owner").alias(item_id), best))
+
+
+def _indexed(docs: DataFrame, doc_id: str, text: str, asked: DataFrame, index: str | None) -> tuple[str, DataFrame, DataFrame]:
+    """The index's folder, its postings, and the asked words each with the number n of documents' readings that have it."""
+    spark = docs.sparkSession
+    terms = asked.select("term").distinct()
+    if index is None:
+        few = [r["term"] for r in terms.limit(VOCABULARY_LIMIT + 1).collect()]
+        index = positional_index(docs, doc_id, text, few if len(few) <= VOCABULARY_LIMIT else None)
+    postings = spark.read.parquet(index)
+    frequency = postings.groupBy("term").agg(F.count("*").alias("n"))
+    return index, postings, asked.join(frequency, "term", "left").na.fill(0, ["n"])
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """The cut rows, to be broadcast if they were counted to be few."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def rarest_offsets(frequency: list[int], run: int, each: int) -> set[int]:
     """The offsets of the `each` rarest words of every run of words, ties to the earlier offset.
 
     A run holding a word that the corpus lacks can't occur and needs none.
     """
     chosen: set[int] = set()
-    for start in range(len(terms) - run + 1):
+    for start in range(len(frequency) - run + 1):
         window = range(start, start + run)
-        if all(frequency.get(terms[o], 0) for o in window):
-            chosen.update(sorted(window, key=lambda o: (frequency[terms[o]], o))[:each])
+        if all(frequency[o] for o in window):
+            chosen.update(sorted(window, key=lambda o: (frequency[o], o))[:each])
     return chosen
 
 
-def passages_in_documents(
-    docs: DataFrame,
-    items: DataFrame,
-    doc_id: str,
-    text: str,
-    item_id: str,
-    passage: str,
-    run: int = 12,
-) -> DataFrame:
+def _anchors(asked: DataFrame, run: int) -> DataFrame:
+    """(item, offset, term) of the two rarest words of every run of the passages."""
+    schema = pa.schema([("item", pa.int64()), ("offset", pa.int32()), ("term", pa.string())])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[], [], []]
+            for item, line in zip(*(c.to_pylist() for c in batch.columns)):
+                for o in sorted(rarest_offsets([x["n"] for x in line], run, 2)):
+                    for c, v in zip(cols, (item, o, line[o]["term"])):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    lines = asked.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("offset", "term", "n"))).alias("line"))
+    return lines.mapInArrow(pick, "item bigint, offset int, term string")
+
+
+def passages_in_documents(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, passage: str, run: int = 12, index: str | None = None) -> DataFrame:
     """(doc_id, item_id, longest): documents that hold at least `run` consecutive words of a passage.
 
-    The items are the query set and are read in blocks of bounded size; each block is answered
-    against the whole corpus. For every run of words of a passage the postings of its two
+    index: the folder of an index of the corpus with all the words asked for; if null one is made for all
+    items and removed at the end. For every run of words of a passage the postings of its two
     rarest words are looked up and intersected after shifting by their offsets, which leaves
     few (document, item, diagonal) candidates; for these alone the postings of all words of the
-    passage are intersected the same way, and the longest row of neighbouring offsets is exact.
+    passage are intersected the same way, and the longest row of neighbouring offsets is
+    exact. The postings themselves are never shuffled while the candidates are few enough to
+    be broadcast, which is counted.
 
     Documents without words, with null texts or ids and items with under `run` words are in no
     row. Repeated documents and items each count. A document that holds an item twice is one
     row with its longest run. Empty tables give no rows. Only the named columns are read.
     """
-    found = _in_blocks(items, item_id, passage, run, lambda block: _answer_block(docs, doc_id, text, block, run))
-    if found is None:
-        return docs.sparkSession.createDataFrame([], f"{doc_id} bigint, {item_id} bigint, longest int")
-    return found.groupBy("doc", "item").agg(F.max("longest").alias("longest")).select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "longest")
-
-
-def passages_nearby(
-    docs: DataFrame,
-    items: DataFrame,
-    doc_id: str,
-    text: str,
-    item_id: str,
-    passage: str,
-    terms: int = 8,
-    least: int = 6,
-    span: int = 60,
-) -> DataFrame:
-    """(doc_id, item_id, n_terms): documents in which enough of a passage's rarest words stand close together.
-
-    Of each passage the `terms` different words that are rarest in the corpus are looked up, words
-    that it lacks first (ties to the word that comes first); a document matches if `least` of
-    them lie within `span` words, in any order, so passages that were reordered or filled up
-    are found. Passages with fewer words, null and empty texts and null identifiers give no row.
-    """
-    found = _in_blocks(items, item_id, passage, least, lambda block: _nearby_block(docs, doc_id, text, block, terms, least, span))
-    if found is None:
-        return docs.sparkSession.createDataFrame([], f"{doc_id} bigint, {item_id} bigint, n_terms int")
-    return found.groupBy("doc", "item").agg(F.max("n_terms").alias("n_terms")).select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "n_terms")
-
-
-def _in_blocks(items: DataFrame, item_id: str, passage: str, least: int, answer: Callable[[list[tuple[int, list[str]]]], DataFrame]) -> DataFrame | None:
-    """The answers to blocks of items of bounded size, each over the whole corpus; null without items."""
-    rows = items.select(F.col(item_id).cast("long").alias("item"), F.col(passage).cast("string").alias("passage")).where("item is not null and passage is not null")
-    parts: list[DataFrame] = []
-    block: list[tuple[int, list[str]]] = []
-    size = 0
-    for r in rows.toLocalIterator():
-        w = words(r["passage"])
-        if len(w) >= least:
-            if size and size + len(w) > WORDS_PER_BLOCK:
-                parts.append(answer(block))
-                block, size = [], 0
-            block.append((r["item"], w))
-            size += len(w)
-    if block:
-        parts.append(answer(block))
-    found = None
-    for part in parts:
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def _nearby_block(docs: DataFrame, doc_id: str, text: str, block: list[tuple[int, list[str]]], terms: int, least: int, span: int) -> DataFrame:
-    vocabulary = sorted({w for _, ws in block for w in ws})
-    number = {w: i for i, w in enumerate(vocabulary)}
-    index = positional_index(docs, doc_id, text, vocabulary)
-    frequency = {r["term"]: r["n"] for r in index.groupBy("term").agg(F.count("*").alias("n")).collect()}
-    rare = []
-    for item, ws in block:
-        own = dict.fromkeys(number[w] for w in ws)
-        rare += [(item, t) for t in sorted(own, key=lambda t: frequency.get(t, 0))[:terms]]
-    asked = docs.sparkSession.createDataFrame(rare, "item bigint, term int")
-    asked = F.broadcast(asked) if len(rare) <= VOCABULARY_LIMIT else asked
-    met = index.join(asked, "term")
-    enough = met.groupBy("doc", "form", "item").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
-    hits = met.join(enough, ["doc", "form", "item"]).select("doc", "form", "item", "term", F.explode("positions").alias("pos"))
-    ahead = Window.partitionBy("doc", "form", "item").orderBy("pos").rangeBetween(0, span - 1)
-    close = hits.withColumn("n_terms", F.size(F.collect_set("term").over(ahead)))
-    return close.where(F.col("n_terms") >= least).groupBy("doc", "item").agg(F.max("n_terms").alias("n_terms"))
-
-
-def _answer_block(docs: DataFrame, doc_id: str, text: str, block: list[tuple[int, list[str]]], run: int) -> DataFrame:
-    spark = docs.sparkSession
-    vocabulary = sorted({w for _, ws in block for w in ws})
-    number = {w: i for i, w in enumerate(vocabulary)}
-    index = positional_index(docs, doc_id, text, vocabulary)
-    frequency = {r["term"]: r["n"] for r in index.groupBy("term").agg(F.count("*").alias("n")).collect()}
-    terms = [(item, [number[w] for w in ws]) for item, ws in block]
-    anchors = [(item, o, ts[o]) for item, ts in terms for o in rarest_offsets(ts, frequency, run, 2)]
-    every = [(item, o, t) for item, ts in terms for o, t in enumerate(ts)]
-    anchor_rows = spark.createDataFrame(anchors, "item bigint, offset int, term int")
-    every_rows = spark.createDataFrame(every, "item bigint, offset int, term int")
-    diagonal = F.col("pos") - F.col("offset")
-
-    def small(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if len(every) <= VOCABULARY_LIMIT else df
-
+    spark, own = docs.sparkSession, index is None
+    index, postings, asked = _indexed(docs, doc_id, text, cut(passage_words(items, item_id, passage, run)), index)
+    asked = cut(asked)
     hits = (
-        index.join(small(anchor_rows), "term")
+        postings.join(_small(cut(_anchors(asked, run))), "term")
         .select("doc", "form", "item", "offset", F.explode("positions").alias("pos"))
-        .select("doc", "form", "item", "offset", diagonal.alias("diagonal"))
+        .select("doc", "form", "item", "offset", (F.col("pos") - F.col("offset")).alias("diagonal"))
     )
     candidates = hits.groupBy("doc", "form", "item", "diagonal").agg(F.min("offset").alias("lo"), F.max("offset").alias("hi")).where("lo < hi")
-    narrowed = candidates.select("doc", "form", "item", "diagonal")
+    candidates = cut(candidates.select("doc", "form", "item", "diagonal"))
     full = (
-        index.join(narrowed, ["doc", "form"])
-        .join(small(every_rows), ["item", "term"])
+        postings.join(_small(candidates), ["doc", "form"])
+        .join(_small(asked.select("item", "offset", "term")), ["item", "term"])
         .where(F.expr("array_contains(positions, diagonal + offset)"))
         .groupBy("doc", "form", "item", "diagonal")
         .agg(F.array_sort(F.collect_set("offset")).alias("at"))
     )
     longest = F.expr("aggregate(at, struct(-9 as last, 0 as now, 0 as best), (a, o) -> struct(o as last, if(o = a.last + 1, a.now + 1, 1) as now, greatest(a.best, if(o = a.last + 1, a.now + 1, 1)) as best), a -> a.best)")
-    return full.select("doc", "item", longest.alias("longest")).where(F.col("longest") >= run)
+    found = full.select("doc", "item", longest.alias("longest")).where(F.col("longest") >= run)
+    found = _of_owners(found, asked, "longest", doc_id, item_id)
+    if own:
+        drop_index(spark, index)
+    return found
+
+
+def passages_nearby(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, passage: str, terms: int = 8, least: int = 6, span: int = 60, index: str | None = None) -> DataFrame:
+    """(doc_id, item_id, n_terms): documents in which enough of a passage's rarest words stand close together.
+
+    Of each passage the `terms` different words that are rarest in the corpus are looked up, words
+    that it lacks first (ties to the word that comes first); a document matches if `least` of
+    them lie within `span` words, in any order, so passages that were reordered or filled up
+    are found. Passages with fewer words, null and empty texts and null identifiers give no row. index
+    as in passages_in_documents.
+    """
+    spark, own = docs.sparkSession, index is None
+    index, postings, asked = _indexed(docs, doc_id, text, cut(passage_words(items, item_id, passage, least)), index)
+    asked = cut(asked)
+    different = asked.groupBy("item", "term").agg(F.min("n").alias("n"), F.min("offset").alias("first"))
+    rare = different.withColumn("k", F.row_number().over(Window.partitionBy("item").orderBy("n", "first"))).where(F.col("k") <= terms).select("item", "term")
+    met = postings.join(_small(cut(rare)), "term")
+    enough = met.groupBy("doc", "form", "item").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("doc", "form", "item")
+    hits = met.join(_small(cut(enough)), ["doc", "form", "item"]).select("doc", "form", "item", "term", F.explode("positions").alias("pos"))
+    ahead = Window.partitionBy("doc", "form", "item").orderBy("pos").rangeBetween(0, span - 1)
+    close = hits.withColumn("n_terms", F.size(F.collect_set("term").over(ahead)))
+    found = _of_owners(close.where(F.col("n_terms") >= least), asked, "n_terms", doc_id, item_id)
+    if own:
+        drop_index(spark, index)
+    return found

@@ -13,11 +13,10 @@ def test_words_without_dress():
 
 
 def test_rarest_offsets_cover_every_window():
-    terms, freq = [1, 2, 3, 1, 2, 4], {1: 9, 2: 5, 3: 1, 4: 7}
-    got = rarest_offsets(terms, freq, 3, 2)
+    got = rarest_offsets([9, 5, 1, 9, 5, 7], 3, 2)
     for start in range(4):
         assert len(got & set(range(start, start + 3))) >= 2
-    assert rarest_offsets([1, 8, 2], freq, 3, 2) == set()
+    assert rarest_offsets([9, 0, 5], 3, 2) == set()
 
 
 def brute(docs, items, run):
@@ -57,13 +56,32 @@ def test_empty_tables(spark):
     assert passages_in_documents(d, i.where("false"), "doc_id", "text", "item_id", "passage").count() == 0
 
 
-def test_blocks_change_nothing(spark, monkeypatch):
+def test_joins_instead_of_broadcasts_change_nothing(spark, monkeypatch):
     d = spark.createDataFrame([(1, P1), (2, P2), (3, P1 + " " + P2)], "doc_id bigint, text string")
-    i = spark.createDataFrame([(10, P1), (11, P2), (12, P1)], "item_id bigint, passage string")
-    run = lambda: {(r.doc_id, r.item_id) for r in passages_in_documents(d, i, "doc_id", "text", "item_id", "passage").collect()}
+    i = spark.createDataFrame([(10, P1), (11, P2), (12, P1), (13, P1), (13, P2), (13, P2)], "item_id bigint, passage string")
+    run = lambda: sorted((r.doc_id, r.item_id) for r in passages_in_documents(d, i, "doc_id", "text", "item_id", "passage").collect())
     whole = run()
-    monkeypatch.setattr(leakage, "WORDS_PER_BLOCK", 20)
-    assert run() == whole == {(1, 10), (1, 12), (2, 11), (3, 10), (3, 11), (3, 12)}
+    monkeypatch.setattr(leakage, "VOCABULARY_LIMIT", 3)
+    monkeypatch.setattr(leakage, "BROADCAST_ROWS", 1)
+    assert run() == whole == [(1, 10), (1, 12), (1, 13), (2, 11), (2, 13), (3, 10), (3, 11), (3, 12), (3, 13)]
+
+
+def test_one_index_for_several_questions(spark):
+    import os
+
+    from tallyfield.llm.leakage import drop_index, positional_index
+
+    d = spark.createDataFrame([(1, P1), (2, " ".join(reversed(P1.split())))], "doc_id bigint, text string")
+    i = spark.createDataFrame([(10, P1)], "item_id bigint, passage string")
+    index = positional_index(d, "doc_id", "text")
+    names = ("doc_id", "text", "item_id", "passage")
+    assert {r.doc_id for r in passages_in_documents(d, i, *names, index=index).collect()} == {1} and {r.doc_id for r in passages_nearby(d, i, *names, index=index).collect()} == {1, 2}
+    folder = index.removeprefix("file:")
+    before = set(os.listdir(os.path.dirname(folder)))
+    passages_in_documents(d, i, *names).count()
+    assert not [x for x in set(os.listdir(os.path.dirname(folder))) - before if x.startswith("postings")]
+    drop_index(spark, index)
+    assert not os.path.exists(folder)
 
 
 def test_nearby_words_in_any_order(spark):
