@@ -212,7 +212,7 @@ def rule_pairs(number: int, rule: Rule, probing: DataFrame, found_in: DataFrame)
     probes = probing.select(*PROFILE).mapInArrow(run, kind)
     run, kind = _keyed(number, rule, False)
     words = found_in.select(*PROFILE).mapInArrow(run, kind).drop("rule")
-    met = probes.join(words.select("key", "to", *(F.col(c).alias(f"{c}_b") for c in ("ident", "turned", *ATTRIBUTES))), ["key", "to"]).where("turned + turned_b < 2")
+    met = probes.join(words.select("key", "to", *(F.col(c).alias(f"{c}_b") for c in ("ident", "turned", *ATTRIBUTES))).hint("merge"), ["key", "to"]).where("turned + turned_b < 2")
     return met.select("rule", "to", "ident", "ident_b", *ATTRIBUTES, *(f"{c}_b" for c in ATTRIBUTES)).mapInArrow(_checked(rule), "a bigint, b bigint, rule int").distinct()
 
 
@@ -227,13 +227,13 @@ def with_twins(profiles: DataFrame, found: DataFrame) -> DataFrame:
     for side, own, other in ((0, "a", "b"), (1, "b", "a")):
         links = found.select(F.col(own).alias("ident"), F.col(other).alias("other"), "rule")
         mine = whole.where(F.col("side") == side)
-        open_ = mine.join(links.select("ident").distinct(), "ident", "left_anti").select("ident", "given", "family", "pos", "team")
+        open_ = mine.join(links.select("ident").distinct().hint("merge"), "ident", "left_anti").select("ident", "given", "family", "pos", "team")
         known = mine.select(F.col("ident").alias("twin"), "given", "family", F.col("pos").alias("pos_t"), F.col("team").alias("team_t"))
-        alike = open_.join(known, ["given", "family"]).where("ident <> twin and (pos = '' or pos_t = '' or pos = pos_t) and (team = '' or team_t = '' or team = team_t)")
+        alike = open_.join(known.hint("merge"), ["given", "family"]).where("ident <> twin and (pos = '' or pos_t = '' or pos = pos_t) and (team = '' or team_t = '' or team = team_t)")
         some = lambda f, c: f(F.when(F.col(c) != "", F.col(c))).over(Window.partitionBy("ident"))
         single = alike.select("ident", "twin", *[some(f, c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("pos_t", "team_t")])
         single = single.where("coalesce(lo_pos_t = hi_pos_t, true) and coalesce(lo_team_t = hi_team_t, true)").select("ident", "twin")
-        pairs = single.join(links.withColumnRenamed("ident", "twin"), "twin").groupBy("ident", "other").agg(F.min("rule").alias("rule"))
+        pairs = single.join(links.withColumnRenamed("ident", "twin").hint("merge"), "twin").groupBy("ident", "other").agg(F.min("rule").alias("rule"))
         pairs = pairs.select(F.col("ident" if side == 0 else "other").alias("a"), F.col("other" if side == 0 else "ident").alias("b"), "rule")
         out = pairs if out is None else out.unionByName(pairs)
         found = found.unionByName(pairs)
@@ -245,6 +245,7 @@ def run_cascade(profiles: DataFrame, rules: list[Rule]) -> DataFrame:
 
     Each pass is one exact join, and what it resolves is taken out by an anti-join before the next
     one. Copies are resolved like other records, but nobody finds them and they resolve nobody.
+    All joins are merge joins: dozens of small broadcasts would stay in the driver's memory.
     """
     open_, found = profiles, None
     for i, rule in enumerate(rules):
@@ -264,7 +265,7 @@ def run_cascade(profiles: DataFrame, rules: list[Rule]) -> DataFrame:
             found, new = found.unionByName(twins), new.unionByName(twins)
         if not last:
             done = new.select(F.explode(F.when(F.col("b") < 0, F.array("b")).otherwise(F.array("a", "b"))).alias("ident")).distinct()
-            open_ = cut(open_.join(done, "ident", "left_anti"))
+            open_ = cut(open_.join(done.hint("merge"), "ident", "left_anti"))
     return cut(found)
 
 
@@ -381,7 +382,7 @@ def match_records(left: DataFrame, right: DataFrame, teams: DataFrame, labels: D
     profiles = cut(profiles)
     found = run_cascade(profiles, rules)
     rows = lambda side, c: records.where(F.col("side") == side).select(F.col("ident").alias(c), F.col("row").alias(f"row_{c}"))
-    pairs = found.where("b >= 0").groupBy("a", "b").agg(F.min("rule").alias("rule")).join(rows(0, "a"), "a").join(rows(1, "b"), "b")
+    pairs = found.where("b >= 0").groupBy("a", "b").agg(F.min("rule").alias("rule")).join(rows(0, "a").hint("merge"), "a").join(rows(1, "b").hint("merge"), "b")
     pairs = pairs.groupBy(F.col("row_a").alias("a"), F.col("row_b").alias("b")).agg(F.min("rule").alias("rule"))
     names = F.element_at(F.array(*[F.lit(r.name) for r in rules]), F.col("rule") + 1).alias("rule")
     if labels is not None:
