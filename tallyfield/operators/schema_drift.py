@@ -12,8 +12,10 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .ranking import look_back
+from ..session import cut
+from .ranking import look_back, running_total
 
 SEPARATORS = ",;\t|"
 _INT = re.compile(r"[+-]?\d+")
@@ -22,6 +24,12 @@ _ANY_NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)")
 #: Least agreement beyond chance of two fields' values that makes them one field under two names.
 SAME_VALUES = 0.35
 IMPOSSIBLE = 1e6
+#: Cost of taking a leaf to another parent; an addition or a deletion costs 1.
+MOVE = 0.3
+#: Files of a feed that one task compares in a row, and files up to which their list is broadcast.
+CHUNK, BROADCAST_FILES = 32, 200_000
+#: Fields that the one wide table may have.
+MAX_FIELDS = 5_000
 
 
 @dataclass
@@ -238,81 +246,98 @@ def assign(cost: list[list[float]]) -> list[int]:
     return out
 
 
-def rename_cost(a: Node, b: Node) -> float:
-    """Cost of taking one field for the other under a new name, over IMPOSSIBLE if they differ."""
-    if a.children and b.children:
-        cost, _ = _match(a, b, (), ())
-        return 0.5 + cost if cost < 0.5 * (a.size() + b.size() - 2) else IMPOSSIBLE
-    if a.children or b.children:
-        return IMPOSSIBLE
+def leaf_cost(a: Node, b: Node, moved: bool) -> float:
+    """Cost of taking one leaf for the other under a new name or parent, IMPOSSIBLE if they differ."""
     same = likeness(a, b)
-    return 1.0 - 0.9 * same if same >= SAME_VALUES else IMPOSSIBLE
+    if moved and a.name == b.name:
+        told = len(a.values.keys() & b.values.keys()) >= 2
+        return MOVE + (0.9 * (1.0 - same) if told else 0.0) if same >= SAME_VALUES or not told else IMPOSSIBLE
+    return 1.0 - 0.9 * same + (MOVE if moved else 0.0) if same >= SAME_VALUES else IMPOSSIBLE
 
 
-def _match(a: Node, b: Node, pa_: tuple[str, ...], pb: tuple[str, ...]) -> tuple[float, list[tuple]]:
-    """Least cost and script between two nodes' children; siblings have no order."""
-    total, script = 0.0, []
+def pair_up(gone: list, come: list, cost: object, single: object) -> list[tuple]:
+    """(old or null, new or null): the pairs, deletions and additions of least total cost."""
+    n, m = len(gone), len(come)
+    if not n or not m:
+        return [(x, None) for x in gone] + [(None, y) for y in come]
+    table = [[0.0] * (n + m) for _ in range(n + m)]
+    for i in range(n):
+        for j in range(m):
+            table[i][j] = cost(gone[i], come[j])
+        for j in range(m, n + m):
+            table[i][j] = single(gone[i])
+    for j in range(m):
+        for i in range(n, n + m):
+            table[i][j] = single(come[j])
+    out = []
+    for i, j in enumerate(assign(table)):
+        if i < n and j < m and table[i][j] < IMPOSSIBLE:
+            out.append((gone[i], come[j]))
+        else:
+            out += [(gone[i], None)] if i < n else []
+            out += [(None, come[j])] if j < m else []
+    return out
+
+
+def branch_cost(a: Node, b: Node) -> float:
+    """Cost of taking one branch for the other under a new name: what its leaves don't share."""
+    own, other = dict(_leaves(a)), dict(_leaves(b))
+    differ = len(own.keys() ^ other.keys()) / 2 + sum(own[k].values != other[k].values and likeness(own[k], other[k]) < SAME_VALUES for k in own.keys() & other.keys())
+    return 0.5 + differ if differ < 0.5 * (len(own) + len(other)) / 2 else IMPOSSIBLE
+
+
+def _match(a: Node, b: Node, pa_: tuple[str, ...], pb: tuple[str, ...], gone: list, come: list) -> list[tuple]:
+    """Script of what two nodes' children share; leaves without a counterpart are put into gone and come."""
+    script = []
     for k in a.children.keys() & b.children.keys():
         x, y = a.children[k], b.children[k]
-        if x.children or y.children:
-            cost, part = _match(x, y, (*pa_, k), (*pb, k))
-            total += cost
-            script += part
+        if x.children and y.children:
+            script += _match(x, y, (*pa_, k), (*pb, k), gone, come)
+        elif x.children or y.children:
+            gone += [(*pa_, k, *p) for p in _inner(x)]
+            come += [(*pb, k, *p) for p in _inner(y)]
         elif x.kind != y.kind and x.kind and y.kind:
-            total += 0.25
             script.append(("retype", (*pa_, k), (*pb, k)))
-    gone = sorted(a.children.keys() - b.children.keys())
-    come = sorted(b.children.keys() - a.children.keys())
-    n, m = len(gone), len(come)
-    if n or m:
-        cost = [[0.0] * (n + m) for _ in range(n + m)]
-        for i in range(n):
-            for j in range(m):
-                cost[i][j] = rename_cost(a.children[gone[i]], b.children[come[j]])
-            for j in range(m, n + m):
-                cost[i][j] = float(a.children[gone[i]].size())
-        for j in range(m):
-            for i in range(n, n + m):
-                cost[i][j] = float(b.children[come[j]].size())
-        for i, j in enumerate(assign(cost)):
-            total += cost[i][j]
-            if i < n and j < m and cost[i][j] < IMPOSSIBLE:
-                x, y = a.children[gone[i]], b.children[come[j]]
-                script.append(("rename", (*pa_, gone[i]), (*pb, come[j])))
-                if x.children:
-                    script += _match(x, y, (*pa_, gone[i]), (*pb, come[j]))[1]
-            else:
-                if i < n:
-                    script.append(("delete", (*pa_, gone[i]), None))
-                if j < m:
-                    script.append(("add", None, (*pb, come[j])))
-    return total, script
+    left = [a.children[k] for k in sorted(a.children.keys() - b.children.keys())]
+    right = [b.children[k] for k in sorted(b.children.keys() - a.children.keys())]
+    for x, y in pair_up([x for x in left if x.children], [y for y in right if y.children], branch_cost, Node.size):
+        if x and y:
+            script.append(("rename", (*pa_, x.name), (*pb, y.name)))
+            script += _match(x, y, (*pa_, x.name), (*pb, y.name), gone, come)
+        else:
+            gone += [(*pa_, x.name, *p) for p in _inner(x)] if x else []
+            come += [(*pb, y.name, *p) for p in _inner(y)] if y else []
+    gone += [(*pa_, x.name) for x in left if not x.children]
+    come += [(*pb, y.name) for y in right if not y.children]
+    return script
 
 
 def edit_script(old: Parsed, new: Parsed) -> list[tuple[str, tuple[str, ...] | None, tuple[str, ...] | None]]:
     """The least-cost script of add, delete, rename, retype and move between two files' schemas.
 
-    A field of the same name and parent is the same field. Under the same parent a field may
-    go on under another name if its values agree for the same rows. A leaf that is deleted under
-    one parent and added under another, with the same name or agreeing values, is moved; of
-    whole branches that come or go every leaf is reported.
+    A field of the same name and parent is the same field. Whole branches may be renamed if most of
+    their leaves go on. All other leaves, wherever they are, are paired at once so that the
+    total cost of renames (same parent, agreeing values), moves (other parent, same name or
+    agreeing values), additions and deletions is least.
     """
     align(old, new)
-    _, script = _match(old.root, new.root, (), ())
-    gone = [(*s[1], *path) for s in script if s[0] == "delete" for path in _inner(_leaf(old.root, s[1]))]
-    come = [(*s[2], *path) for s in script if s[0] == "add" for path in _inner(_leaf(new.root, s[2]))]
-    out: list[tuple] = [s for s in script if s[0] not in ("delete", "add")]
-    for a in gone:
-        x = _leaf(old.root, a)
-        elsewhere = [b for b in come if b[:-1] != a[:-1]]
-        b = next((b for b in elsewhere if b[-1] == a[-1]), None) or next((b for b in elsewhere if likeness(x, _leaf(new.root, b)) >= SAME_VALUES), None)
-        if b is None:
-            out.append(("delete", a, None))
-        else:
-            out.append(("move", a, b))
-            come.remove(b)
-    added = [("add", None, b) for b in come]
-    return sorted(out + added, key=lambda s: (s[0], s[1] or (), s[2] or ()))
+    gone, come = [], []
+    script = _match(old.root, new.root, (), (), gone, come)
+    parents = {s[1]: s[2] for s in script if s[0] == "rename"}
+
+    def home(path: tuple[str, ...]) -> tuple[str, ...]:
+        for n in range(len(path), 0, -1):
+            if path[:n] in parents:
+                return (*parents[path[:n]], *path[n:])
+        return path
+
+    def cost(x: tuple[str, ...], y: tuple[str, ...]) -> float:
+        return leaf_cost(_leaf(old.root, x), _leaf(new.root, y), home(x[:-1]) != y[:-1])
+
+    for x, y in pair_up(sorted(gone), sorted(come), cost, lambda _: 1.0):
+        kind = "add" if x is None else "delete" if y is None else "rename" if home(x[:-1]) == y[:-1] else "move"
+        script.append((kind, x, y))
+    return sorted(script, key=lambda s: (s[0], s[1] or (), s[2] or ()))
 
 
 def _inner(node: Node) -> list[tuple[str, ...]]:
@@ -334,9 +359,22 @@ def _leaves(node: Node, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str,
             yield (*path, k), c
 
 
+KINDS = {"add": "added", "delete": "removed", "rename": "renamed", "move": "moved"}
+FIELDS = "file_id bigint, change_kind string, field_name string, new_name string, type_name string"
+
+
+def _leaf_changes(script: list[tuple], old: Node) -> Iterator[tuple[str, str, str]]:
+    """(kind, field_name, new_name) of a script, with the leaves of renamed branches."""
+    for kind, a, b in script:
+        if kind in KINDS:
+            yield KINDS[kind], _dotted(a or b), _dotted(b) if a and b else ""
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = {"add": "added", "delete": "removed", "rename": "renamed", "move": "moved"}
+    """Fields of each file and its changes against the one before it in its chunk; a carried file only
+    stands before the first one."""
     schema = pa.schema([("file_id", pa.int64()), ("change_kind", pa.string()), ("field_name", pa.string()), ("new_name", pa.string()), ("type_name", pa.string())])
+    at, before = None, None
     for batch in batches:
         cols: list[list] = [[] for _ in schema]
 
@@ -344,32 +382,45 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c, v in zip(cols, row):
                 c.append(v)
 
-        for ident, fmt, body, before, old_fmt, old_body in zip(*(batch.column(i).to_pylist() for i in range(6))):
+        for feed, chunk, carried, ident, fmt, body in zip(*(c.to_pylist() for c in batch.columns)):
             new = parse_file(body, fmt)
-            for path, leaf in _leaves(new.root):
-                put(ident, "field", _dotted(path), "", leaf.kind)
-            if before is not None:
-                for kind, a, b in edit_script(parse_file(old_body, old_fmt), new):
-                    if kind in names:
-                        put(ident, names[kind], _dotted(a or b), _dotted(b) if kind in ("rename", "move") else "", None)
+            if (feed, chunk) != at:
+                at, before = (feed, chunk), None
+            if not carried:
+                for path, leaf in _leaves(new.root):
+                    put(ident, "field", _dotted(path), "", leaf.kind)
+                if before is not None:
+                    for kind, a, b in _leaf_changes(edit_script(before, new), before.root):
+                        put(ident, kind, a, b, None)
+            for _, leaf in _leaves(new.root):
+                leaf.values.clear()
+            before = new
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
 def file_fields(files: DataFrame) -> DataFrame:
     """Fields and structural changes of every file against the one before it in its feed.
 
-    files: file_id, feed_id, file_date, body_format, body. Which file comes before which is
-    found from the narrow columns alone; each file is then joined with its predecessor by
-    identifier, so that a feed with a third of all files is spread like any other, and a
-    task holds two files at a time.
+    files: file_id, feed_id, file_date, body_format, body. The order of a feed's files comes from the
+    narrow columns alone. Each CHUNK of files in a row is one group of the single shuffle of
+    the bodies, together with the file before it, so a feed with a third of all files is
+    spread like any other, each file is parsed once (the last of a chunk twice), and a task holds two
+    files at a time.
     """
     meta = files.select("file_id", "feed_id", "file_date")
     steps = look_back(meta, ["feed_id"], ["file_date", "file_id"], {"prev_id": "file_id"}, {})
-    bodies = files.select("file_id", "body_format", "body")
-    old = files.select(F.col("file_id").alias("prev_id"), F.col("body_format").alias("old_format"), F.col("body").alias("old_body"))
-    pairs = steps.join(bodies, "file_id").join(old, "prev_id", "left").select("file_id", "body_format", "body", "prev_id", "old_format", "old_body")
-    compared = pairs.mapInArrow(_compare, "file_id bigint, change_kind string, field_name string, new_name string, type_name string")
-    return compared.join(steps, "file_id")
+    placed = running_total(steps.withColumn("_one", F.lit(1)).withColumn("_at", F.struct("file_date", "file_id")), "_at", "_one", "_no", False, ["feed_id"])
+    placed = cut(placed.select("file_id", "feed_id", "file_date", "prev_id", F.col("_no").cast("long").alias("_no")))
+    chunk = F.floor(F.col("_no") / CHUNK).cast("long")
+    into = F.array(F.struct(chunk.alias("chunk"), F.lit(False).alias("carried")), F.when(F.col("_no") % CHUNK == CHUNK - 1, F.struct((chunk + 1).alias("chunk"), F.lit(True).alias("carried"))))
+    seats = placed.select("file_id", "feed_id", "_no", F.explode(F.filter(into, lambda x: x.isNotNull())).alias("x"))
+    seats = seats.select("file_id", "feed_id", "_no", "x.chunk", "x.carried")
+    if placed.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
+        seats = F.broadcast(seats)
+    bodies = files.select("file_id", "body_format", "body").join(seats, "file_id")
+    rows = bodies.repartition("feed_id", "chunk").sortWithinPartitions("feed_id", "chunk", "_no")
+    compared = rows.select("feed_id", "chunk", "carried", "file_id", "body_format", "body").mapInArrow(_compare, FIELDS)
+    return compared.join(placed.drop("_no"), "file_id")
 
 
 def schema_changes(files: DataFrame) -> DataFrame:
@@ -388,50 +439,152 @@ def schema_changes(files: DataFrame) -> DataFrame:
     return seen.select("file_id", kind.alias("change_kind"), "field_name", "new_name").where("change_kind is not null")
 
 
-def compile_projections(files: DataFrame) -> DataFrame:
-    """(file_id, projection): for every file a map from its own field names to the feed's lasting ones.
+class Lasting:
+    """Lasting names of one feed's fields, file by file.
 
-    A field's lasting name is the one it bore first. Scripts are composed along each feed in
-    the order of its files; per feed only the changes travel, never bodies.
+    A field keeps the name it first bore through renames and moves. A name that comes back after its field
+    went belongs to that field again; a new field whose name another one still goes by gets
+    a number, so no two fields of a file share a lasting name.
     """
-    rows = file_fields(files).where("change_kind in ('field', 'renamed')")
-    per_file = rows.groupBy("feed_id", "file_date", "file_id").agg(
-        F.collect_set(F.when(F.col("change_kind") == "field", F.col("field_name"))).alias("names"),
-        F.collect_set(F.when(F.col("change_kind") == "renamed", F.struct("field_name", "new_name"))).alias("renames"),
-    )
-    schema = pa.schema([("file_id", pa.int64()), ("projection", pa.map_(pa.string(), pa.string()))])
+
+    def __init__(self) -> None:
+        self.alive: dict[str, str] = {}
+        self.last: dict[str, str] = {}
+        self.used: set[str] = set()
+
+    def apply(self, born: list[str], gone: list[str], renamed: list[tuple[str, str]]) -> dict[str, str]:
+        """Take over the changes of a file; gives the new lasting names of its fields that changed."""
+        came = {b: self.alive.get(a) for a, b in renamed}
+        for a in [*gone, *(a for a, _ in renamed)]:
+            self.alive.pop(a, None)
+        out = {}
+        for b, lasting in sorted(came.items()):
+            if lasting is not None:
+                self.alive[b] = self.last[b] = out[b] = lasting
+        for b in sorted({*born, *(b for b, x in came.items() if x is None)} - out.keys()):
+            lasting = self.last.get(b)
+            if lasting is None or lasting in self.alive.values():
+                lasting, k = b, 1
+                while lasting in self.used:
+                    k += 1
+                    lasting = f"{b}#{k}"
+            self.used.add(lasting)
+            self.alive[b] = self.last[b] = out[b] = lasting
+        return out
+
+
+def field_projections(files: DataFrame) -> DataFrame:
+    """(file_id, field_name, lasting_name, type_name): every field of every file with its lasting name.
+
+    Only the changes of a feed are composed in the order of its files, as a stream of narrow
+    rows; which of them holds for a file's field is then looked back for over ranges. A projection is
+    one-to-one.
+    """
+    rows = cut(file_fields(files))
+    change = rows.where("change_kind in ('added', 'removed', 'renamed', 'moved') or (change_kind = 'field' and prev_id is null)")
+    change = change.select("feed_id", "file_date", "file_id", "change_kind", "field_name", "new_name")
+    schema = pa.schema([("feed_id", pa.string()), ("file_date", pa.date32()), ("file_id", pa.int64()), ("field_name", pa.string()), ("lasting_name", pa.string())])
 
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        feed, lasting = object(), {}
+        feed, at, state, own = object(), None, Lasting(), ([], [], [])
+        cols: list[list] = [[] for _ in schema]
+
+        def close() -> None:
+            for name, lasting in state.apply(*own).items():
+                for c, v in zip(cols, (*at, name, lasting)):
+                    c.append(v)
+
         for batch in batches:
-            ids, maps = [], []
-            for own, ident, names, renames in zip(*(batch.column(c).to_pylist() for c in ("feed_id", "file_id", "names", "renames"))):
-                if own != feed:
-                    feed, lasting = own, {}
-                moved = {r["new_name"]: lasting.get(r["field_name"], r["field_name"]) for r in renames}
-                lasting = {n: moved.get(n, lasting.get(n, n)) for n in sorted(names)}
-                ids.append(ident)
-                maps.append(list(lasting.items()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(maps, schema.field(1).type)], schema=schema)
+            for f, day, ident, kind, name, new in zip(*(c.to_pylist() for c in batch.columns)):
+                if (f, day, ident) != at:
+                    if at is not None:
+                        close()
+                    if f != feed:
+                        feed, state = f, Lasting()
+                    at, own = (f, day, ident), ([], [], [])
+                if kind in ("field", "added"):
+                    own[0].append(name)
+                elif kind == "removed":
+                    own[1].append(name)
+                else:
+                    own[2].append((name, new))
+            if len(cols[0]) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(cols, schema)], schema=schema)
+                cols = [[] for _ in schema]
+        if at is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(cols, schema)], schema=schema)
+
+    ordered = change.withColumn("feed_id", F.col("feed_id").cast("string")).withColumn("file_date", F.col("file_date").cast("date")).repartition("feed_id").sortWithinPartitions("feed_id", "file_date", "file_id")
+    named = ordered.mapInArrow(compose, "feed_id string, file_date date, file_id bigint, field_name string, lasting_name string")
+    own = rows.where("change_kind = 'field'").select(F.col("feed_id").cast("string").alias("feed_id"), F.col("file_date").cast("date").alias("file_date"), "file_id", "field_name", "type_name", F.lit(1).alias("_asks"))
+    both = own.withColumn("_lasting", F.lit(None).cast("string")).unionByName(named.select("feed_id", "file_date", "file_id", "field_name", F.lit(None).cast("string").alias("type_name"), F.lit(0).alias("_asks"), F.col("lasting_name").alias("_lasting")))
+    seen = look_back(both, ["feed_id", "field_name"], ["file_date", "file_id", "_asks"], {}, {"lasting_name": "_lasting"})
+    return seen.where("_asks = 1").select("file_id", "field_name", F.coalesce("lasting_name", "field_name").alias("lasting_name"), "type_name")
 
-    ordered = per_file.repartition("feed_id").sortWithinPartitions("feed_id", "file_date", "file_id").select("feed_id", "file_id", "names", "renames")
-    return ordered.mapInArrow(compose, "file_id bigint, projection map<string,string>")
 
+def compile_projections(files: DataFrame) -> DataFrame:
+    """(file_id, projection): for every file a map from its own field names to the feed's lasting ones."""
+    pairs = F.collect_list(F.struct("field_name", "lasting_name"))
+    return field_projections(files).groupBy("file_id").agg(F.map_from_entries(F.array_sort(pairs)).alias("projection"))
+
+
+def unified_types(fields: DataFrame) -> DataFrame:
+    """(lasting_name, type_name): the type that holds all of a field's types, over all files: int, double,
+    boolean or string; string if no file has a value."""
+    kinds = F.array_sort(F.collect_set("type_name"))
+    one = F.when(F.size("k") == 1, F.get("k", F.lit(0))).when(F.size(F.array_except("k", F.array(F.lit("int"), F.lit("double")))) == 0, F.when(F.size("k") > 0, "double"))
+    return fields.groupBy("lasting_name").agg(kinds.alias("k")).select("lasting_name", F.coalesce(one, F.lit("string")).alias("type_name"))
 
-def consistent_rows(files: DataFrame) -> DataFrame:
-    """(file_id, row_no, fields): the rows of all files with values under their lasting names."""
 
+ROWS = "file_id bigint, row_no int, fields map<string,string>"
+
+
+def _rows_of(files: DataFrame, projections: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.map_(pa.string(), pa.string())
         for batch in batches:
-            ids, numbers, maps = [], [], []
             for ident, fmt, body, projection in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 to = dict(projection or ())
-                for n, row in enumerate(parse_file(body, fmt).rows):
-                    ids.append(ident)
-                    numbers.append(n)
-                    maps.append([(to.get(_dotted(k), _dotted(k)), v) for k, v in row.items()])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(maps, kind)], names=["file_id", "row_no", "fields"])
-
-    source = files.select("file_id", "body_format", "body").join(compile_projections(files), "file_id", "left")
-    return source.mapInArrow(read, "file_id bigint, row_no int, fields map<string,string>")
+                rows = parse_file(body, fmt).rows
+                maps = [[(to.get(_dotted(k), _dotted(k)), v) for k, v in row.items()] for row in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([ident] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int32()), pa.array(maps, kind)], names=["file_id", "row_no", "fields"])
+
+    source = files.select("file_id", "body_format", "body").join(projections, "file_id", "left")
+    return source.mapInArrow(read, ROWS)
+
+
+def consistent_rows(files: DataFrame) -> DataFrame:
+    """(file_id, row_no, fields): the rows of all files with values, as text, under their lasting names."""
+    return _rows_of(files, compile_projections(files))
+
+
+def consistent_table(files: DataFrame) -> DataFrame:
+    """file_id, row_no and one typed column for each lasting name over all feeds.
+
+    Types are brought together over all files (see unified_types); integers too long for 64 bits
+    would be null in a bigint, so a field that has one is a string. Files lacking a field have null there. The
+    list of fields, which is schema and not data, is collected; over MAX_FIELDS it is an error. Of names
+    that differ in case alone all but the first get a number.
+    """
+    fields = cut(field_projections(files))
+    projections = fields.groupBy("file_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_name", "lasting_name")))).alias("projection"))
+    kinds = unified_types(fields).orderBy("lasting_name").limit(MAX_FIELDS + 1).collect()
+    if len(kinds) > MAX_FIELDS:
+        raise ValueError("the files have too many fields for one table")
+    rows = cut(_rows_of(files, projections))
+    whole = [r["lasting_name"] for r in kinds if r["type_name"] == "int"]
+    value = lambda n: F.element_at("fields", F.lit(n))
+    lost = rows.agg(*[F.max((value(n).isNotNull() & value(n).try_cast("bigint").isNull()).cast("int")).alias(f"c{i}") for i, n in enumerate(whole)]).first() if whole else ()
+    long = {n for n, x in zip(whole, lost) if x}
+    types = {"int": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType()}
+    column = lambda r: value(r["lasting_name"]) if r["type_name"] == "string" or r["lasting_name"] in long else value(r["lasting_name"]).try_cast(types[r["type_name"]])
+    names, seen = {}, {"_file_id", "_row_no"}
+    for r in kinds:
+        name, k = r["lasting_name"], 1
+        while name.lower() in seen:
+            k += 1
+            name = f"{r['lasting_name']}#{k}"
+        seen.add(name.lower())
+        names[r["lasting_name"]] = name
+    return rows.select(F.col("file_id").alias("_file_id"), F.col("row_no").alias("_row_no"), *[column(r).alias(names[r["lasting_name"]]) for r in kinds])

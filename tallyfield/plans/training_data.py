@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.schema_drift import consistent_rows, schema_changes
+from ..operators.schema_drift import consistent_rows, consistent_table, schema_changes
 from ..operators.snapshots import snapshot_changes, two_decimals
 from ..registry import Registry
 from ..session import table
@@ -59,3 +59,10 @@ def p4_consistent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "published_files").select("file_id", "feed_id", "file_date", "body_format", "body")
     rows = consistent_rows(files)
     return rows.select("file_id", "row_no", F.explode("fields").alias("field_name", "field_value"))
+
+
+@registry.query("p4_consistent_table")
+def p4_consistent_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of all files in one wide table, a typed column for each lasting field."""
+    files = table(spark, sf_dir, "published_files").select("file_id", "feed_id", "file_date", "body_format", "body")
+    return consistent_table(files)

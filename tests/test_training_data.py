@@ -2,7 +2,8 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from tallyfield.operators.schema_drift import Node, align, assign, compile_projections, consistent_rows, edit_script, parse_file, schema_changes
+from tallyfield.operators import schema_drift
+from tallyfield.operators.schema_drift import Node, align, assign, compile_projections, consistent_rows, consistent_table, edit_script, parse_file, schema_changes
 from tallyfield.operators.snapshots import snapshot_changes, two_decimals
 
 
@@ -84,3 +85,55 @@ def test_align_prefers_the_player_field():
     a, b = parse_file(body(["player", "team"], [("Ann", "T1"), ("Bob", "T2")]), "csv"), parse_file(body(["team", "player"], [("T1", "Bob"), ("T2", "Ann")]), "csv")
     align(a, b)
     assert a.key == ("player",) == b.key
+
+
+def table_of(spark, bodies, fmt="csv", feeds=None):
+    rows = [(i, (feeds or {}).get(i, "f"), date(2026, 9, 1 + i), fmt, b) for i, b in enumerate(bodies)]
+    return spark.createDataFrame(rows, "file_id bigint, feed_id string, file_date date, body_format string, body string")
+
+
+def test_a_name_used_again_keeps_both_fields(spark):
+    name = [r[0] for r in ROWS]
+    first = body(["player", "a"], zip(name, (1.5, 2.5, 3.5, 4.5)))
+    renamed = body(["player", "b"], zip(name, (1.5, 2.5, 3.5, 4.5)))
+    again = body(["player", "b", "a"], zip(name, (1.5, 2.5, 3.5, 4.5), (40.5, 50.25, 9.0, 7.0)))
+    gone = body(["player", "a"], zip(name, (40.5, 50.25, 9.0, 7.0)))
+    files = table_of(spark, [first, renamed, again, gone, again])
+    proj = {r.file_id: r.projection for r in compile_projections(files).collect()}
+    assert proj[1] == {"player": "player", "b": "a"} and proj[2] == {"player": "player", "b": "a", "a": "a#2"} and proj[3] == {"player": "player", "a": "a#2"} and proj[4] == proj[2]
+    assert all(len(set(p.values())) == len(p) for p in proj.values())
+    rows = {(r.file_id, r.row_no): r.fields for r in consistent_rows(files).collect()}
+    assert rows[(2, 0)] == {"player": "Ann Lee", "a": "1.5", "a#2": "40.5"}
+
+
+def test_swapped_names_and_moves_are_applied(spark):
+    name = [r[0] for r in ROWS]
+    line = lambda **k: "\n".join(__import__("json").dumps({"player": p, **{f: v(i) for f, v in k.items()}}) for i, p in enumerate(name))
+    nested = [line(st=lambda i: {"fp": i + 0.5, "n": i * 3 % 7}, mk=lambda i: {"q": i * i}), line(st=lambda i: {"n": i * 3 % 7}, mk=lambda i: {"q": i * i, "fp": i + 0.5})]
+    files = table_of(spark, nested, "jsonl")
+    assert {(r.change_kind, r.field_name, r.new_name) for r in schema_changes(files).collect()} == {("moved", "st.fp", "mk.fp")}
+    assert {r.file_id: r.projection for r in compile_projections(files).collect()}[1] == {"player": "player", "st.n": "st.n", "mk.q": "mk.q", "mk.fp": "st.fp"}
+    a, b = parse_file(nested[0], "jsonl"), parse_file(line(x=lambda i: i + 0.5, st=lambda i: {"n": i * 3 % 7}, mk=lambda i: {"z": i * i}), "jsonl")
+    assert {s for s in edit_script(a, b)} == {("move", ("st", "fp"), ("x",)), ("rename", ("mk", "q"), ("mk", "z"))}
+    branch = parse_file(line(other=lambda i: {"fp": i + 0.5, "n": i * 3 % 7}, mk=lambda i: {"q": i * i}), "jsonl")
+    assert ("rename", ("st",), ("other",)) in edit_script(parse_file(nested[0], "jsonl"), branch)
+
+
+def test_one_typed_table_of_all_files(spark):
+    bodies = [body(["player", "n", "x", "flag", "big"], [("Ann", 1, 2, True, "1" * 25), ("Bob", 2, 3, False, 5)]), body(["player", "n", "x", "flag"], [("Ann", 7, 2.5, "no"), ("Bob", "", 3, "yes")])]
+    df = consistent_table(table_of(spark, bodies, feeds={0: "f", 1: "g"}))
+    assert dict(df.dtypes) == {"_file_id": "bigint", "_row_no": "int", "player": "string", "n": "bigint", "x": "double", "flag": "string", "big": "string"}
+    got = {(r._file_id, r._row_no): (r.player, r.n, r.x, r.flag, r.big) for r in df.collect()}
+    assert got == {(0, 0): ("Ann", 1, 2.0, "True", "1" * 25), (0, 1): ("Bob", 2, 3.0, "False", "5"), (1, 0): ("Ann", 7, 2.5, "no", None), (1, 1): ("Bob", None, 3.0, "yes", None)}
+    assert consistent_table(table_of(spark, bodies).where("false")).count() == 0
+
+
+def test_chunks_of_a_feed_change_nothing(spark, monkeypatch):
+    bodies = [body(["player", "f" + str(i // 2), "g"], [(p, v + i // 2 * 0 + k, k) for k, (p, _, v, _) in enumerate(ROWS)]) for i in range(9)]
+    files = table_of(spark, bodies)
+    run = lambda: sorted(map(tuple, schema_changes(files).collect()))
+    whole = run()
+    assert len(whole) == 4 and {r[1] for r in whole} == {"renamed"}
+    monkeypatch.setattr(schema_drift, "CHUNK", 2)
+    monkeypatch.setattr(schema_drift, "BROADCAST_FILES", 1)
+    assert run() == whole
