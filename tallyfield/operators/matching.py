@@ -78,24 +78,25 @@ def pairs_within(df: DataFrame, group: str, ident: str, columns: list[str]) -> D
     return a.join(b, group).where("_a < _b")
 
 
-def combinations(pool: DataFrame, ident: str, price: str, size: int, cap: float, most: int = 30_000_000) -> DataFrame:
-    """Every ascending combination of `size` members whose price stays within the cap.
+def combinations(pool: DataFrame, ident: str, price: str, size: int, cap: float, most: int = 30_000_000, group: str | None = None) -> DataFrame:
+    """Every ascending combination of `size` members, of each group if one is named, whose price stays within the cap.
 
-    The pool must be so small that its combinations number at most `most`; that is counted
+    Pools must be so small that the combinations of each number at most `most`; that is counted
     first. Each step extends partial combinations by larger members and cuts those over the cap.
     """
-    n = pool.count()
+    keys = [group] if group else []
+    n = pool.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     total = 1
     for i in range(size):
         total = total * (n - i) // (i + 1)
     if total > most:
         raise ValueError(f"{total} combinations are more than {most}")
-    p = F.broadcast(pool.select(F.col(ident).alias("_i"), F.col(price).alias("_p")))
-    out = pool.select(F.array(F.col(ident)).alias("members"), F.col(price).alias("total")).where(F.col("total") <= cap)
+    p = pool.select(*[F.col(k).alias("_g") for k in keys], F.col(ident).alias("_i"), F.col(price).alias("_p"))
+    out = pool.select(*keys, F.array(F.col(ident)).alias("members"), F.col(price).alias("total")).where(F.col("total") <= cap)
     for _ in range(size - 1):
-        out = out.join(p, (F.col("_i") > F.element_at("members", -1)) & (F.col("total") + F.col("_p") <= cap)).select(
-            F.concat("members", F.array("_i")).alias("members"), (F.col("total") + F.col("_p")).alias("total")
-        )
+        larger = (F.col("_i") > F.element_at("members", -1)) & (F.col("total") + F.col("_p") <= cap)
+        out = out.join(p, larger & (F.col(group) == F.col("_g")) if group else larger)
+        out = out.select(*keys, F.concat("members", F.array("_i")).alias("members"), (F.col("total") + F.col("_p")).alias("total"))
     return out
 
 

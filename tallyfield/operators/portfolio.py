@@ -1,12 +1,10 @@
-"""Selection under quotas and the choice among strategies, for the candidates of one game."""
+"""Construction rules, balanced and exact selection, for the candidates of one game."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-
 
 @dataclass(frozen=True)
 class Quota:
@@ -34,80 +32,6 @@ def validate(quotas: Sequence[Quota], known: Sequence[str], size: int) -> None:
             raise ValueError(f"rule {q.name} doesn't make a lineup")
 
 
-class Walk:
-    """Candidates of an iterator that can be walked again; only those that a walk has reached are fetched."""
-
-    def __init__(self, source: Iterator[tuple]) -> None:
-        self.source, self.seen = source, []
-
-    def __iter__(self) -> Iterator[tuple]:
-        at = 0
-        while True:
-            if at == len(self.seen):
-                row = next(self.source, None)
-                if row is None:
-                    return
-                self.seen.append(row)
-            yield self.seen[at]
-            at += 1
-
-
-def with_quotas(candidates: list[tuple], positions: dict, quotas: Sequence[Quota], cap: int, order: Sequence[str]) -> list[tuple]:
-    """(rule, identifier) by taking each rule's turn in the given order; a member is in at most `cap`.
-
-    candidates: (identifier, members, quality), best first. A candidate is passed over if it
-    would use a member that the open turns of other rules can't do without.
-    """
-    return [(n, c[0]) for n, c in in_turns(*_fitting(candidates, positions, quotas), cap, order)]
-
-
-def _fitting(candidates: list[tuple], positions: dict, quotas: Sequence[Quota]) -> tuple[dict, dict]:
-    fitting = {q.name: [c for c in candidates if q.fits([positions[m] for m in c[1]])] for q in quotas}
-    return fitting, {n: set.intersection(*(set(c[1]) for c in cs)) if cs else set() for n, cs in fitting.items()}
-
-
-def in_turns(fitting: dict[str, Iterable[tuple]], needed: dict[str, set], cap: int, order: Sequence[str]) -> list[tuple]:
-    """(rule, candidate) as with_quotas, from each rule's candidates and the members that all of them have."""
-    used: dict = {}
-    out: list[tuple] = []
-    taken: set = set()
-    turns = list(order)
-    for at, name in enumerate(turns):
-        later = turns[at + 1 :]
-        demand = {m: sum(m in needed[n] for n in later if n != name) for n in later for m in needed[n]}
-        for candidate in fitting[name]:
-            ident, members = candidate[:2]
-            if ident in taken or any(used.get(m, 0) >= cap for m in members):
-                continue
-            if any(cap - used.get(m, 0) - 1 < demand.get(m, 0) for m in members):
-                continue
-            out.append((name, candidate))
-            taken.add(ident)
-            for m in members:
-                used[m] = used.get(m, 0) + 1
-            break
-    return out
-
-
-def best_of_schedules(candidates: list[tuple], positions: dict, quotas: Sequence[Quota], cap: int) -> list[tuple]:
-    """The fullest, then best, of three orders of turns: as given, reversed and round robin."""
-    return best_in_turns(*_fitting(candidates, positions, quotas), quotas, cap)
-
-
-def best_in_turns(fitting: dict[str, Iterable[tuple]], needed: dict[str, set], quotas: Sequence[Quota], cap: int) -> list[tuple]:
-    """best_of_schedules from each rule's candidates, best first, and the members that all of them have."""
-    flat = [q.name for q in quotas for _ in range(q.lineups)]
-    left = {q.name: q.lineups for q in quotas}
-    robin: list[str] = []
-    while any(left.values()):
-        for n in left:
-            if left[n]:
-                robin.append(n)
-                left[n] -= 1
-    tries = [in_turns(fitting, needed, cap, o) for o in (flat, flat[::-1], robin)]
-    return [(n, c[0]) for n, c in max(tries, key=lambda t: (len(t), sum(c[2] for _, c in t)))]
-
-
 def balanced(candidates: list[tuple], n: int, cap: int) -> list:
     """Identifiers whose members were used least so far, better ones first among equals."""
     used: dict = {}
@@ -124,25 +48,6 @@ def balanced(candidates: list[tuple], n: int, cap: int) -> list:
     return out
 
 
-def swapped(scores: np.ndarray, chosen: list[int], rounds: int = 3) -> list[int]:
-    """Single exchanges that raise the mean best over the scenarios, until none does or rounds are over."""
-    chosen = list(chosen)
-    value = scores[chosen].max(axis=0).mean()
-    for _ in range(rounds):
-        better = False
-        for k in range(len(chosen)):
-            others = [c for i, c in enumerate(chosen) if i != k]
-            bar = scores[others].max(axis=0) if others else np.zeros(scores.shape[1])
-            gains = np.maximum(scores, bar).mean(axis=1)
-            gains[others] = -np.inf
-            i = int(np.argmax(gains))
-            if gains[i] > value + 1e-12:
-                chosen[k], value, better = i, float(gains[i]), True
-        if not better:
-            break
-    return chosen
-
-
 def exact_capped(candidates: list[tuple], n: int, cap: int) -> list:
     """Identifiers of the n candidates of greatest total quality with each member in at most `cap`, by branch and bound.
 
@@ -160,20 +65,17 @@ def exact_capped(candidates: list[tuple], n: int, cap: int) -> list:
         nonlocal best
         if (len(taken), total) > (best[0], best[1] + 1e-12):
             best = (len(taken), total, list(taken))
-        left = n - len(taken)
-        if not left or at == len(rows):
-            return
-        reach = min(left, len(rows) - at)
-        if len(taken) + reach < best[0] or (len(taken) + reach == best[0] and total + ahead[at + reach] - ahead[at] <= best[1] + 1e-12):
-            return
-        ident, members, q = rows[at][:3]
-        if all(used.get(m, 0) < cap for m in members):
-            for m in members:
-                used[m] = used.get(m, 0) + 1
-            go(at + 1, [*taken, ident], total + q, used)
-            for m in members:
-                used[m] -= 1
-        go(at + 1, taken, total, used)
+        for i in range(at, len(rows)):
+            reach = min(n - len(taken), len(rows) - i)
+            if len(taken) + reach < best[0] or (len(taken) + reach == best[0] and total + ahead[i + reach] - ahead[i] <= best[1] + 1e-12):
+                return
+            ident, members, q = rows[i][:3]
+            if reach and all(used.get(m, 0) < cap for m in members):
+                for m in members:
+                    used[m] = used.get(m, 0) + 1
+                go(i + 1, [*taken, ident], total + q, used)
+                for m in members:
+                    used[m] -= 1
 
     go(0, [], 0.0, {})
     return best[2]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -105,104 +103,6 @@ def lineup_variance(rows: DataFrame, covariance: DataFrame, lineup: str, member:
     return x.join(y, lineup).join(covariance, [a, b]).groupBy(lineup).agg(F.sum(F.col("_wa") * F.col("_wb") * F.col(value)).alias("variance"))
 
 
-def score_candidates(candidates: DataFrame, matrix: np.ndarray, ident: str, members: str, star: str, near: float = 0.95, quantiles: tuple[float, ...] = (0.25, 0.9, 0.95)) -> DataFrame:
-    """Mean, deviation, quantiles, share of near-best scenarios and wins of every candidate.
-
-    matrix: scenarios by members of one game, at most some megabytes, sent to all executors.
-    The first pass over blocks of candidates keeps each block's best score for every scenario;
-    the element-wise best of the blocks is the bar of the second pass. Candidates and
-    scenarios are never multiplied out as rows.
-    """
-    spark = candidates.sparkSession
-    if matrix.nbytes > 64_000_000:
-        raise ValueError("the scenario matrix is too large to be sent to every executor")
-    shipped = spark.sparkContext.broadcast(matrix)
-    rows = candidates.select(ident, members, star)
-
-    def totals(pdf: pd.DataFrame) -> np.ndarray:
-        w = np.zeros((len(pdf), shipped.value.shape[1]))
-        for r, (ids, s) in enumerate(zip(pdf[members], pdf[star])):
-            w[r, np.asarray(ids, int)] = 1.0
-            w[r, s] += 0.5
-        return w @ shipped.value.T.astype(float)
-
-    def best(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top = None
-        for pdf in it:
-            for at in range(0, len(pdf), 512):
-                b = totals(pdf.iloc[at : at + 512]).max(axis=0)
-                top = b if top is None else np.maximum(top, b)
-        if top is not None:
-            yield pd.DataFrame({"scenario": np.arange(len(top)), "best": top})
-
-    bar_rows = rows.mapInPandas(best, "scenario int, best double").groupBy("scenario").agg(F.max("best").alias("best")).orderBy("scenario").collect()
-    bar = spark.sparkContext.broadcast(np.array([r["best"] for r in bar_rows]))
-    names = [f"p{round(100 * x)}" for x in quantiles]
-
-    def measure(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                t = totals(part)
-                out = {ident: part[ident].to_numpy(), "mean": t.mean(axis=1), "sd": t.std(axis=1)}
-                for name, row in zip(names, np.quantile(t, quantiles, axis=1)):
-                    out[name] = row
-                out["near_best"] = (t >= near * bar.value).mean(axis=1)
-                out["win_rate"] = (t >= bar.value - 1e-9).mean(axis=1)
-                yield pd.DataFrame(out)
-
-    kind = dict(candidates.dtypes)[ident]
-    return rows.mapInPandas(measure, ", ".join([f"{ident} {kind}", "mean double", "sd double", *(f"{n} double" for n in names), "near_best double", "win_rate double"]))
-
-
-def greedy_capped(candidates: list[tuple], n: int, member_cap: int, star_cap: int, most_shared: int) -> list:
-    """Identifiers taken in the given order while members, stars and overlaps stay within their caps.
-
-    candidates: (identifier, members, star), best first, of one game; a sequential rule on the driver.
-    """
-    used: dict = {}
-    stars: dict = {}
-    taken: list[tuple] = []
-    for ident, members, star in candidates:
-        if len(taken) == n:
-            break
-        own = set(members)
-        if any(used.get(m, 0) >= member_cap for m in own) or stars.get(star, 0) >= star_cap or any(len(own & set(t[1])) > most_shared for t in taken):
-            continue
-        taken.append((ident, members, star))
-        stars[star] = stars.get(star, 0) + 1
-        for m in own:
-            used[m] = used.get(m, 0) + 1
-    return [t[0] for t in taken]
-
-
-def lazy_greedy(scores: np.ndarray, n: int, member_sets: list[frozenset] | None = None, member_cap: int | None = None) -> list[int]:
-    """Rows whose expected best over the scenarios grows most, one by one.
-
-    A row's gain never rises, so gains of earlier rounds are upper bounds and only the rows at
-    the top of the queue are measured again. Ties go to the earlier row.
-    """
-    import heapq
-
-    bar = np.zeros(scores.shape[1])
-    heap = [(-float(np.maximum(s, 0).mean()), i, 0) for i, s in enumerate(scores)]
-    heapq.heapify(heap)
-    taken: list[int] = []
-    used: dict = {}
-    while heap and len(taken) < n:
-        gain, i, at = heapq.heappop(heap)
-        if member_sets is not None and member_cap is not None and any(used.get(m, 0) >= member_cap for m in member_sets[i]):
-            continue
-        if at < len(taken):
-            heapq.heappush(heap, (-float(np.maximum(scores[i] - bar, 0).mean()), i, len(taken)))
-            continue
-        taken.append(i)
-        bar = np.maximum(bar, scores[i])
-        for m in member_sets[i] if member_sets is not None else ():
-            used[m] = used.get(m, 0) + 1
-    return taken
-
-
 def fill_slots(df: DataFrame, group: str, ident: str, pos: str, value: str, slots: dict[str, int], flex: int, flex_positions: list[str]) -> DataFrame:
     """(group, ident, slot): the best of each position for its slots, then the best of the rest as flex."""
     w = Window.partitionBy(group, pos).orderBy(F.desc(value), ident)

@@ -15,7 +15,6 @@ from ..operators import evaluation as E
 from ..operators import fits as X
 from ..operators import matching as M
 from ..operators import models as MO
-from ..operators import portfolio as P
 from ..operators import ranking as R
 from ..operators import simulation as S
 from ..registry import Registry
@@ -253,27 +252,6 @@ def m33(s, d):
     return top(F.col("m") + 0.85 * F.col("sd"), 40).union(top(F.col("m"), 15)).distinct()
 
 
-@q("m37_m39_quota_selection")
-def m37(s, d):
-    r = lines(s, d).where("player_key is not null and pos is not null")
-    quotas = [P.Quota("one_qb", {"QB": (1, 1)}, 6), P.Quota("wr_heavy", {"WR": (3, 9)}, 5), P.Quota("defence", {"DEF": (1, 2)}, 3)]
-    P.validate(quotas, ["QB", "RB", "WR", "TE", "K", "DEF"], 9)
-    where = r.groupBy("player_key").agg(F.min("pos").alias("pos"))
-    held = r.select("lineup_id", "player_key").distinct().join(where, "player_key").groupBy("lineup_id").agg(F.sort_array(F.collect_set("player_key")).alias("members"), F.collect_list("pos").alias("held"))
-    c = cut(held.join(r.groupBy("lineup_id").agg(F.sum("mean_fp").alias("quality")), "lineup_id"))
-    fitting, needed = {}, {}
-    for x in quotas:
-        mine = c
-        for pos, (lo, hi) in x.counts.items():
-            mine = mine.where(F.size(F.array_remove("held", pos)).between(F.size("held") - hi, F.size("held") - lo))
-        n = mine.count()
-        needed[x.name] = {m["m"] for m in mine.select(F.explode("members").alias("m")).groupBy("m").count().where(F.col("count") == n).collect()}
-        best = mine.orderBy(F.desc("quality"), "lineup_id").select("lineup_id", "members", "quality")
-        fitting[x.name] = P.Walk(map(tuple, best.toLocalIterator()))
-    got = P.best_in_turns(fitting, needed, quotas, 4)
-    return s.createDataFrame([(k, *g) for k, g in enumerate(got, 1)], "place int, rule string, lineup_id string")
-
-
 @q("m50_calibrated_rates", """
     WITH g AS (SELECT pos, least(greatest(coalesce(depth_rank, 4), 1), 4) AS b, count(*) AS n, (sum(CASE WHEN estimated_fp < 5 THEN 1.0 ELSE 0 END) + 20 * 0.2) / (count(*) + 20) AS rate FROM rankings WHERE estimated_fp IS NOT NULL AND NOT isnan(estimated_fp) GROUP BY ALL),
     m AS (SELECT a.pos, a.b AS j, c.b AS k, sum(x.rate * x.n) / sum(x.n) AS m FROM g a JOIN g c ON a.pos = c.pos AND a.b <= c.b JOIN g x ON x.pos = a.pos AND x.b BETWEEN a.b AND c.b GROUP BY ALL),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +12,7 @@ from ..functions import distributions as D
 from ..functions import text as T
 from ..operators import blend as B
 from ..operators import matching as M
+from ..operators import games as G
 from ..operators import portfolio as P
 from ..operators import simulation as S
 from ..registry import Registry
@@ -215,55 +217,103 @@ def m45(s, d):
     return S.fill_slots(p, "board_id", "rank_row_id", "pos", "estimated_fp", {"QB": 1, "RB": 2, "WR": 3, "TE": 1, "DEF": 1}, 1, ["RB", "WR", "TE"])
 
 
-def game(s: SparkSession, d: str, size: int = 12) -> DataFrame:
-    """One small pool of entities as a game: the top parts of a brand."""
-    p = table(s, d, "part").where("p_brand = 'Brand#1'").orderBy(F.desc("p_retailprice"), "p_partkey").limit(size)
-    return p.select(F.lit("g").alias("game"), F.row_number().over(Window.orderBy("p_partkey")).alias("member"), (F.col("p_retailprice") / 60).alias("mean"), F.expr(CV_SQL).alias("cv"), F.expr(ZERO_SQL).alias("zero"), F.col("p_size").cast("double").alias("price"))
+#: Members of a game and the setting of its play.
+POOL = 27
+PLAYED = G.Setting.detail("standard", budget=160.0)
 
 
-def game_scenarios(s: SparkSession, d: str, n: int = 400) -> tuple[DataFrame, DataFrame]:
-    m = game(s, d).cache()
-    pairs = M.pairs_within(m, "game", "member", ["cv"])
-    pairs = pairs.select("game", F.col("_a").alias("a"), F.col("_b").alias("b"), S.latent_lognormal(F.lit(0.2), F.col("cv_a"), F.col("cv_b")).alias("v"))
-    roots = S.correlation_roots(pairs, m, "game", "member", "a", "b", "v")
-    return m, S.scenarios(m, roots, "game", "member", "mean", "cv", "zero", n, 356)
+def brand_games(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every brand as a game: its dearest parts as members, and the correlation of their scores."""
+    w = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
+    p = table(s, d, "part").where("p_brand is not null").withColumn("k", F.row_number().over(w)).where(F.col("k") <= POOL)
+    kind = F.element_at(F.split("p_container", " "), 1)
+    m = p.select(F.col("p_brand").alias("game"), F.col("p_partkey").alias("member"), F.col("p_type").alias("pos"), F.element_at(F.split("p_name", " "), -1).alias("kind"), (F.col("p_retailprice") / 60).alias("mean"), F.expr(CV_SQL).alias("cv"), F.expr(ZERO_SQL).alias("zero"), F.col("p_size").cast("double").alias("price"))
+    pairs = M.pairs_within(m, "game", "member", ["pos", "kind"])
+    v = F.when(F.col("kind_a") == F.col("kind_b"), 0.25).when(F.col("pos_a") == F.col("pos_b"), -0.1).otherwise(0.05)
+    return m, pairs.select("game", F.col("_a").alias("a"), F.col("_b").alias("b"), v.alias("v"))
+
+
+def play_games(s: SparkSession, d: str, play, ddl: str) -> DataFrame:
+    m, pairs = brand_games(s, d)
+    return G.games(m, pairs, "game", "member", "mean", "cv", "zero", "price", play, ddl)
 
 
 @q("m29_scenarios")
 def m29(s, d):
-    m, draws = game_scenarios(s, d)
-    return draws.groupBy("member").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("sd"), F.round(F.avg((F.col("score") == 0).cast("double")), 6).alias("zero"))
+    """Mean, deviation and zero rate of every member over 10,000 correlated scenarios of every game."""
+
+    def play(make, who):
+        game = make(PLAYED)
+        x = game.draws().astype(float)
+        return pd.DataFrame({"game": game.name, "member": game.members, "n": x.shape[1], "mean": x.mean(axis=1).round(6), "sd": x.std(axis=1).round(6), "zero": (x == 0).mean(axis=1).round(6)})
 
+    return play_games(s, d, play, "game string, member bigint, n bigint, mean double, sd double, zero double")
 
-def scored(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    m, draws = game_scenarios(s, d)
-    wide = draws.groupBy("scenario").agg(F.array_sort(F.collect_list(F.struct("member", "score"))).alias("x")).orderBy("scenario").select("x.score").toPandas()
-    matrix = np.vstack(wide["score"].to_numpy()).astype(np.float32)
-    combos = M.combinations(m.select((F.col("member") - 1).cast("int").alias("member"), "price"), "member", "price", 5, 160.0)
-    lines = combos.withColumn("star", F.explode("members")).withColumn("id", F.xxhash64("members", "star"))
-    return lines, S.score_candidates(lines, matrix, "id", "members", "star"), matrix
+
+def named(game: G.Game, rows) -> list[list]:
+    members, _ = game.lineups()
+    return [[game.members[j] for j in members[i]] for i in rows]
 
 
 @q("m34_shared_scenario_scores")
 def m34(s, d):
-    _, metrics, _ = scored(s, d)
-    return metrics.select("id", *[F.round(c, 6).alias(c) for c in metrics.columns if c != "id"])
+    """All figures of every line-up kept, over all scenarios and over either half, for every game."""
+    figures = [f"{c}{t}" for c in ("mean", "sd", "p25", "p90", "p95", "near_best", "win_rate") for t in ("", "_a", "_b")]
+
+    def play(make, who):
+        game = make(PLAYED)
+        m = game.measures()
+        out = {"game": game.name, "members": named(game, range(len(game.lineups()[0]))), "star": [game.members[i] for i in game.lineups()[1]]}
+        return pd.DataFrame(out | {c: m[c].round(6) for c in figures})
+
+    return play_games(s, d, play, "game string, members array<bigint>, star bigint, " + ", ".join(f"{c} double" for c in figures))
 
 
 @q("m36_m40_portfolios")
 def m36(s, d):
-    lines, metrics, matrix = scored(s, d)
-    best = metrics.join(lines, "id").orderBy(F.desc("p90"), F.desc("mean"), "members", "star").limit(400).toPandas()
-    rows = [(int(i), [int(x) for x in m], int(st)) for i, m, st in zip(best["id"], best["members"], best["star"])]
-    capped = S.greedy_capped(rows, 10, 7, 4, 4)
-    weights = np.zeros((len(rows), matrix.shape[1]))
-    for r, (_, ids, star) in enumerate(rows):
-        weights[r, ids] = 1.0
-        weights[r, star] += 0.5
-    totals = weights @ matrix.T.astype(float)
-    chosen = S.lazy_greedy(totals, 10)
-    even = P.balanced([(i, m, q) for (i, m, _), q in zip(rows, best["mean"])], 10, 7)
-    exact = P.exact_capped([(i, m, q) for (i, m, _), q in zip(rows[:60], best["mean"])], 4, 3)
-    picks = {"capped": capped, "expected_best": [rows[i][0] for i in chosen], "swapped": [rows[i][0] for i in P.swapped(totals, chosen)], "balanced": even, "exact": exact}
-    out = [(name, k, int(i)) for name, ids in picks.items() for k, i in enumerate(ids, 1)]
-    return s.createDataFrame(out, "objective string, place int, id bigint")
+    """Portfolios of twenty line-ups of every game: capped by quality, best of many, with exchanges; what each is worth on scenarios that the choice hasn't seen."""
+
+    def play(make, who):
+        game = make(PLAYED)
+        if not len(game.lineups()[0]):
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("game", "objective", "place", "members", "star", "held_mean", "held_p25", "gain_over_single")})
+        many, _ = G.best_of_many(game)
+        p90 = game.measures()["p90"]
+        even = P.balanced([(i, m, float(v)) for i, (m, v) in enumerate(zip(game.lineups()[0].tolist(), p90))], PLAYED.entries, PLAYED.cap(PLAYED.member_share))
+        picks = {"capped": G.capped(game, p90), "balanced": even, "best_of_many": many, "exchanged": G.exchanged(game, many)}
+        single = int(np.argsort(-game.expectation(), kind="stable")[0])
+        out = []
+        for name, taken in picks.items():
+            worth = G.held_out(game, taken, single)
+            out += [(game.name, name, k, members, game.members[game.lineups()[1][i]], *(round(worth[x], 6) for x in ("held_mean", "held_p25", "gain_over_single"))) for k, (i, members) in enumerate(zip(taken, named(game, taken)), 1)]
+        return pd.DataFrame(out, columns=["game", "objective", "place", "members", "star", "held_mean", "held_p25", "gain_over_single"])
+
+    return play_games(s, d, play, "game string, objective string, place int, members array<bigint>, star bigint, held_mean double, held_p25 double, gain_over_single double")
+
+
+@q("m37_m39_quota_selection")
+def m37(s, d):
+    """Line-ups of every game under construction rules, and the turns that no line-up fits."""
+    quotas = [P.Quota("two_large", {"LARGE": (2, 5)}, 8), P.Quota("no_promo", {"PROMO": (0, 0)}, 7), P.Quota("small_and_economy", {"SMALL": (1, 2), "ECONOMY": (1, 5)}, 5)]
+
+    def play(make, who):
+        game = make(PLAYED)
+        got, empty = G.scheduled(game, game.measures()["p90"], who["pos"].tolist(), quotas)
+        out = [(game.name, k, rule, members, game.members[game.lineups()[1][i]]) for k, ((rule, i), members) in enumerate(zip(got, named(game, [i for _, i in got])), 1)]
+        out += [(game.name, None, rule, None, n) for rule, n in sorted(empty.items())]
+        return pd.DataFrame(out, columns=["game", "place", "rule", "members", "star"]).astype({"place": "Int32", "star": "Int64"})
+
+    return play_games(s, d, play, "game string, place int, rule string, members array<bigint>, star bigint")
+
+
+@q("m43_exact_selection")
+def m43(s, d):
+    """The three line-ups of every game with the greatest total expectation, each member in two at most: exactly, over all that were kept."""
+
+    def play(make, who):
+        game = make(PLAYED)
+        (members, stars), e = game.lineups(), game.expectation()
+        taken = P.exact_capped([(i, m, float(v)) for i, (m, v) in enumerate(zip(members.tolist(), e))], 3, 2)
+        return pd.DataFrame([(game.name, k, m, game.members[stars[i]], round(float(e[i]), 6)) for k, (i, m) in enumerate(zip(taken, named(game, taken)), 1)], columns=["game", "place", "members", "star", "expected"])
+
+    return play_games(s, d, play, "game string, place int, members array<bigint>, star bigint, expected double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import matching as M
@@ -80,8 +81,6 @@ def w9(s, d):
 @q("w12_unique_flag", """
     SELECT entry_id, count(*) OVER (PARTITION BY league_code, player) = 1 AS is_unique FROM roster_entries""")
 def w12(s, d):
-    from pyspark.sql.window import Window
-
     return table(s, d, "roster_entries").select("entry_id", (F.count("*").over(Window.partitionBy("league_code", "player")) == 1).alias("is_unique"))
 
 
@@ -245,11 +244,13 @@ def j20(s, d):
 
 
 @q("j21_combinations", """
-    WITH p AS (SELECT p_partkey AS i, CAST(p_size AS BIGINT) AS w FROM part WHERE p_brand = 'Brand#1' ORDER BY p_retailprice DESC, p_partkey LIMIT 14)
-    SELECT [a.i, b.i, c.i, e.i] AS members, a.w + b.w + c.w + e.w AS total FROM p a JOIN p b ON b.i > a.i JOIN p c ON c.i > b.i JOIN p e ON e.i > c.i WHERE a.w + b.w + c.w + e.w <= 90""")
+    WITH p AS (SELECT * FROM (SELECT p_brand AS g, p_partkey AS i, CAST(p_size AS BIGINT) AS w, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part WHERE p_brand IS NOT NULL) WHERE k <= 14)
+    SELECT a.g AS p_brand, [a.i, b.i, c.i, e.i] AS members, a.w + b.w + c.w + e.w AS total
+    FROM p a JOIN p b ON a.g = b.g AND b.i > a.i JOIN p c ON c.g = a.g AND c.i > b.i JOIN p e ON e.g = a.g AND e.i > c.i WHERE a.w + b.w + c.w + e.w <= 90""")
 def j21(s, d):
-    p = table(s, d, "part").where("p_brand = 'Brand#1'").select("p_partkey", "p_retailprice", F.col("p_size").cast("long").alias("w")).orderBy(F.desc("p_retailprice"), "p_partkey").limit(14)
-    return M.combinations(p, "p_partkey", "w", 4, 90)
+    w = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
+    p = table(s, d, "part").where("p_brand is not null").select("p_brand", "p_partkey", F.col("p_size").cast("long").alias("w"), F.row_number().over(w).alias("k")).where("k <= 14")
+    return M.combinations(p, "p_partkey", "w", 4, 90, group="p_brand")
 
 
 @q("j25_outer_alignment", """

@@ -100,20 +100,6 @@ def test_apportionment_limits_and_shift(spark):
     assert p.agg(F.sum("p")).first()[0] == pytest.approx(5)
 
 
-def test_selection():
-    rows = [(i, {0, i + 1}, 0) for i in range(6)]
-    assert S.greedy_capped(rows, 5, 3, 3, 1) == [0, 1, 2]
-    scores = np.array([[6.0, 0, 0, 6], [0, 4, 4, 0], [5, 1, 1, 5]])
-    assert S.lazy_greedy(scores, 2) == [0, 1]
-    rng = np.random.default_rng(1)
-    many, bar, slow = rng.random((30, 50)), np.zeros(50), []
-    for _ in range(6):
-        gains = [-1.0 if i in slow else np.maximum(s - bar, 0).mean() for i, s in enumerate(many)]
-        slow.append(int(np.argmax(gains)))
-        bar = np.maximum(bar, many[slow[-1]])
-    assert S.lazy_greedy(many, 6) == slow
-
-
 def test_scenarios_recover_correlation_and_ignore_partitions(spark):
     m = spark.createDataFrame([("g", 1, 10.0, 0.6, 0.0), ("g", 2, 8.0, 0.6, 0.0)], "game string, m int, mean double, cv double, zero double")
     p = spark.createDataFrame([("g", 1, 2, 0.7)], "game string, a int, b int, v double")
@@ -197,37 +183,10 @@ def test_portfolios():
         most = max(len(c) for c in fits)
         got = [r for r in rows if r[0] in P.exact_capped(rows, n, cap)]
         assert len(got) == most and sum(r[2] for r in got) == max(sum(x[2] for x in c) for c in fits if len(c) == most)
-    rng = np.random.default_rng(2)
-    scores = rng.random((12, 40))
-    first = S.lazy_greedy(scores, 3)
-    better = P.swapped(scores, first)
-    assert scores[better].max(axis=0).mean() >= scores[first].max(axis=0).mean() and len(set(better)) == 3
-    where = {"q1": "QB", "q2": "QB", "w1": "WR", "w2": "WR", "w3": "WR"}
     cands = [(1, ["q1", "w1"], 9.0), (2, ["q1", "w2"], 8.0), (3, ["q2", "w3"], 5.0), (4, ["w1", "w2"], 4.0)]
     quotas = [P.Quota("qb", {"QB": (1, 1)}, 2), P.Quota("wr", {"WR": (2, 2)}, 1)]
     P.validate(quotas, ["QB", "WR"], 2)
-    got = P.best_of_schedules(cands, where, quotas, 1)
-    assert len(got) == 2
-    assert all(sum(m in dict((c[0], c[1]) for c in cands)[i] for _, i in got) <= 1 for m in where)
     assert P.balanced(cands, 2, 2) == [1, 3]
     for bad in ([P.Quota("", {}, 1)], [P.Quota("a", {"X": (1, 1)}, 1)], [P.Quota("a", {"QB": (2, 1)}, 1)], [P.Quota("a", {"QB": (1, 1), "WR": (2, 2)}, 1)]):
         with pytest.raises(ValueError):
             P.validate(bad, ["QB", "WR"], 2)
-
-
-def test_quotas_are_filled_from_all_lineups(spark, tmp_path):
-    from tallyfield.plans.inventory import registry
-
-    rows = [(f"L{i:03}", f"p{i}_{k}", "QB" if k == 0 else "RB", 50.0 - i / 10) for i in range(320) for k in range(3)]
-    rows += [(f"D{i}", f"d{i}_{k}", "DEF" if k == 0 else "WR", 1.0 - i / 10) for i in range(4) for k in range(4)]
-    spark.createDataFrame(rows, "lineup_id string, player_key string, pos string, mean_fp double").write.parquet(f"{tmp_path}/lineup_rows.parquet")
-    got = [(r.rule, r.lineup_id) for r in registry.queries["m37_m39_quota_selection"](spark, str(tmp_path)).collect()]
-    quotas = [P.Quota("one_qb", {"QB": (1, 1)}, 6), P.Quota("wr_heavy", {"WR": (3, 9)}, 5), P.Quota("defence", {"DEF": (1, 2)}, 3)]
-    members, where, quality = {}, {}, {}
-    for i, p, pos, v in rows:
-        members.setdefault(i, []).append(p)
-        where[p] = pos
-        quality[i] = quality.get(i, 0.0) + v
-    every = sorted(((i, m, quality[i]) for i, m in members.items()), key=lambda c: (-c[2], c[0]))
-    assert got == P.best_of_schedules(every, where, quotas, 4) and len(got) == 10
-    assert len(P.best_of_schedules(every[:300], where, quotas, 4)) == 6
