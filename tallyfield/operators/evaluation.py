@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranking import medians
+
 
 def error_metrics(df: DataFrame, groups: list[str], actual: str, forecast: str) -> DataFrame:
     """n, mean absolute error, root mean square error, bias, correlation and slope of each group."""
@@ -30,7 +32,7 @@ def median_scale(df: DataFrame, group: str, value: str, reference: str, least: i
     """Per group the median of reference over value, 1 with fewer than `least` ratios."""
     ratio = F.try_divide(F.col(reference), F.col(value))
     r = df.withColumn("_r", ratio).where("_r is not null")
-    return r.groupBy(group).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.percentile("_r", 0.5)).otherwise(F.lit(1.0)).alias("scale"))
+    return medians(r, [group], "_r", "_m").select(group, "n", F.when(F.col("n") >= least, F.col("_m")).otherwise(F.lit(1.0)).alias("scale"))
 
 
 def rate_with_error(df: DataFrame, groups: list[str], flag: Column, least: int) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranking import medians
+
 
 def pooled_monotone(points: DataFrame, group: str, x: str, y: str, weight: str, increasing: bool = True) -> DataFrame:
     """Weighted monotone fit of y over x in each group by its closed form, for a few hundred points.
@@ -61,7 +63,13 @@ def moment_matrix(df: DataFrame, features: list[str], target: str) -> tuple[np.n
 
 def ridge(df: DataFrame, features: list[str], target: str, penalty: float) -> dict[str, float]:
     """Coefficients on the raw scale; features are standardised (sample deviation), the intercept isn't penalised."""
-    m, y, n = moment_matrix(df, features, target)
+    return ridge_from_moments(*moment_matrix(df, features, target), features, penalty)
+
+
+def ridge_from_moments(m: np.ndarray, y: np.ndarray, n: int, features: list[str], penalty: float) -> dict[str, float]:
+    """The ridge fit of the first of the moments' features."""
+    k = len(features) + 1
+    m, y = m[:k, :k], y[:k]
     if n < 2:
         raise ValueError("a ridge fit needs two rows")
     mean, my = m[0, 1:] / n, y[0] / n
@@ -95,7 +103,11 @@ def weibull_fit(df: DataFrame, groups: list[str], t: str, p: str, weight: str, s
 
 
 def poisson_fit(df: DataFrame, groups: list[str], k: str, p: str, weight: str, steps: int = 100) -> DataFrame:
-    """The rate whose survival function is nearest to observed ones in weighted logit distance, by golden section."""
+    """The rate whose survival function is nearest to observed ones in weighted logit distance, by golden section.
+
+    The rate is searched from 0.0001 to 12 or five times the largest threshold. A group is one ladder
+    of a few thresholds.
+    """
     kinds = dict(df.dtypes)
 
     def survival(rate: float, n: np.ndarray) -> np.ndarray:
@@ -106,7 +118,7 @@ def poisson_fit(df: DataFrame, groups: list[str], k: str, p: str, weight: str, s
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         n, q, w = pdf[k].astype(int).to_numpy(), np.clip(pdf[p].astype(float).to_numpy(), 1e-6, 1 - 1e-6), pdf[weight].astype(float).to_numpy()
         loss = lambda u: float((w * (np.log(s := survival(np.exp(u), n)) - np.log(1 - s) - np.log(q / (1 - q))) ** 2).sum())
-        lo, hi, g = np.log(0.01), np.log(60.0), (5**0.5 - 1) / 2
+        lo, hi, g = np.log(1e-4), np.log(max(12.0, 5.0 * n.max())), (5**0.5 - 1) / 2
         a, b = hi - g * (hi - lo), lo + g * (hi - lo)
         fa, fb = loss(a), loss(b)
         for _ in range(steps):
@@ -123,14 +135,26 @@ def poisson_fit(df: DataFrame, groups: list[str], k: str, p: str, weight: str, s
     return df.groupBy(*groups).applyInPandas(fit, ", ".join([*(f"{c} {kinds[c]}" for c in groups), "rate double"]))
 
 
+def fit_by_family(df: DataFrame, stat: str, groups: list[str], t: str, p: str, weight: str, families: dict[str, str]) -> DataFrame:
+    """(stat, groups, family, first, second): each ladder fitted by the family of its statistic.
+
+    weibull gives shape and scale, poisson the rate. Rows of a statistic without a family are left out.
+    """
+    of = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(families.items()) for x in kv]), F.col(stat))
+    d, keys = df.withColumn("family", of), [stat, *groups]
+    w = weibull_fit(d.where("family = 'weibull'"), keys, t, p, weight).select(*keys, F.lit("weibull").alias("family"), F.col("shape").alias("first"), F.col("scale").alias("second"))
+    r = poisson_fit(d.where("family = 'poisson'").select(*keys, t, p, weight), keys, t, p, weight)
+    return w.unionByName(r.select(*keys, F.lit("poisson").alias("family"), F.col("rate").alias("first"), F.lit(None).cast("double").alias("second")))
+
+
 def trimmed_line(df: DataFrame, groups: list[str], x: str, y: str, width: float = 3.5) -> DataFrame:
     """Least squares after leaving out rows whose residual is over width * 1.4826 * MAD of a first fit."""
     line = lambda d: d.groupBy(*groups).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
     d = df.where(f"{x} is not null and {y} is not null")
     r = d.join(line(d), groups).withColumn("_r", F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)).drop("slope", "intercept")
-    mid = r.groupBy(*groups).agg(F.percentile("_r", 0.5).alias("_m"))
+    mid = medians(r, groups, "_r", "_m").drop("n")
     a = r.join(mid, groups).withColumn("_a", F.abs(F.col("_r") - F.col("_m")))
-    mad = a.groupBy(*groups).agg(F.percentile("_a", 0.5).alias("_mad"))
+    mad = medians(a, groups, "_a", "_mad").drop("n")
     kept = a.join(mad, groups).where((F.col("_mad") <= 0) | (F.col("_a") <= width * 1.4826 * F.col("_mad")))
     return kept.groupBy(*groups).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 

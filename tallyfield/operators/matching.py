@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -106,3 +109,47 @@ def both_directions(games: DataFrame, home: str, away: str, at: str) -> DataFram
         games.select(F.col(away).alias("team"), F.col(home).alias("opponent"), F.col(at).alias("at"))
     )
     return rows.where("team is not null").groupBy("team").agg(F.min(F.struct("at", "opponent")).alias("x")).select("team", "x.opponent", "x.at")
+
+
+def segments(length: int, parts: int) -> list[tuple[int, int]]:
+    """(start, length) of the parts that a word of that length is cut into, the longer ones last."""
+    base, extra = divmod(length, parts)
+    sizes = [base + (i >= parts - extra) for i in range(parts)]
+    return [(sum(sizes[:i]), n) for i, n in enumerate(sizes)]
+
+
+def _segment_keys(k: int, probe: bool):
+    """Keys of words: their length with each of k + 1 parts; of probes: the parts that words of each length may have there.
+
+    k edits leave one of the parts whole. Before part i there are at most i edits if an earlier part is whole or
+    not counted, and at most k - i after it, which bounds where it may stand in the probe.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, words = [], []
+            for w in batch.column(0).to_pylist():
+                own = set()
+                for n in range(max(0, len(w) - k), len(w) + k + 1) if probe else [len(w)]:
+                    for i, (at, size) in enumerate(segments(n, k + 1)):
+                        d = len(w) - n
+                        lo, hi = max(0, at - i, at + d - (k - i)), min(len(w) - size, at + i, at + d + (k - i))
+                        for x in range(lo, hi + 1) if probe else [at]:
+                            own.add(f"{n}:{i}:{w[x : x + size]}")
+                keys += sorted(own)
+                words += [w] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(words, pa.string())], names=["key", "word"])
+
+    return run
+
+
+def close_pairs(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """(a, b, edits): every pair of words of the two one-column tables within k edits, equal ones included.
+
+    Candidates share a part of the word near the same place, of which k edits leave one whole, so no pair is lost,
+    whatever letters differ. Words are taken once; nulls take no part.
+    """
+    one = lambda d: d.toDF("word").where("word is not null").distinct()
+    a = one(left).mapInArrow(_segment_keys(k, True), "key string, word string").withColumnRenamed("word", "a")
+    b = one(right).mapInArrow(_segment_keys(k, False), "key string, word string").withColumnRenamed("word", "b")
+    return a.join(b, "key").select("a", "b").distinct().withColumn("edits", F.levenshtein("a", "b", k)).where("edits >= 0")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .fits import predict, ridge
+from .fits import moment_matrix, predict, ridge_from_moments
 from .ranking import running_total
 
 
@@ -26,18 +26,19 @@ def split_half(halves: DataFrame, ident: str, a: str, b: str, top: int) -> DataF
 def grid_search(df: DataFrame, x: str, y: str, held: str, degrees: list[int], penalties: list[float]) -> DataFrame:
     """(degree, penalty, mae, rmse, chosen) of polynomial ridge fits on the rows that aren't held out.
 
-    One pass of moments for each degree and one pass over the held-out rows for all fits; the
-    choice is by absolute, then squared error, then the simpler fit.
+    One pass of moments of the highest degree, of which every other fit takes a part, and one pass
+    over the held-out rows for all fits; the choice is by absolute, then squared error, then the simpler fit.
     """
     most = max(degrees)
     d = df
     for k in range(2, most + 1):
         d = d.withColumn(f"{x}_{k}", F.pow(F.col(x), F.lit(k)))
     names = [x, *[f"{x}_{k}" for k in range(2, most + 1)]]
+    moments = moment_matrix(d.where(~F.col(held)), names, y)
     errors, tried = [], []
     for degree in degrees:
         for penalty in penalties:
-            fit = ridge(d.where(~F.col(held)), names[:degree], y, penalty)
+            fit = ridge_from_moments(*moments, names[:degree], penalty)
             e = F.col(y) - predict(fit)
             i = len(tried)
             tried.append((degree, penalty))

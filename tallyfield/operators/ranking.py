@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -122,6 +124,25 @@ def running_total(df: DataFrame, order: str, value: str, out: str, including: bo
     return parts.withColumn("_own", F.coalesce(F.sum(value).over(w), F.lit(0))).join(before, same).withColumn(out, F.col("_own") + F.col("_before")).select(*df.columns, out)
 
 
+def at_positions(df: DataFrame, groups: list[str], value: str, **positions: Callable[[Column], Column]) -> DataFrame:
+    """(groups, n, names): the values at positions of each group in order, given from its number of values.
+
+    Positions count from 0. Equal values are counted first, and running totals of the counts go over ranges, so a
+    group of any size, or one value of any frequency, is never in one task. Nulls take no part; a group
+    without values gives no row.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_c"))
+    up_to = with_group_stats(running_total(counts, value, "_c", "_to", True, groups), groups, _n=F.sum("_c"))
+    here = lambda p: (F.col("_to") - F.col("_c") <= p) & (p < F.col("_to"))
+    return up_to.groupBy(*groups).agg(F.max("_n").alias("n"), *[F.max(F.when(here(p(F.col("_n"))), F.col(value))).alias(name) for name, p in positions.items()])
+
+
+def medians(df: DataFrame, groups: list[str], value: str, out: str) -> DataFrame:
+    """(groups, n, out): the exact median of each group, the mean of the two middle values of an even number."""
+    d = at_positions(df, groups, value, _lo=lambda n: F.floor((n - 1) / 2), _hi=lambda n: F.floor(n / 2))
+    return d.select(*groups, "n", ((F.col("_lo") + F.col("_hi")) / 2).alias(out))
+
+
 def look_back(df: DataFrame, keys: list[str], order: list[str], previous: dict[str, str], carried: dict[str, str]) -> DataFrame:
     """Columns from the rows before each row of its key, without sending a whole key to one task.
 

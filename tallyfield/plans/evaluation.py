@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import distributions as D
 from ..operators import evaluation as E
@@ -129,7 +130,9 @@ def a18(s, d):
 
 @q("a19_global_median", "SELECT count(fp_per_salary) AS n, CASE WHEN count(fp_per_salary) >= 3 THEN round(median(fp_per_salary), 9) ELSE 0.17 END AS middle FROM rankings")
 def a19(s, d):
-    return table(s, d, "rankings").agg(F.count("fp_per_salary").alias("n"), F.when(F.count("fp_per_salary") >= 3, F.round(F.percentile("fp_per_salary", 0.5), 9)).otherwise(F.lit(0.17)).alias("middle"))
+    n = table(s, d, "rankings").agg(F.count("fp_per_salary").alias("n"))
+    m = R.medians(table(s, d, "rankings"), [], "fp_per_salary", "m").select("m")
+    return n.join(m, F.lit(True), "left").select("n", F.when(F.col("n") >= 3, F.round("m", 9)).otherwise(F.lit(0.17)).alias("middle"))
 
 
 @q("a20_totals_with_stand_in", "SELECT lineup_id, CAST(sum(CAST(round(coalesce(cbs_mean, mean_fp) * 100) AS BIGINT)) AS BIGINT) AS total FROM lineup_rows WHERE coalesce(cbs_mean, mean_fp) IS NOT NULL AND NOT isnan(coalesce(cbs_mean, mean_fp)) GROUP BY lineup_id")
@@ -268,29 +271,58 @@ def a39(s, d):
     return m.join(t, "slot").where("k = n").select("slot", "pos")
 
 
-@q("m8_weibull_fit", """
-    WITH g AS (SELECT p_brand, l_quantity AS t, avg(count(*)) OVER (PARTITION BY p_brand) AS z, sum(count(*)) OVER (PARTITION BY p_brand ORDER BY l_quantity DESC) / sum(count(*)) OVER (PARTITION BY p_brand) AS p FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, l_quantity),
-    x AS (SELECT p_brand, ln(t) AS x, ln(-ln(p)) AS y FROM g WHERE t > 0 AND p > 0 AND p < 1),
-    f AS (SELECT p_brand, count(*) AS n, least(greatest(regr_slope(y, x), 0.7), 8.0) AS shape, avg(x) AS mx, avg(y) AS my FROM x GROUP BY p_brand)
-    SELECT p_brand, n, round(shape, 6) AS shape, round(exp(-(my - shape * mx) / shape), 4) AS scale FROM f""")
-def m8(s, d):
-    from pyspark.sql.window import Window
+M8_SQL = """
+    g8 AS (SELECT p_brand, l_quantity AS t, sum(count(*)) OVER (PARTITION BY p_brand ORDER BY l_quantity DESC) / sum(count(*)) OVER (PARTITION BY p_brand) AS p FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, l_quantity),
+    x8 AS (SELECT p_brand, ln(t) AS x, ln(-ln(p)) AS y FROM g8 WHERE t > 0 AND p > 0 AND p < 1),
+    f8 AS (SELECT p_brand, count(*) AS n, least(greatest(regr_slope(y, x), 0.7), 8.0) AS shape, avg(x) AS mx, avg(y) AS my FROM x8 GROUP BY p_brand)"""
+
 
+def quantity_ladders(s, d):
+    """The share of items of each brand with a quantity of t or more."""
     x = table(s, d, "lineitem").join(table(s, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     g = x.groupBy("p_brand", F.col("l_quantity").alias("t")).agg(F.count("*").alias("c"))
     w = Window.partitionBy("p_brand")
-    g = g.withColumn("p", F.sum("c").over(w.orderBy(F.desc("t"))) / F.sum("c").over(w)).withColumn("w", F.lit(1.0))
-    return X.weibull_fit(g, ["p_brand"], "t", "p", "w").select("p_brand", "n", F.round("shape", 6).alias("shape"), F.round("scale", 4).alias("scale"))
+    return g.withColumn("p", F.sum("c").over(w.orderBy(F.desc("t"))) / F.sum("c").over(w)).withColumn("w", F.lit(1.0))
+
+
+@q("m8_weibull_fit", f"WITH {M8_SQL} SELECT p_brand, n, round(shape, 6) AS shape, round(exp(-(my - shape * mx) / shape), 4) AS scale FROM f8")
+def m8(s, d):
+    return X.weibull_fit(quantity_ladders(s, d), ["p_brand"], "t", "p", "w").select("p_brand", "n", F.round("shape", 6).alias("shape"), F.round("scale", 4).alias("scale"))
+
+
+M9_SQL = """
+    o AS (SELECT o_orderpriority AS grp, o_orderkey, count(l_orderkey) AS c FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL),
+    l AS (SELECT grp, k, least(greatest(avg(CASE WHEN c >= k THEN 1e0 ELSE 0e0 END), 1e-6), 1 - 1e-6) AS p, sqrt(count(*)) AS w FROM o, range(1, 8) t(k) GROUP BY ALL),
+    r1 AS (SELECT grp, rate, sum(w * pow(ln(s) - ln(1 - s) - ln(p) + ln(1 - p), 2)) AS loss FROM (
+        SELECT l.*, x / 20e0 AS rate, least(greatest(1 - list_sum([exp(-(x / 20e0)) * pow(x / 20e0, j) / factorial(CAST(j AS INTEGER)) FOR j IN range(0, k)]), 1e-9), 1 - 1e-9) AS s FROM l, range(1, 241) t(x)) GROUP BY ALL),
+    b1 AS (SELECT grp, arg_min(rate, loss) AS rate FROM r1 GROUP BY grp),
+    r2 AS (SELECT grp, rate, sum(w * pow(ln(s) - ln(1 - s) - ln(p) + ln(1 - p), 2)) AS loss FROM (
+        SELECT l.*, y AS rate, least(greatest(1 - list_sum([exp(-y) * pow(y, j) / factorial(CAST(j AS INTEGER)) FOR j IN range(0, k)]), 1e-9), 1 - 1e-9) AS s FROM (SELECT l.*, b1.rate + x / 20000e0 AS y FROM l JOIN b1 USING (grp), range(-1000, 1001) t(x)) l) GROUP BY ALL),
+    f AS (SELECT grp, arg_min(rate, loss) AS rate FROM r2 GROUP BY grp)"""
+
+
+def order_ladders(s, d):
+    """The share of orders of each priority with k lines or more."""
+    lines = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("c"))
+    o = table(s, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("grp")).join(lines, "o_orderkey", "left").na.fill(0, ["c"])
+    g = o.groupBy("grp").agg(F.count("*").alias("n"), *[F.avg((F.col("c") >= k).cast("double")).alias(f"p{k}") for k in range(1, 8)])
+    return g.select("grp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"p{k}").alias("p"), F.sqrt("n").alias("w")) for k in range(1, 8)])).alias("x")).select("grp", "x.*")
 
 
-@q("m9_poisson_fit")
+@q("m9_poisson_fit", f"WITH {M9_SQL} SELECT grp, round(rate, 3) AS rate FROM f")
 def m9(s, d):
-    rates = s.range(1, 13).select(F.col("id").alias("grp"), (F.col("id") * 0.75).alias("rate"))
-    ladder = rates.select("grp", "rate", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("k"))
-    ladder = ladder.withColumn("p", F.expr(D.poisson_survival_sql("k", "rate"))).withColumn("w", F.lit(1.0))
-    fitted = X.poisson_fit(ladder.select("grp", "k", "p", "w"), ["grp"], "k", "p", "w")
-    items = table(s, d, "lineitem").groupBy((F.col("l_suppkey") % 12 + 1).alias("grp")).agg(F.count("*").alias("n_items"))
-    return fitted.join(items, "grp", "left").select("grp", F.round("rate", 6).alias("rate"), "n_items")
+    return X.poisson_fit(order_ladders(s, d), ["grp"], "k", "p", "w").select("grp", F.round("rate", 3).alias("rate"))
+
+
+@q("y67_family_dispatch", f"""
+    WITH {M8_SQL}, {M9_SQL}
+    SELECT 'quantity' AS stat, p_brand AS grp, 'weibull' AS family, round(shape, 3) AS first, round(exp(-(my - shape * mx) / shape), 3) AS second FROM f8
+    UNION ALL SELECT 'lines', grp, 'poisson', round(rate, 3), NULL FROM f""")
+def y67(s, d):
+    a = quantity_ladders(s, d).select(F.lit("quantity").alias("stat"), F.col("p_brand").alias("grp"), F.col("t").cast("double").alias("t"), "p", "w")
+    b = order_ladders(s, d).select(F.lit("lines").alias("stat"), "grp", F.col("k").cast("double").alias("t"), "p", "w")
+    fitted = X.fit_by_family(a.unionByName(b), "stat", ["grp"], "t", "p", "w", {"quantity": "weibull", "lines": "poisson"})
+    return fitted.select("stat", "grp", "family", F.round("first", 3).alias("first"), F.round("second", 3).alias("second"))
 
 
 @q("m10_trimmed_line", """

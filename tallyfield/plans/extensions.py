@@ -34,16 +34,15 @@ def f13(s, d):
 
 
 @q("f14_close_names", """
-    WITH s AS (SELECT DISTINCT player, substr(lower(replace(strip_accents(player), chr(160), ' ')), 1, 5) AS b FROM salary_feed), e AS (SELECT DISTINCT full_name, substr(lower(replace(strip_accents(full_name), chr(160), ' ')), 1, 5) AS b FROM espn_feed),
-    m AS (SELECT player, full_name, levenshtein(lower(replace(strip_accents(player), chr(160), ' ')), lower(replace(strip_accents(full_name), chr(160), ' '))) AS edits FROM s JOIN e USING (b) WHERE levenshtein(lower(replace(strip_accents(player), chr(160), ' ')), lower(replace(strip_accents(full_name), chr(160), ' '))) BETWEEN 1 AND 4),
+    WITH s AS (SELECT DISTINCT player, lower(replace(strip_accents(player), chr(160), ' ')) AS a FROM salary_feed WHERE player IS NOT NULL), e AS (SELECT DISTINCT full_name, lower(replace(strip_accents(full_name), chr(160), ' ')) AS b FROM espn_feed WHERE full_name IS NOT NULL),
+    m AS (SELECT player, full_name, levenshtein(a, b) AS edits FROM s JOIN e ON abs(len(a) - len(b)) <= 4 WHERE levenshtein(a, b) BETWEEN 1 AND 4),
     r AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY edits, full_name) AS k FROM m)
     SELECT player, full_name, CAST(edits AS INTEGER) AS edits FROM r WHERE k <= 3""")
 def f14(s, d):
     plain = lambda c: F.lower(F.translate(T.strip_marks(F.col(c)), '\u00a0', ' '))
-    start = lambda c: F.substring(plain(c), 1, 5)
-    a = table(s, d, "salary_feed").select("player", start("player").alias("b")).distinct()
-    b = table(s, d, "espn_feed").select("full_name", start("full_name").alias("b")).distinct()
-    m = a.join(b, "b").withColumn("edits", F.levenshtein(plain("player"), plain("full_name"))).where("edits between 1 and 4")
+    a = table(s, d, "salary_feed").where("player is not null").select("player", plain("player").alias("a")).distinct()
+    b = table(s, d, "espn_feed").where("full_name is not null").select("full_name", plain("full_name").alias("b")).distinct()
+    m = M.close_pairs(a.select("a"), b.select("b"), 4).where("edits >= 1").join(a, "a").join(b, "b")
     return R.ranked_top_n(m, ["player"], [F.asc("edits"), F.asc("full_name")], 3).select("player", "full_name", "edits")
 
 
@@ -62,12 +61,24 @@ def f25(s, d):
     return c.groupBy("lineup_id").agg(F.concat_ws(", ", parts).alias("split"))
 
 
-@q("j2_external_id_then_name", """
-    WITH e AS (SELECT full_name AS player, min(espn_row_id) AS m FROM espn_feed WHERE full_name IS NOT NULL GROUP BY full_name HAVING count(*) = 1)
-    SELECT salary_row_id, m AS matched, CAST(CASE WHEN m IS NOT NULL THEN 1 END AS INTEGER) AS matched_by FROM salary_feed LEFT JOIN e USING (player)""")
+UNIQUE_NAMES = """
+    e AS (SELECT espn_row_id, full_name AS player, team_code AS team, CASE default_position_id WHEN 1 THEN 'QB' WHEN 2 THEN 'RB' WHEN 3 THEN 'WR' WHEN 4 THEN 'TE' WHEN 5 THEN 'K' WHEN 16 THEN 'DEF' END AS pos FROM espn_feed LEFT JOIN teams ON pro_team_id = espn_pro_team_id)"""
+
+
+@q("j2_external_id_then_name", f"""
+    WITH {UNIQUE_NAMES},
+    u AS (SELECT team, min(espn_row_id) AS m1 FROM e WHERE pos = 'DEF' AND team IS NOT NULL GROUP BY team HAVING count(*) = 1),
+    t AS (SELECT player, team, pos, min(espn_row_id) AS m2 FROM e WHERE player IS NOT NULL AND team IS NOT NULL AND pos IS NOT NULL GROUP BY ALL HAVING count(*) = 1),
+    n AS (SELECT player, pos, min(espn_row_id) AS m3 FROM e WHERE player IS NOT NULL AND pos IS NOT NULL GROUP BY ALL HAVING count(*) = 1)
+    SELECT salary_row_id, coalesce(m1, m2, m3) AS matched, CAST(CASE WHEN m1 IS NOT NULL THEN 1 WHEN m2 IS NOT NULL THEN 2 WHEN m3 IS NOT NULL THEN 3 END AS INTEGER) AS matched_by
+    FROM salary_feed s LEFT JOIN u ON s.pos = 'DEF' AND s.team = u.team LEFT JOIN t ON s.player = t.player AND s.team = t.team AND s.pos = t.pos LEFT JOIN n ON s.player = n.player AND s.pos = n.pos""")
 def j2(s, d):
-    e = table(s, d, "espn_feed").select(F.col("full_name").alias("player"), "espn_row_id")
-    return M.cascade_match(table(s, d, "salary_feed").select("salary_row_id", "player"), e, "espn_row_id", [["player"]]).select("salary_row_id", "matched", "matched_by")
+    codes = table(s, d, "teams").select(F.col("espn_pro_team_id").alias("pro_team_id"), F.col("team_code").alias("team"))
+    pos = F.element_at(F.create_map(*[x for k, v in {1: "QB", 2: "RB", 3: "WR", 4: "TE", 5: "K", 16: "DEF"}.items() for x in (F.lit(k), F.lit(v))]), F.col("default_position_id"))
+    unit = F.when(F.col("pos") == "DEF", F.col("team")).alias("unit")
+    e = table(s, d, "espn_feed").join(codes, "pro_team_id", "left").select("espn_row_id", F.col("full_name").alias("player"), "team", pos.alias("pos")).select("*", unit)
+    f = table(s, d, "salary_feed").select("salary_row_id", "player", "team", "pos", unit)
+    return M.cascade_match(f, e, "espn_row_id", [["unit"], ["player", "team", "pos"], ["player", "pos"]]).select("salary_row_id", "matched", "matched_by")
 
 
 @q("j6_best_coverage", """
@@ -111,11 +122,17 @@ def j17(s, d):
 
 
 @q("j18_provider_merge", """
-    WITH k AS (SELECT player_key, kickoff_utc, provider, date_trunc('hour', kickoff_utc) AS token FROM market_quotes WHERE player_key IS NOT NULL AND kickoff_utc IS NOT NULL)
-    SELECT player_key, token, count(DISTINCT provider) AS providers, count(*) AS n FROM k GROUP BY ALL""")
+    WITH k AS (SELECT quote_id, player_key, provider, CAST(floor((epoch_us(kickoff_utc) + 30000000) / 60000000) AS BIGINT) AS token FROM market_quotes WHERE player_key IS NOT NULL AND kickoff_utc IS NOT NULL AND provider IS NOT NULL),
+    f AS (SELECT min(provider) AS first FROM k), b AS (SELECT player_key, token, count(*) AS n, min(quote_id) AS one FROM k, f WHERE provider = first GROUP BY ALL)
+    SELECT k.quote_id, CASE WHEN k.provider <> f.first AND b.n = 1 THEN b.one END AS merged_into FROM k CROSS JOIN f LEFT JOIN b ON k.player_key = b.player_key AND k.token = b.token""")
 def j18(s, d):
-    k = table(s, d, "market_quotes").where("player_key is not null and kickoff_utc is not null").withColumn("token", F.date_trunc("hour", "kickoff_utc").cast("timestamp_ntz"))
-    return k.groupBy("player_key", "token").agg(F.countDistinct("provider").alias("providers"), F.count("*").alias("n"))
+    """Quotes of other providers with the one of the first provider for the same player and minute; with none or several they stand alone."""
+    k = table(s, d, "market_quotes").where("player_key is not null and kickoff_utc is not null and provider is not null")
+    k = k.select("quote_id", "player_key", "provider", F.floor((F.unix_micros(F.col("kickoff_utc").cast("timestamp")) + 30_000_000) / 60_000_000).cast("long").alias("token"))
+    first = k.agg(F.min("provider").alias("first"))
+    k = k.crossJoin(F.broadcast(first))
+    b = k.where("provider = first").groupBy("player_key", "token").agg(F.count("*").alias("n"), F.min("quote_id").alias("one"))
+    return k.join(b, ["player_key", "token"], "left").select("quote_id", F.when((F.col("provider") != F.col("first")) & (F.col("n") == 1), F.col("one")).alias("merged_into"))
 
 
 @q("j19_ladder_merge", """
@@ -182,9 +199,9 @@ def t1(s, d):
     return table(s, d, "lineup_rows").where("mean_fp is not null and not isnan(mean_fp)").orderBy(F.desc("mean_fp"), F.desc("salary"), "lineup_row_id").limit(50).select("lineup_row_id", "mean_fp", "salary")
 
 
-@q("t9_nulls_last", "SELECT lineup_row_id, kickoff_utc FROM lineup_rows ORDER BY kickoff_utc ASC NULLS LAST, lineup_row_id LIMIT 100")
+@q("t9_nulls_last", "SELECT lineup_row_id, kickoff_utc FROM lineup_rows ORDER BY kickoff_utc ASC NULLS LAST, lineup_row_id")
 def t9(s, d):
-    return table(s, d, "lineup_rows").orderBy(F.asc_nulls_last("kickoff_utc"), "lineup_row_id").limit(100).select("lineup_row_id", "kickoff_utc")
+    return table(s, d, "lineup_rows").orderBy(F.asc_nulls_last("kickoff_utc"), "lineup_row_id").select("lineup_row_id", "kickoff_utc")
 
 
 @q("m5_grid_search")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from datetime import datetime
 
@@ -113,7 +112,7 @@ def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
 def _run(df: DataFrame, mode: str) -> DataFrame:
     """The stream's rows after all input that is there, from a parquet sink or in memory."""
     s, name = df.sparkSession, f"t{uuid.uuid4().hex}"
-    at = tempfile.mkdtemp(prefix="stream-") if s.sparkContext.master.startswith("local[") else os.path.join(ensure_checkpoint_dir(s), name)
+    at = os.path.join(ensure_checkpoint_dir(s), name)
     if mode == "append":
         query = df.writeStream.format("parquet").option("checkpointLocation", f"{at}/c").option("path", f"{at}/out").outputMode(mode).trigger(availableNow=True).start()
         query.awaitTermination()

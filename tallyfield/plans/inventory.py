@@ -122,7 +122,8 @@ def a5(s, d):
 
 @q("a17_threshold_medians", "SELECT l_quantity AS threshold, round(median(l_discount), 9) AS p, count(*) AS n FROM lineitem GROUP BY l_quantity")
 def a17(s, d):
-    return table(s, d, "lineitem").groupBy(F.col("l_quantity").alias("threshold")).agg(F.round(F.percentile("l_discount", 0.5), 9).alias("p"), F.count("*").alias("n"))
+    x = table(s, d, "lineitem").select(F.col("l_quantity").alias("threshold"), "l_discount")
+    return R.medians(x, ["threshold"], "l_discount", "p").select("threshold", F.round("p", 9).alias("p"), "n")
 
 
 @q("w10_observations", """
@@ -343,9 +344,8 @@ def y20(s, d):
     WITH r AS (SELECT l_linenumber, l_extendedprice AS v, row_number() OVER (PARTITION BY l_linenumber ORDER BY l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_linenumber) AS n FROM lineitem)
     SELECT l_linenumber, max(CASE WHEN i = CAST(floor(0.9e0 * (n - 1) + 0.5e0) AS BIGINT) THEN v END) AS p90 FROM r GROUP BY l_linenumber""")
 def y22(s, d):
-    w = Window.partitionBy("l_linenumber")
-    r = table(s, d, "lineitem").select("l_linenumber", F.col("l_extendedprice").alias("v"), (F.row_number().over(w.orderBy("l_extendedprice")) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    return r.groupBy("l_linenumber").agg(F.max(F.when(F.col("i") == F.floor(0.9 * (F.col("n") - 1) + 0.5), F.col("v"))).alias("p90"))
+    near = R.at_positions(table(s, d, "lineitem"), ["l_linenumber"], "l_extendedprice", p90=lambda n: F.floor(0.9 * (n - 1) + 0.5))
+    return near.select("l_linenumber", "p90")
 
 
 @q("y26_star_pairs", "SELECT lineup_id, player_key AS star FROM lineup_rows WHERE player_key IS NOT NULL GROUP BY ALL")
@@ -435,11 +435,6 @@ def y66(s, d):
     return b.select("reps", *[F.round(x, 6).alias(x) for x in ("low", "middle", "high")])
 
 
-@q("y67_family_dispatch", "SELECT l_linenumber, CASE WHEN l_linenumber <= 3 THEN 'weibull' ELSE 'poisson' END AS family, round(avg(l_quantity), 7) AS mean FROM lineitem GROUP BY l_linenumber")
-def y67(s, d):
-    return table(s, d, "lineitem").groupBy("l_linenumber").agg(F.when(F.col("l_linenumber") <= 3, "weibull").otherwise("poisson").alias("family"), F.round(F.avg("l_quantity"), 7).alias("mean"))
-
-
 @q("y68_missing_components", "SELECT quote_id, concat_ws(',', CASE WHEN coalesce(market_props, '') NOT LIKE '%Rec %' THEN 'Rec' END, CASE WHEN coalesce(market_props, '') NOT LIKE '%Ru %' THEN 'Ru' END, CASE WHEN coalesce(market_props, '') NOT LIKE '%TD %' THEN 'TD' END) AS missing FROM market_quotes")
 def y68(s, d):
     lacks = lambda w: F.when(~F.coalesce("market_props", F.lit("")).contains(w + " "), F.lit(w))
