@@ -190,3 +190,44 @@ def test_portfolios():
     for bad in ([P.Quota("", {}, 1)], [P.Quota("a", {"X": (1, 1)}, 1)], [P.Quota("a", {"QB": (2, 1)}, 1)], [P.Quota("a", {"QB": (1, 1), "WR": (2, 2)}, 1)]):
         with pytest.raises(ValueError):
             P.validate(bad, ["QB", "WR"], 2)
+
+
+def test_close_pairs_lose_nothing(spark):
+    import random
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rnd = random.Random(8)
+    words = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randrange(10))) for _ in range(90)})
+    df = spark.createDataFrame([(w,) for w in [*words, *words[:4]]] + [(None,)], "w string")
+    for k in (0, 2, 4):
+        got = sorted(map(tuple, M.close_pairs(df, df, k).collect()))
+        assert got == sorted((a, b, lev(a, b)) for a in words for b in words if lev(a, b) <= k)
+
+
+def test_order_statistics_over_ranges(spark):
+    rows = [("a", float(i * 7 % 11)) for i in range(30)] + [("hot", 1.0)] * 50 + [(None, 3.0), (None, 4.0), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.n, r.m) for r in R.medians(df.repartition(7), ["g"], "v", "m").collect()}
+    assert got == {"a": (30, float(np.median([v for g, v in rows if g == "a"]))), "hot": (50, 1.0), None: (2, 3.5)}
+    assert R.medians(df, [], "v", "m").first().m == float(np.median([v for _, v in rows if v is not None]))
+    assert R.medians(df.where("false"), ["g"], "v", "m").count() == 0
+    last = R.at_positions(df, ["g"], "v", top=lambda n: n - 1)
+    assert {r.g: r.top for r in last.collect()} == {"a": 10.0, "hot": 1.0, None: 4.0}
+
+
+def test_ladders_are_fitted_by_their_family(spark):
+    import math
+
+    rows = [("y", "g", float(t), math.exp(-((t / 40.0) ** 1.5)), 1.0) for t in (10, 20, 40, 60)]
+    rows += [("c", "g", float(k), 1 - sum(math.exp(-2.5) * 2.5**j / math.factorial(j) for j in range(k)), 1.0) for k in (1, 2, 3, 5)]
+    rows += [("other", "g", 1.0, 0.5, 1.0)]
+    df = spark.createDataFrame(rows, "stat string, grp string, t double, p double, w double")
+    got = {r.stat: (r.family, r.first, r.second) for r in X.fit_by_family(df, "stat", ["grp"], "t", "p", "w", {"y": "weibull", "c": "poisson"}).collect()}
+    assert set(got) == {"y", "c"} and got["y"][1:] == pytest.approx((1.5, 40.0)) and got["c"][0] == "poisson" and got["c"][1] == pytest.approx(2.5, abs=1e-4)
