@@ -85,7 +85,7 @@ def combinations(pool: DataFrame, ident: str, price: str, size: int, cap: float,
     """Every ascending combination of `size` members, of each group if one is named, whose price stays within the cap.
 
     Pools must be so small that the combinations of each number at most `most`; that is counted
-    first. Each step extends partial combinations by larger members and cuts those over the cap.
+    first, so a single pool is small enough to be broadcast. Each step extends partial combinations by larger members and cuts those over the cap.
     """
     keys = [group] if group else []
     n = pool.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
@@ -95,6 +95,8 @@ def combinations(pool: DataFrame, ident: str, price: str, size: int, cap: float,
     if total > most:
         raise ValueError(f"{total} combinations are more than {most}")
     p = pool.select(*[F.col(k).alias("_g") for k in keys], F.col(ident).alias("_i"), F.col(price).alias("_p"))
+    if not group:
+        p = F.broadcast(p)
     out = pool.select(*keys, F.array(F.col(ident)).alias("members"), F.col(price).alias("total")).where(F.col("total") <= cap)
     for _ in range(size - 1):
         larger = (F.col("_i") > F.element_at("members", -1)) & (F.col("total") + F.col("_p") <= cap)
