@@ -93,6 +93,15 @@ class HyperProfiles:
         self.rows: dict[str, int] = {}
         self.words = np.zeros((0, dims), np.int16)
 
+    def sibling(self) -> "HyperProfiles":
+        """Profiles of the same space without prototypes; they share the vectors that were made."""
+        other = HyperProfiles(self.dims, self.sizes, self.seed)
+        other.letters, other.bound, other.rows = self.letters, self.bound, self.rows
+        if not len(self.words):
+            self.words = np.zeros((WORD_VECTORS, self.dims), np.int16)
+        other.words = self.words
+        return other
+
     def letter(self, c: str) -> np.ndarray:
         v = self.letters.get(c)
         if v is None:
@@ -278,8 +287,9 @@ def fit_profiles(samples: DataFrame, lang: str, text: str, dims: int = 4096, row
         sums[r["code"]] = sums.get(r["code"], 0.0) + np.array(r["v"])
     codes = sorted(sums)
     model.settle(codes, np.array([sums[c] for c in codes]))
-    thirds = [HyperProfiles(*settings).fit([p for i, p in enumerate(pairs) if i % 3 != k]).calibrate([p for i, p in enumerate(pairs) if i % 3 == k]).sharpness for k in range(3)] if len(pairs) >= 30 else [1.0]
-    model.sharpness = float(np.exp(np.mean(np.log(thirds))))
+    if len(pairs) >= 30:
+        thirds = [model.sibling().fit([p for i, p in enumerate(pairs) if i % 3 != k]).calibrate([p for i, p in enumerate(pairs) if i % 3 == k]).sharpness for k in range(3)]
+        model.sharpness = float(np.exp(np.mean(np.log(thirds))))
     return model
 
 
