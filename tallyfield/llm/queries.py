@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import Registry
-from ..session import cut, table
+from ..session import cut, spread, table
 from .bpe import decode_column, encode_column
 from .language import document_languages, fit_profiles
 from .leakage import passages_in_documents, passages_nearby
@@ -94,7 +94,7 @@ def p6_market_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query("p7_ids")
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k, without special tokens."""
-    return encode_column(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    return encode_column(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", ["doc_id"])
 
 
 @registry.query("p7_decoded", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
@@ -104,7 +104,7 @@ def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages_in_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "passage", 12)
+    return passages_in_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "passage", 12)
 
 
 @registry.query("p8_found")
@@ -116,7 +116,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query("p8_nearby")
 def p8_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which six of a passage's eight rarest words lie within sixty words, in any order."""
-    return passages_nearby(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "passage")
+    return passages_nearby(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "passage")
 
 
 @registry.query("p8_longest_runs")
@@ -130,7 +130,7 @@ def p8_longest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_profiles(table(spark, sf_dir, "lang_samples"), "lang", "text")
-    return document_languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", model)
+    return document_languages(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")), "doc_id", "text", "lang", model)
 
 
 @registry.query("p9_found")
