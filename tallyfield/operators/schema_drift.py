@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import cut, heavy_partitions
 from .ranking import look_back, running_total
 
 SEPARATORS = ",;\t|"
@@ -418,7 +418,7 @@ def file_fields(files: DataFrame) -> DataFrame:
     if placed.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
         seats = F.broadcast(seats)
     bodies = files.select("file_id", "body_format", "body").join(seats, "file_id")
-    rows = bodies.repartition("feed_id", "chunk").sortWithinPartitions("feed_id", "chunk", "_no")
+    rows = bodies.repartition(heavy_partitions(files.sparkSession), "feed_id", "chunk").sortWithinPartitions("feed_id", "chunk", "_no")
     compared = rows.select("feed_id", "chunk", "carried", "file_id", "body_format", "body").mapInArrow(_compare, FIELDS)
     return compared.join(placed.drop("_no"), "file_id")
 
