@@ -147,7 +147,7 @@ def p9_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roster_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_variants(table(spark, sf_dir, "roster_entries"), table(spark, sf_dir, "teams"), "entry_id", "player", "pos", "team")
+    return link_variants(spread(table(spark, sf_dir, "roster_entries").select("entry_id", "player", "pos", "team")), table(spark, sf_dir, "teams"), "entry_id", "player", "pos", "team")
 
 
 @registry.query("p2_found")

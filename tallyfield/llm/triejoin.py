@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, heavy_partitions
 from .automaton import LevenshteinAutomaton, build_trie
 from .skew import BROADCAST_ROWS, grid
 
@@ -169,4 +169,4 @@ def trie_join(rows: DataFrame) -> DataFrame:
         placed = placed.join(small, "block", "left_anti")
         for d in (probes, words):
             placed = placed.unionByName(d.select(placed.columns))
-    return placed.repartition("block", "sa", "sb").sortWithinPartitions("block", "sa", "sb", "side").mapInArrow(_walk, MATCHES)
+    return placed.repartition(heavy_partitions(rows.sparkSession), "block", "sa", "sb").sortWithinPartitions("block", "sa", "sb", "side").mapInArrow(_walk, MATCHES)
