@@ -81,6 +81,23 @@ def pairs_within(df: DataFrame, group: str, ident: str, columns: list[str]) -> D
     return a.join(b, group).where("_a < _b")
 
 
+def pair_counts(df: DataFrame, group: str, ident: str, column: str) -> DataFrame:
+    """How many pairs of members of a group, with different identifiers, have each two values of a column: group, _a, _b and n.
+
+    Two values come once, in either order. Numbers of rows are multiplied, less the rows of one identifier, so the work
+    grows with the values of a group and not with its pairs. A null value counts as a value; rows without a group or an identifier
+    take no part; values that no pair has are left out.
+    """
+    per = df.select(F.col(group), F.col(ident).alias("_i"), F.col(column).alias("_v")).where(F.col(group).isNotNull() & F.col("_i").isNotNull()).groupBy(group, "_i", "_v").agg(F.count("*").alias("_m"))
+    a, b = (per.select(group, "_i", F.col("_v").alias(f"_{x}"), F.col("_m").alias(f"_m{x}")) for x in "ab")
+    same = a.join(b, [group, "_i"]).groupBy(F.col(group).alias("_g"), F.col("_a").alias("_sa"), F.col("_b").alias("_sb")).agg(F.sum(F.col("_ma") * F.col("_mb")).alias("_same"))
+    sizes = per.groupBy(group, "_v").agg(F.sum("_m").alias("_m")).withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy("_v")))
+    a, b = (sizes.select(group, F.col("_v").alias(f"_{x}"), F.col("_m").alias(f"_m{x}"), F.col("_k").alias(f"_k{x}")) for x in "ab")
+    both = a.join(b, group).where("_ka <= _kb")
+    both = both.join(same, (both[group] == same["_g"]) & both["_a"].eqNullSafe(same["_sa"]) & both["_b"].eqNullSafe(same["_sb"]), "left")
+    return both.select(group, "_a", "_b", F.expr("(_ma * _mb - coalesce(_same, 0)) div if(_ka = _kb, 2, 1)").alias("n")).where("n > 0")
+
+
 def combinations(pool: DataFrame, ident: str, price: str, size: int, cap: float, most: int = 30_000_000, group: str | None = None) -> DataFrame:
     """Every ascending combination of `size` members, of each group if one is named, whose price stays within the cap.
 

@@ -190,9 +190,10 @@ def m15(s, d):
     x AS (SELECT a.g, a.p_partkey AS a, b.p_partkey AS b, a.cv AS ca, b.cv AS cb FROM p a JOIN p b ON a.g = b.g AND a.p_partkey < b.p_partkey)
     SELECT g, count(*) AS n, round(avg(greatest(-0.999, least(0.999, ln(greatest(1 + 0.25 * ca * cb, 1e-12)) / sqrt(ln(1 + ca * ca) * ln(1 + cb * cb))))), 8) AS latent FROM x GROUP BY g""")
 def m22(s, d):
-    p = table(s, d, "part").select(F.concat_ws("|", "p_brand", "p_type").alias("g"), "p_partkey", (0.5 + F.col("p_size") / 50.0).alias("cv"))
-    x = M.pairs_within(p, "g", "p_partkey", ["cv"])
-    return x.groupBy("g").agg(F.count("*").alias("n"), F.round(F.avg(S.latent_lognormal(F.lit(0.25), F.col("cv_a"), F.col("cv_b"))), 8).alias("latent"))
+    p = table(s, d, "part").select(F.concat("p_brand", F.lit("|"), "p_type").alias("g"), "p_partkey", (0.5 + F.col("p_size") / 50.0).alias("cv"))
+    x = M.pair_counts(p, "g", "p_partkey", "cv").withColumn("latent", S.latent_lognormal(F.lit(0.25), F.col("_a"), F.col("_b")))
+    mean = F.sum(F.col("n") * F.col("latent")) / F.sum(F.when(F.col("latent").isNotNull(), F.col("n")))
+    return x.groupBy("g").agg(F.sum("n").alias("n"), F.round(mean, 8).alias("latent"))
 
 
 @q("m32_lineup_variance", """

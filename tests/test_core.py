@@ -231,3 +231,41 @@ def test_ladders_are_fitted_by_their_family(spark):
     df = spark.createDataFrame(rows, "stat string, grp string, t double, p double, w double")
     got = {r.stat: (r.family, r.first, r.second) for r in X.fit_by_family(df, "stat", ["grp"], "t", "p", "w", {"y": "weibull", "c": "poisson"}).collect()}
     assert set(got) == {"y", "c"} and got["y"][1:] == pytest.approx((1.5, 40.0)) and got["c"][0] == "poisson" and got["c"][1] == pytest.approx(2.5, abs=1e-4)
+
+
+def part_table(tmp_path, select):
+    """A directory with a table part that DuckDB made."""
+    import duckdb
+
+    duckdb.sql(f"COPY ({select}) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    return str(tmp_path)
+
+
+#: Repeated keys and rows, nulls in every column, keys that are the same in several groups.
+ODD_PARTS = """SELECT CASE WHEN i % 41 = 0 THEN NULL ELSE i * 7 % 130 END AS p_partkey, CASE WHEN i % 37 = 0 THEN NULL WHEN i % 3 = 0 THEN 'B' ELSE 'A' END AS p_brand, CASE WHEN i % 31 = 0 THEN NULL WHEN i % 5 = 0 THEN 'y' ELSE 'x' END AS p_type,
+    CASE WHEN i % 29 = 0 THEN NULL ELSE CAST(i * 11 % 13 AS INTEGER) END AS p_size, CASE WHEN i % 23 = 0 THEN NULL WHEN i % 19 = 0 THEN 'NaN'::DOUBLE ELSE 900 + (i * 17 % 151) / {step} END AS p_retailprice FROM range(240) t(i)"""
+
+
+def as_sql(spark, name, folder):
+    """The query's rows, after they were compared with those of its SQL."""
+    import __spark_entry__ as entry
+    from tools.compare import canonical, connect
+
+    con, df = connect(folder), entry.queries()[name](spark, folder)
+    con.execute(entry.oracle_sql()[name])
+    columns, want = [c[0] for c in con.description], con.fetchall()
+    got = [tuple(r) for r in df.collect()]
+    assert canonical(df.columns, got) == canonical(columns, want)
+    return got
+
+
+def test_pairs_are_counted_by_values(spark, tmp_path):
+    assert len(as_sql(spark, "m22_latent_correlation", part_table(tmp_path, ODD_PARTS.format(step="1e1")))) == 4
+    import __spark_entry__ as entry
+
+    n = 300_000  # 45 thousand million pairs
+    many = part_table(tmp_path, f"SELECT i AS p_partkey, 'A' AS p_brand, 'x' AS p_type, CAST(i % 2 * 25 AS INTEGER) AS p_size FROM range({n}) t(i)")
+    got = entry.queries()["m22_latent_correlation"](spark, many).first()
+    latent = lambda a, b: math.log(1 + 0.25 * a * b) / math.sqrt(math.log1p(a * a) * math.log1p(b * b))
+    alike, other = n // 2 * (n // 2 - 1) // 2, (n // 2) ** 2
+    assert got.n == n * (n - 1) // 2 and got.latent == pytest.approx((alike * (latent(0.5, 0.5) + latent(1, 1)) + other * latent(0.5, 1)) / got.n, abs=2e-8)
