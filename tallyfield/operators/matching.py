@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
 from .ranking import keep_unique
 
 
@@ -98,6 +99,40 @@ def pair_counts(df: DataFrame, group: str, ident: str, column: str) -> DataFrame
     return both.select(group, "_a", "_b", F.expr("(_ma * _mb - coalesce(_same, 0)) div if(_ka = _kb, 2, 1)").alias("n")).where("n > 0")
 
 
+def highest_pairs(df: DataFrame, groups: list[str], ident: str, value: str, k: int) -> DataFrame:
+    """The k pairs of members of a group, the smaller identifier first, with the highest product of a value: a, b and v.
+
+    Equal products go by a, then b; null ones come last. Exact without a list of all pairs: any two values with a pair, and any
+    member with a partner of some value, stand for one pair at least, so what comes behind the k-th of these is left out, and
+    a member needs the next k partners only. Groups and identifiers that are null take no part.
+    """
+    keys = [f"_g{i}" for i in range(len(groups))]
+    rows = df.select(*[F.col(g).alias(x) for g, x in zip(groups, keys)], F.col(ident).alias("_i"), F.col(value).alias("_v")).dropna(subset=[*keys, "_i"])
+    sizes = rows.groupBy(*keys, "_v").agg(F.min("_i").alias("_least"), F.max("_i").alias("_most"))
+    product = F.col("_v") * F.col("_w")
+    place = F.struct(product.isNotNull().alias("known"), product.alias("v")).alias("_place")  # a null product is below all others
+    values = sizes.drop("_most").join(sizes.select(*keys, F.col("_v").alias("_w"), "_most"), keys).where("_least < _most").select(*keys, "_v", "_w", "_most", place)
+    last = values.select("_place").orderBy(F.desc("_place")).limit(k).agg(F.min("_place").alias("_lowest"))
+    values = cut(values.join(F.broadcast(last), F.col("_place") >= F.col("_lowest")).drop("_lowest"))
+
+    def alike(x: DataFrame, y: DataFrame, w: str, also: Column = F.lit(True), how: str = "inner") -> DataFrame:
+        """Rows of x beside those of y of their group whose w is their _v, nulls included."""
+        y = y.withColumnsRenamed({c: f"{c}y" for c in [*keys, w]})
+        same = reduce(lambda p, q: p & q, [F.col(c) == F.col(f"{c}y") for c in keys])
+        return x.join(y, same & F.col("_v").eqNullSafe(F.col(f"{w}y")) & also, how)
+
+    firsts = alike(rows, values, "_v", F.col("_i") < F.col("_most")).select(*keys, "_i", "_w", "_place")
+    last = firsts.select("_place", "_i").orderBy(F.desc("_place"), "_i").limit(k).orderBy("_place", F.desc("_i")).limit(1).toDF("_lowest", "_farthest")
+    firsts = cut(firsts.join(F.broadcast(last), (F.col("_place") > F.col("_lowest")) | ((F.col("_place") == F.col("_lowest")) & (F.col("_i") <= F.col("_farthest")))).drop("_lowest", "_farthest"))
+
+    near = alike(rows, firsts.select(*keys, "_w").distinct(), "_w", how="left_semi").select(*keys, F.col("_v").alias("_w"), "_i", F.lit(None).alias("_place"), F.lit(0).alias("_asks"))
+    so_far = Window.partitionBy(*keys, "_w").orderBy("_i", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.unionByName(firsts.withColumn("_asks", F.lit(1))).withColumn("_n", F.sum(1 - F.col("_asks")).over(so_far))
+    a = near.where("_asks = 1").select(*keys, F.col("_w").alias("_v"), F.col("_i").alias("a"), "_place.v", F.explode(F.sequence(F.col("_n") + 1, F.col("_n") + k)).alias("_at"))
+    b = near.where("_asks = 0").select(*keys, "_w", F.col("_i").alias("b"), "_n")
+    return alike(a, b, "_w", F.col("_at") == F.col("_n")).select("a", "b", "v").orderBy(F.desc("v"), "a", "b").limit(k)
+
+
 def combinations(pool: DataFrame, ident: str, price: str, size: int, cap: float, most: int = 30_000_000, group: str | None = None) -> DataFrame:
     """Every ascending combination of `size` members, of each group if one is named, whose price stays within the cap.
 

@@ -144,9 +144,7 @@ def t3(s, d):
 @q("t4_highest_pairs", """
     SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_size * b.p_size AS v FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey ORDER BY v DESC, a, b LIMIT 100""")
 def t4(s, d):
-    p = table(s, d, "part").withColumn("g", F.concat_ws("|", "p_brand", "p_type"))
-    x = M.pairs_within(p, "g", "p_partkey", ["p_size"]).select(F.col("_a").alias("a"), F.col("_b").alias("b"), (F.col("p_size_a") * F.col("p_size_b")).alias("v"))
-    return x.orderBy(F.desc("v"), "a", "b").limit(100)
+    return M.highest_pairs(table(s, d, "part"), ["p_brand", "p_type"], "p_partkey", "p_size", 100)
 
 
 @q("t6_head_per_group", "SELECT board_id, rank_row_id FROM (SELECT *, row_number() OVER (PARTITION BY board_id ORDER BY estimated_fp DESC NULLS LAST, rank_row_id) AS k FROM rankings WHERE estimated_fp IS NULL OR NOT isnan(estimated_fp)) WHERE k <= 12")

@@ -269,3 +269,17 @@ def test_pairs_are_counted_by_values(spark, tmp_path):
     latent = lambda a, b: math.log(1 + 0.25 * a * b) / math.sqrt(math.log1p(a * a) * math.log1p(b * b))
     alike, other = n // 2 * (n // 2 - 1) // 2, (n // 2) ** 2
     assert got.n == n * (n - 1) // 2 and got.latent == pytest.approx((alike * (latent(0.5, 0.5) + latent(1, 1)) + other * latent(0.5, 1)) / got.n, abs=2e-8)
+
+
+def test_highest_pairs_without_all_pairs(spark, tmp_path):
+    odd = ODD_PARTS.format(step="1e1")
+    assert len(as_sql(spark, "t4_highest_pairs", part_table(tmp_path, odd))) == 100
+    for few in ("p_size IS NULL OR p_partkey < 20", "p_size IS NULL OR p_size = 0", "p_partkey < 5", "false"):  # null products, ties at 0, fewer than 100 pairs, none
+        as_sql(spark, "t4_highest_pairs", part_table(tmp_path, f"SELECT * FROM ({odd}) WHERE {few}"))
+    as_sql(spark, "t4_highest_pairs", part_table(tmp_path, f"SELECT * REPLACE (p_size - 6 AS p_size) FROM ({odd})"))  # negative values
+    as_sql(spark, "t4_highest_pairs", part_table(tmp_path, f"SELECT * REPLACE ('A|' AS p_brand, p_brand || '|' AS p_type) FROM ({odd}) UNION ALL SELECT * REPLACE ('A' AS p_brand, '|' || p_type AS p_type) FROM ({odd})"))
+    import __spark_entry__ as entry
+
+    n = 300_000  # 45 thousand million pairs, all of one product
+    many = part_table(tmp_path, f"SELECT {n} - i AS p_partkey, 'A' AS p_brand, 'x' AS p_type, 3 AS p_size FROM range({n}) t(i)")
+    assert [tuple(r) for r in entry.queries()["t4_highest_pairs"](spark, many).collect()] == [(1, b, 9) for b in range(2, 102)]
