@@ -51,9 +51,24 @@ def nearest_row(pairs: DataFrame, ident: str, distance: Column, tie: str, most:
     return pairs.withColumn("_d", distance).where(F.col("_d") <= most).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_d")
 
 
-def exactly_one(pairs: DataFrame, ident: str) -> DataFrame:
-    """Pairs of identifiers that have just one candidate."""
-    return pairs.withColumn("_n", F.count("*").over(Window.partitionBy(ident))).where("_n = 1").drop("_n")
+def exactly_one_near(df: DataFrame, keys: list[str], ident: str, value: str, most: float, other: str) -> DataFrame:
+    """(ident, other): identifiers with just one row of another identifier that has their keys and a value within `most`.
+
+    Rows are sorted by value, so candidates stand next to each other, and pairs aren't listed. In either direction the nearest
+    row of another identifier and the one behind it are looked at: if that one is near too, there are two pairs, whichever identifier
+    it has. All rows of an identifier count together; rows with a null or without a value that can be compared are near nothing.
+    """
+    rows = df.select(*keys, ident, F.col(value).alias("_v")).dropna("any", subset=[*keys, ident, "_v"])
+    near = lambda c: F.coalesce(F.abs(F.col("_v") - F.col(c)) <= most, F.lit(False))
+    n, found = F.lit(0), []
+    for x, order in (("_up", [F.asc("_v"), F.asc(ident)]), ("_down", [F.desc("_v"), F.desc(ident)])):
+        w = Window.partitionBy(*keys).orderBy(*order)
+        before = F.struct(F.lag(ident).over(w).alias("i"), F.lag("_v").over(w).alias("v"), F.lag("_v", 2).over(w).alias("next"))
+        rows = rows.withColumn(x, before).withColumn(x, F.last(F.when(F.col(f"{x}.i") != F.col(ident), F.col(x)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        n = n + near(f"{x}.v").cast("int") + near(f"{x}.next").cast("int")
+        found.append(F.when(near(f"{x}.v"), F.col(f"{x}.i")))
+    got = rows.select(ident, n.alias("_n"), F.coalesce(*found).alias(other)).where("_n > 0")
+    return got.groupBy(ident).agg(F.sum("_n").alias("_n"), F.min(other).alias(other)).where("_n = 1").drop("_n")
 
 
 def history_before(events: DataFrame, history: DataFrame, key: str, event_id: str, event_time: str, time: str, value: str, last: int, tie: list[str]) -> DataFrame:

@@ -226,11 +226,7 @@ def j14(s, d):
     SELECT a.p_partkey, min(b.p_partkey) AS other FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey
     AND abs(a.p_retailprice - b.p_retailprice) <= 0.5 + 1e-9 GROUP BY a.p_partkey HAVING count(*) = 1""")
 def j16(s, d):
-    p = table(s, d, "part")
-    a = p.select("p_partkey", "p_brand", "p_type", "p_retailprice")
-    b = p.select(F.col("p_partkey").alias("other"), "p_brand", "p_type", F.col("p_retailprice").alias("price"))
-    pairs = a.join(b, ["p_brand", "p_type"]).where((F.col("p_partkey") != F.col("other")) & (F.abs(F.col("p_retailprice") - F.col("price")) <= 0.5 + 1e-9))
-    return M.exactly_one(pairs, "p_partkey").select("p_partkey", "other")
+    return M.exactly_one_near(table(s, d, "part"), ["p_brand", "p_type"], "p_partkey", "p_retailprice", 0.5 + 1e-9, "other")
 
 
 @q("j20_pair_classes", """

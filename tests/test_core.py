@@ -283,3 +283,23 @@ def test_highest_pairs_without_all_pairs(spark, tmp_path):
     n = 300_000  # 45 thousand million pairs, all of one product
     many = part_table(tmp_path, f"SELECT {n} - i AS p_partkey, 'A' AS p_brand, 'x' AS p_type, 3 AS p_size FROM range({n}) t(i)")
     assert [tuple(r) for r in entry.queries()["t4_highest_pairs"](spark, many).collect()] == [(1, b, 9) for b in range(2, 102)]
+
+
+def test_exactly_one_near_by_neighbours(spark, tmp_path):
+    rows = []
+    for step in ("2e-1", "1e0", "2e0", "5e0"):  # few neighbours to many
+        odd = ODD_PARTS.format(step=step)
+        rows += as_sql(spark, "j16_exactly_one", part_table(tmp_path, odd))
+        rows += as_sql(spark, "j16_exactly_one", part_table(tmp_path, f"SELECT * REPLACE (p_partkey % 9 AS p_partkey) FROM ({odd}) UNION ALL SELECT * REPLACE (900 + p_partkey AS p_retailprice, 3000 + p_partkey AS p_partkey) FROM ({odd})"))
+        rows += as_sql(spark, "j16_exactly_one", part_table(tmp_path, f"SELECT DISTINCT ON (p_partkey, p_brand) * FROM ({odd}) WHERE p_partkey < 40"))
+    assert len(rows) > 20
+    #: Identifiers' rows between each other: 1 meets 2 twice, 5 meets 6 once, 7 has a row of its own beside it, prices differ by just 0.5.
+    few = [(1, 900.0), (2, 900.2), (1, 900.4), (5, 910.0), (6, 910.5), (7, 920.0), (7, 920.1), (8, 920.6), (9, 930.0), (10, 930.25), (11, 930.75), (12, None), (None, 930.0), (13, float("inf")), (14, float("inf"))]
+    df = spark.createDataFrame([("g", *r) for r in few], "g string, i int, v double")
+    want = [(5, 6), (6, 5), (7, 8), (8, 7), (9, 10), (11, 10)]
+    assert values(M.exactly_one_near(df, ["g"], "i", "v", 0.5 + 1e-9, "other"), "i", "other") == sorted(want, key=str)
+    import __spark_entry__ as entry
+
+    n = 300_000  # 90 thousand million pairs, of which one row has one candidate
+    many = part_table(tmp_path, f"SELECT i AS p_partkey, 'A' AS p_brand, 'x' AS p_type, CASE WHEN i = 0 THEN 1e0 WHEN i = 1 THEN 15e-1 ELSE 900e0 END AS p_retailprice FROM range({n}) t(i)")
+    assert values(entry.queries()["j16_exactly_one"](spark, many), "p_partkey", "other") == [(0, 1), (1, 0)]
